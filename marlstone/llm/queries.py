@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii
+from . import mixing, pii, sharding
 from .base import table
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(pii.find_personal_data(docs))
 
 
-QUERIES = {"op9_pii": op9_pii}
+QUERIES = {"op5_sharding": op5_sharding, "op7_mixing": op7_mixing, "op9_pii": op9_pii}
 
 SQL: dict[str, str] = {}
