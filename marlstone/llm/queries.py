@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, sharding
+from . import chat, mixing, pii, sharding
 from .base import table
 
 
@@ -12,6 +12,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digest(table(spark, sf_dir, "conversations"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -21,6 +25,6 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(docs))
 
 
-QUERIES = {"op5_sharding": op5_sharding, "op7_mixing": op7_mixing, "op9_pii": op9_pii}
+QUERIES = {"op5_sharding": op5_sharding, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op9_pii": op9_pii}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_chat": chat.SQL}
