@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, pii, sharding
+from . import chat, mixing, pii, sharding, tokens
 from .base import table
 
 
@@ -25,6 +25,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(docs))
 
 
-QUERIES = {"op5_sharding": op5_sharding, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op9_pii": op9_pii}
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
+QUERIES = {"op5_sharding": op5_sharding, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op9_pii": op9_pii, "op10_tokens": op10_tokens}
 
 SQL: dict[str, str] = {"op6_chat": chat.SQL}
