@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, pii, sharding, tokens
+from . import chat, langid, mixing, pii, sharding, tokens, toxicity
 from .base import table
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.langid_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -32,6 +40,6 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
-QUERIES = {"op5_sharding": op5_sharding, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op9_pii": op9_pii, "op10_tokens": op10_tokens}
+QUERIES = {"op1_langid": op1_langid, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op9_pii": op9_pii, "op10_tokens": op10_tokens}
 
 SQL: dict[str, str] = {"op6_chat": chat.SQL}
