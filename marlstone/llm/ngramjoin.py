@@ -112,7 +112,7 @@ def _described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         some = [k for k in range(first, first + 64) if k < len(blocks) and blocks[k].any()]
         if some:
             packed = [zlib.compress(np.minimum(blocks[k], 65535).astype("<u2").tobytes(), 1) for k in some]
-            yield pd.DataFrame({"doc_id": pd.Series([None] * len(some), dtype="Int64"), "sid": 0, "n": 0, "counts": packed, "block": some})
+            yield pd.DataFrame({"doc_id": pd.Series([None] * len(some), dtype=object), "sid": 0, "n": 0, "counts": packed, "block": some})
 
 
 def _summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,7 +262,9 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, label: str)
 def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, sid, n, counts; links: a, b), both staged.  ``docs`` needs doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    described = stage(docs.mapInPandas(_described, "doc_id long, sid long, n long, counts binary, block long"), "shingle-sets")
+    # ids travel as text: among nulls, pandas would make them floating point
+    described = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_described, "doc_id string, sid long, n long, counts binary, block long")
+    described = stage(described.withColumn("doc_id", F.col("doc_id").cast("bigint")), "shingle-sets")
     members = described.where("block < 0").drop("block")
     blocks = described.where("block >= 0").select("block", "counts")
     blocks = blocks.repartition(F.col("block")).mapInPandas(_summed, "block long, ranks binary").collect()

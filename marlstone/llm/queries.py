@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, mixing, ngramjoin, pii, sharding, tokens, toxicity
+from . import chat, decontam, langid, mixing, ngramjoin, pii, sharding, tokens, toxicity
 from .base import table
 
 
@@ -32,6 +32,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(pii.find_personal_data(docs))
@@ -44,6 +48,6 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
-QUERIES = {"op1_langid": op1_langid, "op3_ngram_join": op3_ngram_join, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op9_pii": op9_pii, "op10_tokens": op10_tokens}
+QUERIES = {"op1_langid": op1_langid, "op3_ngram_join": op3_ngram_join, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_decontam": op8_decontam, "op9_pii": op9_pii, "op10_tokens": op10_tokens}
 
 SQL: dict[str, str] = {"op6_chat": chat.SQL}
