@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, mixing, ngramjoin, pii, sharding, tokens, toxicity
+from . import chat, crosspoly, decontam, langid, mixing, ngramjoin, pii, sharding, tokens, toxicity
 from .base import table
 
 
@@ -12,6 +12,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.langid_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,6 +52,6 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
-QUERIES = {"op1_langid": op1_langid, "op3_ngram_join": op3_ngram_join, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_decontam": op8_decontam, "op9_pii": op9_pii, "op10_tokens": op10_tokens}
+QUERIES = {"op1_langid": op1_langid, "op2_embeddings": op2_embeddings, "op3_ngram_join": op3_ngram_join, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_decontam": op8_decontam, "op9_pii": op9_pii, "op10_tokens": op10_tokens}
 
 SQL: dict[str, str] = {"op6_chat": chat.SQL}
