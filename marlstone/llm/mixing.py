@@ -66,6 +66,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return _copies(sized, stage(sized.select(source_col, "size", "_tie"), "mix-sizes"), source_col, seed).drop("_tie")
 
 
+def mixed(df: DataFrame, **names) -> DataFrame:
+    """The mix itself: the rows of ``df`` as often as they are taken, columns unchanged."""
+    out = mix(df, **names).where("copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*df.columns)
+
+
 def _copies(sized: DataFrame, narrow: DataFrame, source_col: str, seed: int) -> DataFrame:
     spark = sized.sparkSession
     band = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")

@@ -104,7 +104,7 @@ def _described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if room > 1 << 21:
                 sketch += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(sketch))
                 held, room = [], 0
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "sid": pd.Series(sids, dtype="int64"), "n": pd.Series(sizes, dtype="int64"), "counts": vectors, "block": -1})
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "sid": pd.Series(sids, dtype="int64"), "n": pd.Series(sizes, dtype="int64"), "counts": vectors, "block": -1, "text_hash": frame["text_hash"]})
     if held:
         sketch += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(sketch))
     blocks = sketch.reshape(-1, BLOCK)
@@ -112,7 +112,7 @@ def _described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         some = [k for k in range(first, first + 64) if k < len(blocks) and blocks[k].any()]
         if some:
             packed = [zlib.compress(np.minimum(blocks[k], 65535).astype("<u2").tobytes(), 1) for k in some]
-            yield pd.DataFrame({"doc_id": pd.Series([None] * len(some), dtype=object), "sid": 0, "n": 0, "counts": packed, "block": some})
+            yield pd.DataFrame({"doc_id": pd.Series([None] * len(some), dtype=object), "sid": 0, "n": 0, "counts": packed, "block": some, "text_hash": 0})
 
 
 def _summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,10 +260,11 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, label: str)
 
 
 def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, sid, n, counts; links: a, b), both staged.  ``docs`` needs doc_id and text."""
+    """(members: doc_id, text_hash, sid, n, counts; links: a, b), staged.  ``docs`` needs doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     # ids travel as text: among nulls, pandas would make them floating point
-    described = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_described, "doc_id string, sid long, n long, counts binary, block long")
+    described = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    described = described.mapInPandas(_described, "doc_id string, sid long, n long, counts binary, block long, text_hash long")
     described = stage(described.withColumn("doc_id", F.col("doc_id").cast("bigint")), "shingle-sets")
     members = described.where("block < 0").drop("block")
     blocks = described.where("block >= 0").select("block", "counts")
@@ -315,13 +316,37 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, links.union(second)
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, and the links of its set to other sets that were verified."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_hash, n and the root of its set's component."""
     members, links = link_sets(docs)
-    links = stage(links, "set-links")
-    roots = components(links)
-    placed = members.select("doc_id", "sid", "n").join(roots, F.col("sid") == F.col("v"), "left")
-    placed = placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "sid").alias("root"))
-    named = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = placed.alias("p").join(named.alias("g"), (F.col("p.root") == F.col("g.root")) & (F.col("p.n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    roots = components(stage(links, "set-links"))
+    placed = members.select("doc_id", "text_hash", "sid", "n").join(roots, F.col("sid") == F.col("v"), "left")
+    return placed.select("doc_id", "text_hash", "n", F.coalesce("root", "sid").alias("root"))
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles and component_id."""
+    placed = _placed(docs)
+    named = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    out = placed.alias("p").join(named.alias("g"), (F.col("p.root") == F.col("g.root")) & (F.col("p.n") > 0), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest id (null last), then text hash.
+
+    Rows without words are in no group and all stay.
+    """
+    placed = stage(_placed(docs).where("n > 0"), "placed-sets")
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("k"))
+    gone = placed.join(kept, "root").where("not (doc_id <=> k.doc_id and text_hash = k.text_hash)")
+    gone = stage(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "removed-sets")
+    twice = placed.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).count().where("count > 1").select("_id", "_hash")
+    twice = stage(twice, "repeated-rows")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    sent = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    out = docs.join(sent(gone), same, "left_anti")
+    if twice.isEmpty():
+        return out
+    once = out.join(sent(twice), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(sent(twice), same, "left_anti").unionByName(once)
