@@ -119,7 +119,7 @@ def test_changes_matrix_profile(index):
     assert [(c["institution"], c["change_type"]) for c in changes] == [("丙证券", "下调"), ("乙证券", "首予")]
     orbit = rows(index.profile("orbt.us")["rating_changes"])
     assert [(c["change_type"], c["previous_rating"], c["current_rating"]) for c in orbit] == [("首次覆盖", "增持", "买入"), ("首次覆盖", None, "增持")]
-    assert rows(profile["summary"])[0]["sentiment_hint"] == "偏积极或建设性"
+    assert rows(profile["summary"])[0]["sentiment_hint"] == "风险提示较多"
     assert rows(profile["canonical_name"])[0]["canonical_name"] == "微芯"
     view = index.institutions("微芯")
     assert [r["institution"] for r in rows(view["matrix"])] == ["丙证券", "乙证券"]
