@@ -57,18 +57,31 @@ def any_word(text: Column, words: list[str]) -> Column:
     return text.rlike("(?i)" + "|".join(map(re.escape, words)))
 
 
+def _within(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rating(text: Column) -> Column:
     """Of a composed text: the word in the first label, else the first word in a rating's place."""
     label = F.lower(F.regexp_extract(text, rf"(?i)(?:投资评级|评级|Rating)[:：]?{SPACE}*[“\"']?([A-Za-z{HAN}]+)", 1))
     lead = "|".join(RATING_LEADS)
-    place = lambda w: text.rlike(rf"(?i){w}[”\"']?{SPACE}*(?:评级|Rating)|(?:{lead}){SPACE}*[“\"']?{w}")
-    return F.coalesce(_first(RATINGS, lambda w: F.contains(label, F.lit(w.lower()))), _first(RATINGS, place))
+    place = lambda w: text.rlike(rf"(?i)(?:{w})[”\"']?{SPACE}*(?:评级|Rating)|(?:{lead}){SPACE}*[“\"']?(?:{w})")
+    named = _within(label, lambda x: _first(RATINGS, lambda w: F.contains(x, F.lit(w.lower()))))
+    # one test for any word before one test each
+    return F.coalesce(named, F.when(place("|".join(RATINGS)), _first(RATINGS, place)))
 
 
 def action(text: Column) -> Column:
     objects = "|".join(ACTION_OBJECTS)
-    place = lambda w: text.rlike(rf"(?i){w}[^。\n]{{0,20}}(?:{objects})|(?:评级|目标价|target price|Rating)[^。\n]{{0,20}}{w}")
-    return F.coalesce(_first(STANDALONE_ACTIONS, lambda w: F.contains(text, F.lit(w))), _first(ACTIONS, place))
+    place = lambda w: text.rlike(rf"(?i)(?:{w})[^。\n]{{0,20}}(?:{objects})|(?:评级|目标价|target price|Rating)[^。\n]{{0,20}}(?:{w})")
+    return F.coalesce(_first(STANDALONE_ACTIONS, lambda w: F.contains(text, F.lit(w))), F.when(place("|".join(ACTIONS)), _first(ACTIONS, place)))
+
+
+def may_tell(text: Column) -> Column:
+    """Whether a text holds any word without which it has no rating, action or price."""
+    words = ["评级", "rating", *RATING_LEADS, *ACTIONS, "目标价", "target price", "tp", "pt", "当前股价", "现价", "current price"]
+    return any_word(text, words)
 
 
 def _one_line(text: Column) -> Column:

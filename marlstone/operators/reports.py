@@ -57,9 +57,10 @@ def build_lines(reports: DataFrame) -> DataFrame:
     lines = lines.withColumn("line_no", F.col("p") + 1).drop("p").withColumn("nfkc_line", nfkc("line")).withColumn("heading", heading(F.col("line")))
     by_report = Window.partitionBy("file_path").orderBy("line_no")
     so_far = by_report.rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("block_start", F.last(F.when(F.col("heading").isNotNull(), F.col("line_no")), ignorenulls=True).over(so_far))
     return lines.withColumns({
         "norm_line": tidy(F.col("nfkc_line")),
-        "block_start": F.last(F.when(F.col("heading").isNotNull(), F.col("line_no")), ignorenulls=True).over(so_far),
+        "block_end": F.max("line_no").over(Window.partitionBy("file_path", "block_start")),
         "institution": F.last("heading", ignorenulls=True).over(so_far),
         **{f"at_{k}": F.lead("line", k).over(by_report) for k in (1, 2)},
         **{f"before_{k}": F.lag("line", k).over(by_report) for k in (1, 2)},
@@ -103,7 +104,7 @@ def target_candidates(lines: DataFrame) -> DataFrame:
         F.regexp_extract_all(line, F.lit(R.NAMED_PAREN), F.lit(2)).alias("inside"),
     )
     some = lines.where(F.col("block_start").isNotNull() & line.rlike("[（(]"))
-    some = some.select("file_path", "report_id", "date", "institution", "block_start", "line_no", covered.alias("covered"), line.rlike(R.MARKUP_PREFIX + R.NAMED_PAREN).alias("heads"), F.posexplode(pairs).alias("pos", "p"))
+    some = some.select("file_path", "report_id", "date", "institution", "block_start", "block_end", "line_no", covered.alias("covered"), line.rlike(R.MARKUP_PREFIX + R.NAMED_PAREN).alias("heads"), F.posexplode(pairs).alias("pos", "p"))
     inside = trim(F.col("p.inside"))
     some = some.withColumns({"name": R.clean_name(F.col("p.raw")), "inside": inside, "code": F.nullif(F.regexp_extract(inside, R.LISTED_CODE, 0), F.lit(""))})
     some = some.where(F.col("covered") | (F.col("code").isNotNull() & F.col("heads") & (F.col("pos") == 0)))
@@ -120,10 +121,9 @@ def target_candidates(lines: DataFrame) -> DataFrame:
 
 def extract_mentions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(mentions, signals) of a corpus of lines."""
-    ends = lines.where(F.col("block_start").isNotNull()).groupBy("file_path", "block_start").agg(F.max("line_no").alias("block_end"))
     in_block = Window.partitionBy("file_path", "block_start").orderBy("line_no", "pos")
     natural = F.coalesce(F.col("next_line") - 1, F.col("line_no") + CONTEXT_LINES)
-    found = target_candidates(lines).withColumn("next_line", F.lead("line_no").over(in_block)).join(ends, ["file_path", "block_start"])
+    found = target_candidates(lines).withColumn("next_line", F.lead("line_no").over(in_block))
     found = found.withColumn("end_line", F.least("block_end", natural))
 
     # A line is in the context if it is in the window, or later in the block and says
@@ -134,7 +134,7 @@ def extract_mentions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     window = window.join(lines.select(F.col("file_path").alias("fp"), F.col("line_no").alias("ln"), "line", "norm_line", *[f"{s}_{k}" for s in ("before", "at") for k in (1, 2)]), (F.col("file_path") == F.col("fp")) & (F.col("at") == F.col("ln"))).drop("fp", "ln")
     text = F.col("nfkc_line")
     says = F.coalesce(R.rating(text), R.target_price(text), R.current_price(text), R.action(text)).isNotNull()
-    telling = lines.where(F.col("block_start").isNotNull() & says).select(F.col("file_path").alias("fp"), F.col("block_start").alias("bs"), F.col("line_no").alias("at"), "line", F.col("norm_line").alias("nl"))
+    telling = lines.where(F.col("block_start").isNotNull() & R.may_tell(text) & says).select(F.col("file_path").alias("fp"), F.col("block_start").alias("bs"), F.col("line_no").alias("at"), "line", F.col("norm_line").alias("nl"))
     later = found.join(telling, (F.col("file_path") == F.col("fp")) & (F.col("block_start") == F.col("bs")) & (F.col("at") > F.col("end_line")))
     later = later.where(F.exists("idents", lambda i: F.contains(F.col("nl"), i)))
     context = window.select(*key, "at", "line").union(later.select(*key, "at", "line"))
