@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import stage
-from .graph import components
+from .graph import components, contracted
 
 COSINE = 0.95
 TABLES, PROBES = 8, 6
@@ -173,7 +173,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         best = best.groupBy("vid").agg(F.max(F.struct("count", "c")).alias("m")).select(F.greatest("vid", "m.c").alias("a"), F.least("vid", "m.c").alias("b"))
         near = best if near is None else near.union(best)
     first = _verified(near.distinct(), distinct, "centre-links")
-    roots = components(first)
+    roots = contracted(first)
     labelled = stage(entries.join(roots, F.col("vid") == F.col("v"), "left").select("bucket", "vid", F.coalesce("root", "vid").alias("root")), "labelled-buckets")
     apart = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     open_ = labelled.join(apart, "bucket", "left_semi")

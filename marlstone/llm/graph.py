@@ -13,23 +13,17 @@ MAX_ROUNDS = 60
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of ``edges`` (a, b) but the roots themselves; root is the smallest.
 
-    Alternates two steps until nothing changes: every vertex hands its larger
-    neighbours to its smallest one, then its smaller ones.  Minima are combined
+    Repeats a round of two steps until nothing changes: every vertex hands its
+    larger neighbours to its smallest one, then its smaller ones.  Minima are combined
     before they are shuffled and no vertex's neighbours are gathered, so a hub
     costs no more than its edges.  Each round is written to the shared folder.
     """
-    now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = stage(_ordered(edges).distinct(), "edges")
     state = _fingerprint(now)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stage(large.distinct(), "large-star")
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stage(small.union(least.select("u", "m")).distinct(), "small-star")
+        now = stage(_round(now), "stars")
         was, state = state, _fingerprint(now)
         if was == state:
             break
@@ -38,6 +32,28 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
+def contracted(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """(v, root) after a few rounds: root is some smaller vertex of v's component, if v has one."""
+    now = _ordered(edges)
+    for _ in range(rounds - 1):
+        now = stage(_round(now), "stars")
+    return _round(now).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("root"))
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _round(now: DataFrame) -> DataFrame:
+    """Every vertex hands its larger neighbours to its smallest one, then its smaller ones."""
+    both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+    small = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return small.union(least.select("u", "m")).distinct()
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     h = F.xxhash64("a", "b")
     return tuple(edges.agg(F.count("*"), F.sum(F.pmod(h, F.lit(2**31 - 1))), F.bit_xor(h)).first())

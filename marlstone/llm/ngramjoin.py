@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .base import stage
-from .graph import components
+from .graph import components, contracted
 
 SHINGLE = 5
 PERCENT = 75
@@ -52,7 +52,8 @@ LIGHT_AT_MOST = 64
 #: Cost of scanning an inverted list against that of one enumerated subset.
 SCAN_COST = 3.0
 LIST_ROWS = 50_000
-CENTRE_ROUNDS, CENTRES = 2, 3
+POSTING_ROWS = 200_000
+CENTRE_ROUNDS, CENTRES = 1, 6
 BUCKETS = 128
 #: Rows of ids up to which they are broadcast; beyond, the join is by shuffle.
 BROADCAST_ROWS = 500_000
@@ -151,15 +152,12 @@ def _postings(shared, light_to: int):
         ranks = np.frombuffer(shared.value, np.uint8)
         done: set[int] = set()
         for frame in frames:
-            keys, sids, sizes, rests, heavies, rarity = [], [], [], [], [], []
+            held: list[tuple] = []
+            room = 0
 
-            def give(key, rank, sid, n, rest, heavy):
-                keys.append(key)
-                rarity.append(rank)
-                rests.append(rest)
-                sids.append(np.full(len(key), sid, np.int64))
-                sizes.append(np.full(len(key), n, np.int32))
-                heavies.append(np.full(len(key), heavy, np.int8))
+            def give(key, rank, sid, n, rest, heavy, held=held):
+                held.append((key, rank, rest, np.full(len(key), sid), np.full(len(key), n, np.int32), np.full(len(key), heavy, np.int8)))
+                return len(key)
 
             for s in shingle_sets(frame["text"].where(frame["text"].notna(), None).tolist()):
                 n = len(s)
@@ -177,24 +175,34 @@ def _postings(shared, light_to: int):
                     i, j = np.triu_indices(p, 1)
                     with np.errstate(over="ignore"):
                         subset = wordhash.mix(np.minimum(element[i], element[j]) * _TAPS[0] + np.maximum(element[i], element[j]) * _TAPS[1])
-                    give(subset, np.minimum(rank[i], rank[j]), sid, n, np.full(len(subset), n, np.int32), 2)
+                    room += give(subset, np.minimum(rank[i], rank[j]), sid, n, np.full(len(subset), n, np.int32), 2)
                 if 100 * n >= PERCENT * (light_to + 1):
                     q = prefix(n)
-                    give(element[:q], rank[:q], sid, n, (n - np.arange(q)).astype(np.int32), int(n > light_to))
-            if not keys:
-                continue
-            key, sid = np.concatenate(keys).astype(np.int64), np.concatenate(sids)
-            salts = np.ceil(2.0 ** (np.concatenate(rarity) / 8.0) / LIST_ROWS).astype(np.int64)
-            yield pd.DataFrame({
-                "key": key, "salt": (sid.astype(np.uint64) % salts.astype(np.uint64)).astype(np.int32), "salted": salts > 1, "sid": sid,
-                "n": np.concatenate(sizes), "rest": np.concatenate(rests), "heavy": np.concatenate(heavies),
-            })
+                    room += give(element[:q], rank[:q], sid, n, (n - np.arange(q)).astype(np.int32), int(n > light_to))
+                if room > POSTING_ROWS:
+                    yield _posting_frame(held)
+                    held.clear()
+                    room = 0
+            if held:
+                yield _posting_frame(held)
 
     return run
 
 
+def _posting_frame(held: list[tuple]) -> pd.DataFrame:
+    key, rank, rest, sid, n, heavy = (np.concatenate(part) for part in zip(*held, strict=True))
+    salts = np.ceil(2.0 ** (rank / 8.0) / LIST_ROWS).astype(np.uint64)
+    salt = (sid.astype(np.uint64) % salts).astype(np.int32)
+    return pd.DataFrame({"key": key.astype(np.int64), "salt": salt, "salted": salts > 1, "sid": sid, "n": n, "rest": rest, "heavy": heavy})
+
+
 def _shared_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of postings sorted by key and salt, those whose key has two sets (or may, in another salt)."""
+    """Of postings sorted by key, salt and size, those with a possible partner under the key.
+
+    Two postings alone under a key are tested by length and position; among more,
+    a posting needs a neighbour in size within the ratio.  Salted keys stay whole,
+    as partners may be under another salt.
+    """
     columns = ["key", "salt", "salted", "sid", "n", "rest", "heavy"]
     carry = None
     for frame in frames:
@@ -212,10 +220,17 @@ def _shared_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _kept(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
     if not len(frame):
         return frame
-    sid = frame["sid"].to_numpy()
+    sid, n, rest = (frame[c].to_numpy().astype(np.int64) for c in ("sid", "n", "rest"))
+    length = np.diff(np.r_[starts, len(frame)])
     mixed = np.minimum.reduceat(sid, starts) != np.maximum.reduceat(sid, starts)
-    keep = np.repeat(mixed, np.diff(np.r_[starts, len(frame)])) | frame["salted"].to_numpy()
-    return frame[keep]
+    two = starts[length == 2]
+    fits = (7 * np.minimum(rest[two], rest[two + 1]) >= 3 * (n[two] + n[two + 1])) & (4 * np.minimum(n[two], n[two + 1]) >= 3 * np.maximum(n[two], n[two + 1]))
+    mixed[length == 2] &= fits
+    joined = np.zeros(len(frame) + 1, bool)  # to the posting before
+    joined[1:-1] = 4 * n[:-1] >= 3 * n[1:]
+    joined[starts] = False
+    keep = np.repeat(mixed, length) & (joined[:-1] | joined[1:])
+    return frame[keep | frame["salted"].to_numpy()]
 
 
 def _linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,8 +264,8 @@ def _bounded_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, label: str) -> DataFrame:
     """The pairs (a, b) of set ids that are linked, by their whole sets."""
     pairs = stage(pairs, f"{label}-pairs")
-    ends = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b"))).distinct()
-    ids = members.join(ends, F.col("sid") == F.col("s"), "left_semi").groupBy("sid").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    ends = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b")))
+    ids = members.join(ends, F.col("sid") == F.col("s"), "left_semi").groupBy("sid").agg(F.min("doc_id").alias("id")).select("id")
     ids = stage(ids, f"{label}-ids")
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = texts.select("text").mapInPandas(_sets, "s long, elements binary").groupBy("s").agg(F.first("elements").alias("elements"))
@@ -259,6 +274,43 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, label: str)
     return stage(joined.mapInPandas(_linked, "a long, b long"), f"{label}-links")
 
 
+def _to_centres(labelled: DataFrame, round_: int) -> DataFrame:
+    """(a, b): each set with up to CENTRES of the random centres of its lists, by shared keys."""
+    banded = labelled.withColumn("band", F.floor(F.log("n") * 3 + F.lit(round_ / CENTRE_ROUNDS)).cast("int"))
+    drawn = [F.min(F.struct(F.xxhash64("sid", F.lit(round_ * CENTRES + k)).alias("h"), "sid", "n", "root")).alias(f"c{k}") for k in range(CENTRES)]
+    centres = banded.groupBy("key", "band").agg(F.count("*").alias("held"), *drawn).where("held > 1").drop("held")
+    met = banded.join(centres, ["key", "band"]).select("sid", "n", "root", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("c"))
+    met = met.where("root <> c.root and 4 * least(n, c.n) >= 3 * greatest(n, c.n)").groupBy("sid", F.col("c.sid").alias("c")).count()
+    # at most a set's own keys
+    best = met.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "c")), asc=False), 1, CENTRES).alias("m"))
+    best = best.select("sid", F.explode("m").alias("m"))
+    return best.select(F.greatest("sid", "m.c").alias("a"), F.least("sid", "m.c").alias("b")).distinct()
+
+
+def _apart(labelled: DataFrame) -> DataFrame:
+    """(a, b) for every key under which two sets of different components may be linked."""
+    apart = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    open_ = labelled.join(apart, "key", "left_semi")
+    a = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "rest", "heavy", "root")])
+    b = open_.select(F.col("key").alias("k"), *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "rest", "heavy", "root")])
+    fits = (
+        "key = k and sid_a > sid_b and root_a <> root_b and heavy_a + heavy_b > 0 and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b) "
+        "and 7 * least(rest_a, rest_b) >= 3 * (n_a + n_b)"
+    )
+    return a.join(b, F.expr(fits)).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("size"))
+
+
+def _to_best(pairs: DataFrame) -> DataFrame:
+    """Each set with the few sets apart from it that share most keys for their sizes."""
+    met = pairs.groupBy("a", "b").agg((F.count("*") / F.first("size")).alias("share"))
+    best = F.struct("share", F.xxhash64("a", "b").alias("h"), "a", "b")
+    ends = met.select(F.col("a").alias("s"), best.alias("m")).union(met.select("b", best))
+    # by the best partner, and by partners drawn by hash among those nearly as good
+    drawn = [F.max(F.struct(F.floor(F.col("m.share") * 12).alias("step"), F.xxhash64("m.h", F.lit(k)), "m"))["m"] for k in range(4)]
+    some = ends.groupBy("s").agg(F.array(F.max("m"), *drawn).alias("m")).select(F.explode("m").alias("m"))
+    return some.select("m.a", "m.b").distinct()
+
+
 def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, text_hash, sid, n, counts; links: a, b), staged.  ``docs`` needs doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -278,38 +330,24 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     columns = "key long, salt int, salted boolean, sid long, n int, rest int, heavy byte"
     postings = docs.select("text").mapInPandas(_postings(shared, light_to), columns)
-    postings = postings.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt")
+    postings = postings.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt", "n")
     lists = stage(postings.mapInPandas(_shared_keys, columns).drop("salt", "salted").distinct(), "inverted-lists")
 
-    # Contract: each set against a few centres, the ones it shares most keys with.
+    # Contract: each set against the few random centres that it shares most keys
+    # with, then against its best partner of all.
     links, labelled = None, stage(lists.withColumn("root", F.col("sid")), "labelled-lists")
-    for round_ in range(CENTRE_ROUNDS):
-        near = None
-        for seed in range(round_ * CENTRES, (round_ + 1) * CENTRES):
-            banded = labelled.withColumn("band", F.floor(F.log("n") * 3 + F.lit(seed / 7)).cast("int"))
-            centres = banded.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("sid", F.lit(seed)).alias("h"), "sid", "n", "root")).alias("c"))
-            pairs = banded.join(centres, ["key", "band"]).where("root <> c.root and 4 * least(n, c.n) >= 3 * greatest(n, c.n)")
-            best = pairs.groupBy("sid", F.col("c.sid").alias("c")).count().groupBy("sid").agg(F.max(F.struct("count", "c")).alias("m"))
-            best = best.select(F.greatest("sid", "m.c").alias("a"), F.least("sid", "m.c").alias("b"))
-            near = best if near is None else near.union(best)
-        found = _verified(near.distinct(), members, docs, "centre")
+    for round_ in range(CENTRE_ROUNDS + 1):
+        near = _to_centres(labelled, round_) if round_ < CENTRE_ROUNDS else _to_best(_apart(labelled))
+        found = _verified(near, members, docs, "near")
         links = found if links is None else links.union(found)
-        roots = components(links)
+        roots = contracted(links)
         labelled = lists.join(roots, F.col("sid") == F.col("v"), "left").select("key", "sid", "n", "rest", "heavy", F.coalesce("root", "sid").alias("root"))
         labelled = stage(labelled, "labelled-lists")
 
     # Then all pairs still apart.
-    apart = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = labelled.join(apart, "key", "left_semi")
-    a = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "rest", "heavy", "root")])
-    b = open_.select(F.col("key").alias("k"), *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "rest", "heavy", "root")])
-    fits = (
-        "key = k and sid_a > sid_b and root_a <> root_b and heavy_a + heavy_b > 0 and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b) "
-        "and 7 * least(rest_a, rest_b) >= 3 * (n_a + n_b)"
-    )
-    pairs = stage(a.join(b, F.expr(fits)).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), "open-pairs")
+    pairs = stage(_apart(labelled).select("a", "b").distinct(), "open-pairs")
     vectors = members.where("n > 1").groupBy("sid").agg(F.first("counts").alias("counts"))
-    ends = pairs.select("a").union(pairs.select("b")).distinct()
+    ends = pairs.select("a").union(pairs.select("b"))
     vectors = stage(vectors.join(ends, F.col("sid") == F.col("a"), "left_semi"), "bucket-counts")
     pairs = pairs.join(vectors.select(F.col("sid").alias("a"), F.col("counts").alias("x")), "a").join(vectors.select(F.col("sid").alias("b"), F.col("counts").alias("y")), "b")
     second = _verified(pairs.mapInPandas(_bounded_counts, "a long, b long"), members, docs, "open")
@@ -350,3 +388,19 @@ def one_per_group(docs: DataFrame) -> DataFrame:
         return out
     once = out.join(sent(twice), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return out.join(sent(twice), same, "left_anti").unionByName(once)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.doc_id)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM c LEFT JOIN n USING (doc_id) GROUP BY 1
+"""

@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from marlstone.llm import graph, ngramjoin
@@ -90,6 +91,13 @@ def test_table(spark, monkeypatch, bits, light):
     check(spark, rows)
 
 
+def test_sql_agrees_with_plain_search():
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    rows = con.sql("select doc_id, text from documents").fetchall()
+    assert sorted(con.sql(ngramjoin.SQL).fetchall()) == sorted(brute(rows))
+
+
 def test_empty(spark):
     assert ngramjoin.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
