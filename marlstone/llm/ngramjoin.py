@@ -54,6 +54,8 @@ SCAN_COST = 3.0
 LIST_ROWS = 50_000
 POSTING_ROWS = 200_000
 CENTRE_ROUNDS, CENTRES = 1, 6
+#: A pair is tried for contraction if it shares a key for every so many elements.
+PROMISING = 16
 BUCKETS = 128
 #: Rows of ids up to which they are broadcast; beyond, the join is by shuffle.
 BROADCAST_ROWS = 500_000
@@ -280,7 +282,8 @@ def _to_centres(labelled: DataFrame, round_: int) -> DataFrame:
     drawn = [F.min(F.struct(F.xxhash64("sid", F.lit(round_ * CENTRES + k)).alias("h"), "sid", "n", "root")).alias(f"c{k}") for k in range(CENTRES)]
     centres = banded.groupBy("key", "band").agg(F.count("*").alias("held"), *drawn).where("held > 1").drop("held")
     met = banded.join(centres, ["key", "band"]).select("sid", "n", "root", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("c"))
-    met = met.where("root <> c.root and 4 * least(n, c.n) >= 3 * greatest(n, c.n)").groupBy("sid", F.col("c.sid").alias("c")).count()
+    met = met.where("root <> c.root and 4 * least(n, c.n) >= 3 * greatest(n, c.n)").groupBy("sid", F.col("c.sid").alias("c"))
+    met = met.agg(F.count("*").alias("count"), F.first("n").alias("n")).where(F.col("count") * PROMISING >= F.col("n"))
     # at most a set's own keys
     best = met.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "c")), asc=False), 1, CENTRES).alias("m"))
     best = best.select("sid", F.explode("m").alias("m"))
@@ -303,6 +306,7 @@ def _apart(labelled: DataFrame) -> DataFrame:
 def _to_best(pairs: DataFrame) -> DataFrame:
     """Each set with the few sets apart from it that share most keys for their sizes."""
     met = pairs.groupBy("a", "b").agg((F.count("*") / F.first("size")).alias("share"))
+    met = met.where(F.col("share") * (6 * PROMISING) >= 1)
     best = F.struct("share", F.xxhash64("a", "b").alias("h"), "a", "b")
     ends = met.select(F.col("a").alias("s"), best.alias("m")).union(met.select("b", best))
     # by the best partner, and by partners drawn by hash among those nearly as good
