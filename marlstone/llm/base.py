@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,24 +17,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a private one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset, a folder of the machine serves a local session; a cluster
+    could not reach it, so there an error is raised.
+    """
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(named or f"{context._jvm.System.getProperty('java.io.tmpdir')}/marlstone-{uuid.uuid4().hex}")
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: what reads the result survives the loss of any executor
-    and never recomputes ``df``.
+    and never recomputes ``df``.  Staged frames that nothing will read again,
+    ``instead_of``, are deleted once it is written.
     """
-    path = f"{shared_dir(df.sparkSession)}/staged/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    for old in instead_of:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old.staged_at)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
+
+
+def unused(names: Iterable[str], *stems: str) -> list[str]:
+    """A column name for each stem that none of ``names`` equals, whatever the case."""
+    held, out = {x.lower() for x in names}, []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def unsigned_crc32(text: Column) -> Column:

@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from .base import stage
 
 MAX_ROUNDS = 60
+#: Edges of a vertex from which on it is a hub, and hubs that may be broadcast.
+HUB_EDGES, HUBS = 20_000, 500_000
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of ``edges`` (a, b) but the roots themselves; root is the smallest.
 
-    Repeats a round of two steps until nothing changes: every vertex hands its
-    larger neighbours to its smallest one, then its smaller ones.  Minima are combined
-    before they are shuffled and no vertex's neighbours are gathered, so a hub
-    costs no more than its edges.  Each round is written to the shared folder.
+    Vertices are of any one type that Spark orders.  Repeats a round of two steps
+    until nothing changes: every vertex hands its larger neighbours to its
+    smallest one, then its smaller ones.  Minima are combined before they are
+    shuffled and no vertex's neighbours are gathered; the edges of hubs are
+    joined where they lie, not shuffled to one task.  Each round is written to the
+    shared folder.
     """
     now = stage(_ordered(edges).distinct(), "edges")
     state = _fingerprint(now)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        now = stage(_round(now), "stars")
+        now = stage(_round(now, state[0]), "stars", instead_of=(now,))
         was, state = state, _fingerprint(now)
         if was == state:
             break
@@ -32,25 +36,26 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
-def contracted(edges: DataFrame, rounds: int = 2) -> DataFrame:
-    """(v, root) after a few rounds: root is some smaller vertex of v's component, if v has one."""
-    now = _ordered(edges)
-    for _ in range(rounds - 1):
-        now = stage(_round(now), "stars")
-    return _round(now).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("root"))
-
-
 def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def _round(now: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, hub_edges: int) -> DataFrame:
+    """``edges`` (a, b) with ``m`` of ``least`` (u, m, degree) for their a."""
+    # a vertex counts its edges, so there are at most edges / hub_edges hubs
+    hubs = F.broadcast(least.where(F.col("degree") >= hub_edges).select("u", "m"))
+    plain = edges.join(hubs, F.col("a") == F.col("u"), "left_anti").join(least.where(F.col("degree") < hub_edges).select("u", "m"), F.col("a") == F.col("u"))
+    return plain.unionByName(edges.join(hubs, F.col("a") == F.col("u")))
+
+
+def _round(now: DataFrame, count: int) -> DataFrame:
     """Every vertex hands its larger neighbours to its smallest one, then its smaller ones."""
+    hub_edges = max(HUB_EDGES, 2 * count // HUBS)
     both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-    small = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("degree"))
+    large = _with_least(both.where("b > a"), least, hub_edges).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+    small = _with_least(large, least, hub_edges).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return small.union(least.select("u", "m")).distinct()
 
 

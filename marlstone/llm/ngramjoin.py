@@ -14,19 +14,22 @@ any partner in t = ceil(0.75 n) elements or more, so
   sets large enough to be linked to a heavy one are entered in those lists too.
 
 The boundary is the size with the least cost over the corpus's histogram of
-sizes.  Both kinds of key make one table of postings.
+sizes.  Both kinds of key make one table of postings; those whose key no other
+set holds are dropped.  ``rest`` is the number of a set's elements from a posting
+on: a partner first met there can share no more.
 
-Candidates are verified in two steps.  First every set is verified against a few
-random centres of its lists; that contracts groups of near copies without making
-all their pairs.  Then all pairs whose ends are still apart are made, under a
-length, a position and a counting filter (each a bound that no link violates),
-and verified exactly.  Components of the links are the classes.
+Pairs are made in two steps.  First every set is verified against a few centres
+of its lists, those with the largest rest for their size; that contracts groups
+of near copies without making their pairs.  Then all pairs whose ends are still
+apart are made under a length and a rest filter (bounds that no link violates)
+and verified by their whole sets.  Components of the links are the classes.
 
 Null and blank texts have size 0 and are linked with nothing.  Null ids never
-name a class unless it has no other.  Repeated rows share a class.  Sets are
-known by 64 hashed bits, shingles too.  Hot lists are dealt over salts, no list
-or group is gathered in one place, and only the sketch, of a fixed size, reaches
-the driver.
+name a class unless it has no other.  Repeated rows share a class.  Extra
+columns are ignored.  Sets are equal if 128 hashed bits are; shingles are known
+by 64.  The pruning deals hot lists over salts; the later joins have plain
+tables on both sides, so that Spark splits the hot keys; only the sketch, of a
+fixed size, reaches the driver.
 """
 
 from __future__ import annotations
@@ -36,12 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .base import stage
-from .graph import components, contracted
+from .base import stage, unused
+from .graph import components
 
 SHINGLE = 5
 PERCENT = 75
@@ -51,14 +54,14 @@ SKETCH_BITS, BLOCK = 22, 4096
 LIGHT_AT_MOST = 64
 #: Cost of scanning an inverted list against that of one enumerated subset.
 SCAN_COST = 3.0
-LIST_ROWS = 50_000
-POSTING_ROWS = 200_000
-CENTRE_ROUNDS, CENTRES = 1, 6
-#: A pair is tried for contraction if it shares a key for every so many elements.
-PROMISING = 16
-BUCKETS = 128
-#: Rows of ids up to which they are broadcast; beyond, the join is by shuffle.
+#: Postings of a key wanted under one salt, beyond the sketch's mean.
+LIST_ROWS = 20_000
+POSTING_ROWS = 100_000
+CENTRE_ROUNDS = 2
+#: Rows of hashes up to which they are broadcast; beyond, the join is by shuffle.
 BROADCAST_ROWS = 500_000
+#: Kinds of posting: a light set's element, a heavy set's, a light set's subset.
+LIGHT, HEAVY, SUBSET = 0, 1, 2
 
 _TAPS = [np.uint64(int(x) | 1) for x in np.random.default_rng(41).integers(1, 2**63, SHINGLE)]
 _EMPTY = np.zeros(0, np.uint64)
@@ -85,37 +88,39 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
                 at += c
 
 
-def set_id(shingles: np.ndarray) -> int:
+def set_id(shingles: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a set."""
     with np.errstate(over="ignore"):
-        total = wordhash.mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(shingles))
-    return int(total.astype(np.int64))
+        sums = [wordhash.mix(shingles ^ np.uint64(x)).sum(dtype=np.uint64) + np.uint64(len(shingles)) for x in (0xA5A5A5A5A5A5A5A5, 0x3C3C96965A5A0F0F)]
+    return int(sums[0].astype(np.int64)), int(sums[1].astype(np.int64))
+
+
+def _texts(frame: pd.DataFrame) -> list[str | None]:
+    return frame["text"].where(frame["text"].notna(), None).tolist()
 
 
 def _described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per document: set id, size and bucket counts; at the end, the task's sketch."""
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    held: list[np.ndarray] = []
-    room = 0
+    """Per document: set id and size; at the end, the task's sketch."""
+    sketch = np.zeros(1 << SKETCH_BITS, np.int32)
     for frame in frames:
-        sids, sizes, vectors = [], [], []
-        for s in shingle_sets(frame["text"].where(frame["text"].notna(), None).tolist()):
+        sids, sizes = [], []
+        for s in shingle_sets(_texts(frame)):
             sids.append(set_id(s))
             sizes.append(len(s))
-            vectors.append(np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 65535).astype("<u2").tobytes() if len(s) else b"")
-            held.append(s >> np.uint64(64 - SKETCH_BITS))
-            room += len(s)
-            if room > 1 << 21:
-                sketch += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(sketch))
-                held, room = [], 0
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "sid": pd.Series(sids, dtype="int64"), "n": pd.Series(sizes, dtype="int64"), "counts": vectors, "block": -1, "text_hash": frame["text_hash"]})
-    if held:
-        sketch += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(sketch))
+            # the elements are sorted, so equal counters are neighbours
+            at = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+            sketch[at[first]] += np.diff(np.r_[first, len(at)]).astype(np.int32)
+        yield pd.DataFrame({
+            "doc_id": frame["doc_id"], "sid": pd.Series([a for a, _ in sids], dtype="int64"), "sid2": pd.Series([b for _, b in sids], dtype="int64"),
+            "n": pd.Series(sizes, dtype="int64"), "counts": None, "block": -1, "text_hash": frame["text_hash"],
+        })
     blocks = sketch.reshape(-1, BLOCK)
     for first in range(0, len(blocks), 64):
         some = [k for k in range(first, first + 64) if k < len(blocks) and blocks[k].any()]
         if some:
             packed = [zlib.compress(np.minimum(blocks[k], 65535).astype("<u2").tobytes(), 1) for k in some]
-            yield pd.DataFrame({"doc_id": pd.Series([None] * len(some), dtype=object), "sid": 0, "n": 0, "counts": packed, "block": some, "text_hash": 0})
+            yield pd.DataFrame({"doc_id": pd.Series([None] * len(some), dtype=object), "sid": 0, "sid2": 0, "n": 0, "counts": packed, "block": some, "text_hash": 0})
 
 
 def _summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,26 +152,23 @@ def boundary(sizes: dict[int, int]) -> int:
     return min(range(1, LIGHT_AT_MOST + 1), key=cost)
 
 
-def _postings(shared, light_to: int):
-    """(key, salt, sid, n, rest, heavy) for the prefix elements and subsets of each set."""
+def _postings(shared, light_to: int, mean: float):
+    """(key, salt, salts, sid, n, rest, kind) for the prefix elements and subsets of each set."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks = np.frombuffer(shared.value, np.uint8)
-        done: set[int] = set()
+        done: set[tuple[int, int]] = set()
         for frame in frames:
             held: list[tuple] = []
             room = 0
-
-            def give(key, rank, sid, n, rest, heavy, held=held):
-                held.append((key, rank, rest, np.full(len(key), sid), np.full(len(key), n, np.int32), np.full(len(key), heavy, np.int8)))
-                return len(key)
-
-            for s in shingle_sets(frame["text"].where(frame["text"].notna(), None).tolist()):
+            for s in shingle_sets(_texts(frame)):
                 n = len(s)
-                sid = set_id(s) if n else 0
-                if n < 2 or sid in done:  # a set of one element is linked only with equal sets
+                if n < 2:  # a set of one element is linked only with equal sets
+                    continue
+                both = set_id(s)
+                if both in done:
                     continue
-                done.add(sid)
+                done.add(both)
                 rank = ranks[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 p = prefix(n, 2)
                 order = (rank.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
@@ -177,35 +179,35 @@ def _postings(shared, light_to: int):
                     i, j = np.triu_indices(p, 1)
                     with np.errstate(over="ignore"):
                         subset = wordhash.mix(np.minimum(element[i], element[j]) * _TAPS[0] + np.maximum(element[i], element[j]) * _TAPS[1])
-                    room += give(subset, np.minimum(rank[i], rank[j]), sid, n, np.full(len(subset), n, np.int32), 2)
+                    held.append((subset, np.minimum(rank[i], rank[j]), np.full(len(subset), n), both[0], n, SUBSET))
+                    room += len(subset)
                 if 100 * n >= PERCENT * (light_to + 1):
                     q = prefix(n)
-                    room += give(element[:q], rank[:q], sid, n, (n - np.arange(q)).astype(np.int32), int(n > light_to))
+                    held.append((element[:q], rank[:q], n - np.arange(q), both[0], n, HEAVY if n > light_to else LIGHT))
+                    room += q
                 if room > POSTING_ROWS:
-                    yield _posting_frame(held)
-                    held.clear()
-                    room = 0
+                    yield _posting_frame(held, mean)
+                    held, room = [], 0
             if held:
-                yield _posting_frame(held)
+                yield _posting_frame(held, mean)
 
     return run
 
 
-def _posting_frame(held: list[tuple]) -> pd.DataFrame:
-    key, rank, rest, sid, n, heavy = (np.concatenate(part) for part in zip(*held, strict=True))
-    salts = np.ceil(2.0 ** (rank / 8.0) / LIST_ROWS).astype(np.uint64)
-    salt = (sid.astype(np.uint64) % salts).astype(np.int32)
-    return pd.DataFrame({"key": key.astype(np.int64), "salt": salt, "salted": salts > 1, "sid": sid, "n": n, "rest": rest, "heavy": heavy})
+def _posting_frame(held: list[tuple], mean: float) -> pd.DataFrame:
+    key, rank, rest = (np.concatenate([h[k] for h in held]) for k in range(3))
+    sid, n, kind = (np.repeat([h[k] for h in held], [len(h[0]) for h in held]) for k in range(3, 6))
+    salts = np.ceil(np.maximum(2.0 ** (rank / 8.0) - mean, 1) / LIST_ROWS).astype(np.int32)
+    salt = (sid.astype(np.uint64) % salts.astype(np.uint64)).astype(np.int32)
+    return pd.DataFrame({"key": key.astype(np.int64), "salt": salt, "salts": salts, "sid": sid, "n": n.astype(np.int32), "rest": rest.astype(np.int32), "kind": kind.astype(np.int8)})
 
 
 def _shared_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of postings sorted by key, salt and size, those with a possible partner under the key.
+    """Of postings sorted by key, salt, size and set, those with a possible partner under the key.
 
-    Two postings alone under a key are tested by length and position; among more,
-    a posting needs a neighbour in size within the ratio.  Salted keys stay whole,
-    as partners may be under another salt.
+    Repeated ones go, and two alone under a key that their rest forbids to be
+    linked.  Salted keys stay whole, as partners may be under another salt.
     """
-    columns = ["key", "salt", "salted", "sid", "n", "rest", "heavy"]
     carry = None
     for frame in frames:
         frame = frame if carry is None else pd.concat([carry, frame], ignore_index=True)
@@ -214,183 +216,187 @@ def _shared_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
         carry, frame = frame.iloc[new[-1] :], frame.iloc[: new[-1]]
-        yield _kept(frame, new[:-1])[columns]
+        yield _kept(frame)
     if carry is not None:
-        yield _kept(carry, np.array([0]))[columns]
+        yield _kept(carry)
 
 
-def _kept(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+def _kept(frame: pd.DataFrame) -> pd.DataFrame:
+    columns = ["key", "sid", "n", "rest", "kind"]
+    key, salt, sid = (frame[c].to_numpy() for c in ("key", "salt", "sid"))
+    same_list = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
+    fresh = np.r_[True, ~(same_list & (sid[1:] == sid[:-1]))][: len(frame)]
+    frame = frame[fresh]
     if not len(frame):
-        return frame
-    sid, n, rest = (frame[c].to_numpy().astype(np.int64) for c in ("sid", "n", "rest"))
+        return frame[columns]
+    key, salt, salts, n, rest = (frame[c].to_numpy() for c in ("key", "salt", "salts", "n", "rest"))
+    n, rest = n.astype(np.int64), rest.astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
     length = np.diff(np.r_[starts, len(frame)])
-    mixed = np.minimum.reduceat(sid, starts) != np.maximum.reduceat(sid, starts)
-    two = starts[length == 2]
-    fits = (7 * np.minimum(rest[two], rest[two + 1]) >= 3 * (n[two] + n[two + 1])) & (4 * np.minimum(n[two], n[two + 1]) >= 3 * np.maximum(n[two], n[two + 1]))
-    mixed[length == 2] &= fits
     joined = np.zeros(len(frame) + 1, bool)  # to the posting before
     joined[1:-1] = 4 * n[:-1] >= 3 * n[1:]
     joined[starts] = False
-    keep = np.repeat(mixed, length) & (joined[:-1] | joined[1:])
-    return frame[keep | frame["salted"].to_numpy()]
+    keep = joined[:-1] | joined[1:]
+    two = starts[length == 2]
+    unfit = two[7 * np.minimum(rest[two], rest[two + 1]) < 3 * (n[two] + n[two + 1])]
+    keep[unfit] = keep[unfit + 1] = False
+    return frame[columns][keep | (salts > 1)]
 
 
-def _linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        keep = np.zeros(len(frame), bool)
-        for i, (x, y) in enumerate(zip(frame["x"], frame["y"], strict=True)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep[i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
-        yield frame.loc[keep, ["a", "b"]]
+def _fits(a: str, b: str) -> Column:
+    """What no two linked sets violate where they first meet."""
+    return F.expr(
+        f"{a}root <> {b}root and ({a}kind = {HEAVY} or {b}kind = {HEAVY} or {a}kind = {SUBSET}) and 4 * least({a}n, {b}n) >= 3 * greatest({a}n, {b}n) "
+        f"and 7 * least({a}rest, {b}rest) >= 3 * ({a}n + {b}n)"
+    )
 
 
-def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        sets = list(shingle_sets(frame["text"].where(frame["text"].notna(), None).tolist()))
-        yield pd.DataFrame({"s": pd.Series([set_id(s) for s in sets], dtype="int64"), "elements": [s.tobytes() for s in sets]})
+def _to_centres(lists: DataFrame, seed: int) -> DataFrame:
+    """(a, b): each set with up to three of the centres of its lists, those with which it shares most keys."""
+    half = lambda x, salt: F.pmod(F.xxhash64(x, F.lit(salt)), F.lit(2))
+    it = ["n", "rest", "kind", "sid", "root"]
+    best = F.struct((F.col("rest") / F.col("n")).alias("share"), F.xxhash64("sid", F.lit(seed)).alias("h"), *it)
+    any_ = F.struct(F.lit(0.0).alias("share"), F.xxhash64("sid", F.lit(seed)).alias("h"), *it)
+    centres = lists.groupBy("key").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(any_).alias("c2"),
+        *[F.max(F.when(half("root", seed) == k, best)).alias(f"c{k}") for k in (0, 1)],
+    )
+    # written first, so that Spark can split a hot key of the lists
+    centres = stage(centres.where("lo < hi").select("key", "c0", "c1", "c2"), "centres")
+    drawn = F.array(*[F.struct(*[F.col(f"c{k}.{x}").alias(x) for x in it]) for k in range(3)])
+    met = lists.join(centres, "key").select(*it, F.explode(F.array_distinct(drawn)).alias("c"))
+    met = met.select(*it, *[F.col(f"c.{x}").alias(f"c_{x}") for x in it]).where("c_sid is not null").where(_fits("", "c_"))
+    met = met.groupBy("sid", F.col("c_sid").alias("c")).agg((F.count("*") / F.first("c_n")).alias("share"))
+    best = F.struct("share", "c")
+    met = met.groupBy("sid").agg(F.max(best).alias("m"), *[F.max(F.when(half("c", seed + 7) == k, best)).alias(f"m{k}") for k in (0, 1)])
+    met = met.select("sid", F.explode(F.array("m", "m0", "m1")).alias("m")).where("m is not null")
+    return met.select(F.greatest("sid", "m.c").alias("a"), F.least("sid", "m.c").alias("b")).distinct()
+
+
+def _apart(lists: DataFrame) -> DataFrame:
+    """(a, b): all pairs of sets of different components that may be linked."""
+    open_ = lists.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    left = stage(lists.join(stage(open_, "open-keys"), "key", "left_semi"), "open-lists")
+    side = lambda x: left.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "rest", "kind", "root")])
+    pairs = side("a").join(side("b"), "key").where("a_sid > b_sid").where(_fits("a_", "b_"))
+    return pairs.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
 
 
-def _bounded_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs whose bucket counts leave room for the overlap that a link needs."""
+def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    done: set[tuple[int, int]] = set()
     for frame in frames:
-        if len(frame):
-            x = np.frombuffer(b"".join(frame["x"]), "<u2").reshape(len(frame), BUCKETS).astype(np.int64)
-            y = np.frombuffer(b"".join(frame["y"]), "<u2").reshape(len(frame), BUCKETS).astype(np.int64)
-            full = (x >= 65535).any(axis=1) | (y >= 65535).any(axis=1)
-            most = np.minimum(x, y).sum(axis=1)
-            keep = full | ((100 + PERCENT) * most >= PERCENT * (x.sum(axis=1) + y.sum(axis=1)))
-            yield frame.loc[keep, ["a", "b"]]
-
-
-def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, label: str) -> DataFrame:
-    """The pairs (a, b) of set ids that are linked, by their whole sets."""
+        texts = _texts(frame)
+        for first in range(0, len(texts), 256):
+            ids, sets = [], []
+            for s in shingle_sets(texts[first : first + 256]):
+                both = set_id(s)
+                if both not in done:
+                    done.add(both)
+                    ids.append(both)
+                    sets.append(s.astype(np.int64))
+            yield pd.DataFrame({"s": pd.Series([a for a, _ in ids], dtype="int64"), "s2": pd.Series([b for _, b in ids], dtype="int64"), "elements": pd.Series(sets, dtype=object)})
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+    """The pairs of set ids that are linked, by their whole sets: (a, a2, b, b2).  ``reps`` names a text of each set."""
     pairs = stage(pairs, f"{label}-pairs")
-    ends = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b")))
-    ids = members.join(ends, F.col("sid") == F.col("s"), "left_semi").groupBy("sid").agg(F.min("doc_id").alias("id")).select("id")
-    ids = stage(ids, f"{label}-ids")
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = texts.select("text").mapInPandas(_sets, "s long, elements binary").groupBy("s").agg(F.first("elements").alias("elements"))
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    needed = stage(reps.join(ends, "sid", "left_semi").select("text_hash").distinct(), f"{label}-texts")
+    sent = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    texts = docs.select("text").join(sent, F.xxhash64("text") == F.col("text_hash"), "left_semi")
+    sets = texts.mapInPandas(_sets, "s long, s2 long, elements array<long>").groupBy("s", "s2").agg(F.first("elements").alias("e"))
     sets = stage(sets, f"{label}-sets")
-    joined = pairs.join(sets.select(F.col("s").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("elements").alias("y")), "b")
-    return stage(joined.mapInPandas(_linked, "a long, b long"), f"{label}-links")
-
-
-def _to_centres(labelled: DataFrame, round_: int) -> DataFrame:
-    """(a, b): each set with up to CENTRES of the random centres of its lists, by shared keys."""
-    banded = labelled.withColumn("band", F.floor(F.log("n") * 3 + F.lit(round_ / CENTRE_ROUNDS)).cast("int"))
-    drawn = [F.min(F.struct(F.xxhash64("sid", F.lit(round_ * CENTRES + k)).alias("h"), "sid", "n", "root")).alias(f"c{k}") for k in range(CENTRES)]
-    centres = banded.groupBy("key", "band").agg(F.count("*").alias("held"), *drawn).where("held > 1").drop("held")
-    met = banded.join(centres, ["key", "band"]).select("sid", "n", "root", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("c"))
-    met = met.where("root <> c.root and 4 * least(n, c.n) >= 3 * greatest(n, c.n)").groupBy("sid", F.col("c.sid").alias("c"))
-    met = met.agg(F.count("*").alias("count"), F.first("n").alias("n")).where(F.col("count") * PROMISING >= F.col("n"))
-    # at most a set's own keys
-    best = met.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "c")), asc=False), 1, CENTRES).alias("m"))
-    best = best.select("sid", F.explode("m").alias("m"))
-    return best.select(F.greatest("sid", "m.c").alias("a"), F.least("sid", "m.c").alias("b")).distinct()
-
-
-def _apart(labelled: DataFrame) -> DataFrame:
-    """(a, b) for every key under which two sets of different components may be linked."""
-    apart = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = labelled.join(apart, "key", "left_semi")
-    a = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "rest", "heavy", "root")])
-    b = open_.select(F.col("key").alias("k"), *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "rest", "heavy", "root")])
-    fits = (
-        "key = k and sid_a > sid_b and root_a <> root_b and heavy_a + heavy_b > 0 and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b) "
-        "and 7 * least(rest_a, rest_b) >= 3 * (n_a + n_b)"
-    )
-    return a.join(b, F.expr(fits)).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("size"))
-
-
-def _to_best(pairs: DataFrame) -> DataFrame:
-    """Each set with the few sets apart from it that share most keys for their sizes."""
-    met = pairs.groupBy("a", "b").agg((F.count("*") / F.first("size")).alias("share"))
-    met = met.where(F.col("share") * (6 * PROMISING) >= 1)
-    best = F.struct("share", F.xxhash64("a", "b").alias("h"), "a", "b")
-    ends = met.select(F.col("a").alias("s"), best.alias("m")).union(met.select("b", best))
-    # by the best partner, and by partners drawn by hash among those nearly as good
-    drawn = [F.max(F.struct(F.floor(F.col("m.share") * 12).alias("step"), F.xxhash64("m.h", F.lit(k)), "m"))["m"] for k in range(4)]
-    some = ends.groupBy("s").agg(F.array(F.max("m"), *drawn).alias("m")).select(F.explode("m").alias("m"))
-    return some.select("m.a", "m.b").distinct()
+    side = lambda x: sets.select(*[F.col(c).alias(x + c[1:]) for c in ("s", "s2")], F.col("e").alias(f"{x}_e"))
+    both = F.size(F.array_intersect("a_e", "b_e"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    links = joined.where(100 * both >= PERCENT * (F.size("a_e") + F.size("b_e") - both)).select("a", "a2", "b", "b2")
+    return stage(links, f"{label}-links", instead_of=(pairs, needed, sets))
 
 
 def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, text_hash, sid, n, counts; links: a, b), staged.  ``docs`` needs doc_id and text."""
+    """(members: doc_id, text_hash, sid, sid2, n; links: a, a2, b, b2), staged.  ``docs`` needs doc_id and text.
+
+    The links are as many as make the components, not all there are.
+    """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     # ids travel as text: among nulls, pandas would make them floating point
     described = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    described = described.mapInPandas(_described, "doc_id string, sid long, n long, counts binary, block long, text_hash long")
+    described = described.mapInPandas(_described, "doc_id string, sid long, sid2 long, n long, counts binary, block long, text_hash long")
     described = stage(described.withColumn("doc_id", F.col("doc_id").cast("bigint")), "shingle-sets")
-    members = described.where("block < 0").drop("block")
+    members = described.where("block < 0").drop("block", "counts")
     blocks = described.where("block >= 0").select("block", "counts")
     blocks = blocks.repartition(F.col("block")).mapInPandas(_summed, "block long, ranks binary").collect()
     ranks = bytearray(1 << SKETCH_BITS)
     for r in blocks:  # a fixed size, whatever the corpus
         ranks[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = r["ranks"]
     shared = docs.sparkSession.sparkContext.broadcast(bytes(ranks))
+    mean = (members.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
     sizes = members.where(F.col("n").between(1, 2 * LIGHT_AT_MOST)).groupBy("n").count().collect()
     light_to = boundary({r["n"]: r["count"] for r in sizes})
 
-    columns = "key long, salt int, salted boolean, sid long, n int, rest int, heavy byte"
-    postings = docs.select("text").mapInPandas(_postings(shared, light_to), columns)
-    postings = postings.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt", "n")
-    lists = stage(postings.mapInPandas(_shared_keys, columns).drop("salt", "salted").distinct(), "inverted-lists")
-
-    # Contract: each set against the few random centres that it shares most keys
-    # with, then against its best partner of all.
-    links, labelled = None, stage(lists.withColumn("root", F.col("sid")), "labelled-lists")
-    for round_ in range(CENTRE_ROUNDS + 1):
-        near = _to_centres(labelled, round_) if round_ < CENTRE_ROUNDS else _to_best(_apart(labelled))
-        found = _verified(near, members, docs, "near")
-        links = found if links is None else links.union(found)
-        roots = contracted(links)
-        labelled = lists.join(roots, F.col("sid") == F.col("v"), "left").select("key", "sid", "n", "rest", "heavy", F.coalesce("root", "sid").alias("root"))
-        labelled = stage(labelled, "labelled-lists")
+    postings = docs.select("text").mapInPandas(_postings(shared, light_to, mean), "key long, salt int, salts int, sid long, n int, rest int, kind byte")
+    postings = postings.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt", "n", "sid")
+    lists = postings.mapInPandas(_shared_keys, "key long, sid long, n int, rest int, kind byte")
+    labelled = stage(lists.withColumn("root", F.col("sid")), "labelled-lists")
+    reps = stage(members.where("n > 1").groupBy("sid", "sid2").agg(F.min("text_hash").alias("text_hash")), "set-texts")
 
+    # Contract: each set against the centres that it shares most keys with.
+    links = None
+    for round_ in range(CENTRE_ROUNDS):
+        found = _verified(_to_centres(labelled, round_), reps, docs, "centre")
+        links = found if links is None else links.union(found)
+        roots = components(links.select("a", "b"))
+        renamed = labelled.drop("root").join(roots, F.col("sid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "sid")).drop("v")
+        labelled = stage(renamed, "labelled-lists", instead_of=(labelled,))
     # Then all pairs still apart.
-    pairs = stage(_apart(labelled).select("a", "b").distinct(), "open-pairs")
-    vectors = members.where("n > 1").groupBy("sid").agg(F.first("counts").alias("counts"))
-    ends = pairs.select("a").union(pairs.select("b"))
-    vectors = stage(vectors.join(ends, F.col("sid") == F.col("a"), "left_semi"), "bucket-counts")
-    pairs = pairs.join(vectors.select(F.col("sid").alias("a"), F.col("counts").alias("x")), "a").join(vectors.select(F.col("sid").alias("b"), F.col("counts").alias("y")), "b")
-    second = _verified(pairs.mapInPandas(_bounded_counts, "a long, b long"), members, docs, "open")
-    return members, links.union(second)
+    return members, links.union(_verified(_apart(labelled), reps, docs, "open"))
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, text_hash, n and the root of its set's component."""
+    """Per row of ``docs``: doc_id, text_hash, n and the root of its set's component, which is a name of a set."""
     members, links = link_sets(docs)
-    roots = components(stage(links, "set-links"))
-    placed = members.select("doc_id", "text_hash", "sid", "n").join(roots, F.col("sid") == F.col("v"), "left")
-    return placed.select("doc_id", "text_hash", "n", F.coalesce("root", "sid").alias("root"))
+    name = lambda x: F.concat(F.hex(x), F.lit("."), F.hex(f"{x}2"))
+    roots = stage(components(links.select(name("a").alias("a"), name("b").alias("b"))), "set-roots")
+    placed = members.select("doc_id", "text_hash", "n", name("sid").alias("set"))
+    placed = placed.join(roots, F.col("set") == F.col("v"), "left")
+    return stage(placed.select("doc_id", "text_hash", "n", F.coalesce("root", "set").alias("root")), "placed-sets")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id."""
     placed = _placed(docs)
-    named = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = placed.alias("p").join(named.alias("g"), (F.col("p.root") == F.col("g.root")) & (F.col("p.n") > 0), "left")
+    # only classes of several rows; written first, so that Spark can split a hot class
+    named = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    out = placed.alias("p").join(stage(named, "class-names").alias("g"), (F.col("p.root") == F.col("g.root")) & (F.col("p.n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id (null last), then text hash.
+    """``docs`` with one row of each group: that of the smallest id (null last), then text hash, then hash of the row.
 
     Rows without words are in no group and all stay.
     """
-    placed = stage(_placed(docs).where("n > 0"), "placed-sets")
-    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("k"))
-    gone = placed.join(kept, "root").where("not (doc_id <=> k.doc_id and text_hash = k.text_hash)")
-    gone = stage(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "removed-sets")
-    twice = placed.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).count().where("count > 1").select("_id", "_hash")
-    twice = stage(twice, "repeated-rows")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    id_, hash_, row_ = unused(docs.columns, "id", "hash", "row")
+    placed = _placed(docs).where("n > 0")
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("k"), F.count("*").alias("rows"))
+    kept = stage(kept.where("rows > 1").drop("rows"), "kept-rows")
+    grouped = placed.join(kept, "root").select(
+        F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.expr("doc_id <=> k.doc_id and text_hash = k.text_hash").alias("stays")
+    )
+    grouped = stage(grouped, "group-rows", instead_of=(kept,))
+    gone = stage(grouped.where("not stays").select(id_, hash_).distinct(), "removed-rows")
+    twice = stage(grouped.where("stays").groupBy(id_, hash_).count().where("count > 1").select(id_, hash_), "repeated-rows")
     sent = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
     out = docs.join(sent(gone), same, "left_anti")
     if twice.isEmpty():
         return out
-    once = out.join(sent(twice), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    # of repeated rows the one with the least hash; rows of equal hash are equal
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = stage(out.join(sent(twice), same).withColumn(row_, F.xxhash64(*plain)), "repeated-texts")
+    first = stage(rows.groupBy(id_, hash_).agg(F.min(row_).alias("first")), "first-rows")
+    once = rows.alias("r").join(sent(first).alias("f"), F.expr(f"r.`{id_}` <=> f.`{id_}` and r.`{hash_}` = f.`{hash_}` and r.`{row_}` = f.first"))
+    once = once.select("r.*").dropDuplicates([id_, hash_]).select(*docs.columns)
     return out.join(sent(twice), same, "left_anti").unionByName(once)
 
 
