@@ -3,25 +3,30 @@
 A vector, padded to a power of two and rotated by three rounds of random signs
 and Hadamard transforms, hashes to the nearest signed axis.  ``k`` such hashes
 make a bucket; every vector enters its own bucket and the ``PROBES - 1`` next
-likeliest ones in each of ``TABLES`` tables.  ``k`` follows from the number of
-distinct vectors, so that chance meetings per row stay few at any size.
+likeliest ones in each table.  ``k`` follows from the number of distinct vectors,
+so that chance meetings per row stay few at any size, and the number of tables
+grows with ``k``, so that recall stays (0.99 at least, see the tests).
 
 Vectors that share a bucket are candidates; every link is verified by its cosine
 in double precision (at least ``COSINE``).  Candidates are first verified against
 a few random centres of their buckets, which contracts groups of near copies;
 then all pairs still apart are verified.  Links only join vectors of one
 component, so ``n_links`` is counted exactly within each component, in tiles of
-``TILE`` by ``TILE`` vectors, and no pair of a group is ever a row.
+``TILE`` by ``TILE`` vectors, and no pair of a group is ever a row.  A cosine too
+near the bound for a matrix product's rounding is summed exactly, so both steps
+decide alike.
 
 Exact copies are one vertex with a multiplicity.  Vectors that are null, empty,
 zero or hold null or non-finite components link with nothing and are their own
 component.  Vectors of different length never link.  A null vec_id counts as a
 linked vector but names no component; its ``kept`` is false.  Repeated rows
-count as copies.  Vertices are known by 64 hashed bits of the vector.
+count as copies.  Vectors are equal if 128 hashed bits are.  Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import stage
-from .graph import components, contracted
+from .graph import components
 
 COSINE = 0.95
 TABLES, PROBES = 8, 6
+#: Tables more for each hash beyond the fourth.
+MORE_TABLES = 5
 #: Buckets wanted per entry of a table.
 ROOM = 8
 CENTRES = 3
-TILE = 512
+TILE, SLAB = 2048, 512
+#: Distance from the bound within which a cosine is summed exactly.
+NEAR = 1e-9
 SEED = 97
 
 
@@ -46,6 +55,10 @@ def hashes_for(n: int, dims: int) -> int:
     return max(2, int(np.ceil(np.log(max(2, n) * PROBES * ROOM) / np.log(2 * dims))))
 
 
+def tables_for(k: int) -> int:
+    return TABLES + MORE_TABLES * max(0, k - 4)
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast transform of every row, in place; the width is a power of two."""
     n, d = x.shape
@@ -70,16 +83,16 @@ def rotated(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def buckets(vectors: np.ndarray, k: int) -> np.ndarray:
-    """Bucket keys (n, TABLES, PROBES) of unit rows."""
+    """Bucket keys (n, tables, PROBES) of unit rows."""
     n, dims = vectors.shape
     width = max(2, 1 << int(np.ceil(np.log2(max(2, dims)))))
     x = np.zeros((n, width), np.float32)
     x[:, :dims] = vectors
-    out = np.zeros((n, TABLES, PROBES), np.uint64)
+    out = np.zeros((n, tables_for(k), PROBES), np.uint64)
     rows = np.arange(n)[:, None]
     keep = min(3, width)
     with np.errstate(over="ignore"):
-        for t in range(TABLES):
+        for t in range(tables_for(k)):
             axes, losses = [], []
             for j in range(k):
                 y = rotated(x, t * 64 + j)
@@ -129,21 +142,36 @@ def _entries(k_by_dims: dict[int, int]):
     return run
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of ``x`` are linked to which of ``y`` (unit rows)."""
+    cosine = x @ y.T
+    out = cosine >= COSINE
+    for i, j in zip(*np.nonzero(np.abs(cosine - COSINE) < NEAR), strict=True):
+        out[i, j] = math.fsum(x[i] * y[j]) >= COSINE
+    return out
+
+
 def _close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        keep = [len(x) == len(y) and float(unit(x) @ unit(y)) >= COSINE for x, y in zip(frame["x"], frame["y"], strict=True)]
+        keep = [len(x) == len(y) and bool(linked(unit(x)[None], unit(y)[None])[0, 0]) for x, y in zip(frame["x"], frame["y"], strict=True)]
         yield frame.loc[np.array(keep, bool), ["a", "b"]]
 
 
 def _tile(frame: pd.DataFrame) -> pd.DataFrame:
     """Links of each vector to those of the other side of the tile; both sides if it lies on the diagonal."""
     vectors, n, vid = np.stack([unit(v) for v in frame["embedding"]]), frame["m"].to_numpy(), frame["vid"].to_numpy()
-    left, right = frame["side"].to_numpy() <= 0, frame["side"].to_numpy() >= 0
-    near = vectors[left] @ vectors[right].T >= COSINE
-    if (frame["side"] == 0).all():
-        np.fill_diagonal(near, False)
-        return pd.DataFrame({"vid": vid, "links": near @ n})
-    return pd.DataFrame({"vid": np.concatenate([vid[left], vid[right]]), "links": np.concatenate([near @ n[right], near.T @ n[left]])})
+    left, right = np.flatnonzero(frame["side"].to_numpy() <= 0), np.flatnonzero(frame["side"].to_numpy() >= 0)
+    diagonal = len(left) == len(right) == len(frame)
+    links = np.zeros(len(frame), np.int64)
+    for first in range(0, len(left), SLAB):
+        some = left[first : first + SLAB]
+        near = linked(vectors[some], vectors[right])
+        if diagonal:
+            near[np.arange(len(some)), some] = False
+        else:
+            links[right] += near.T @ n[some]
+        links[some] += near @ n[right]
+    return pd.DataFrame({"vid": vid, "links": links})
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, label: str) -> DataFrame:
@@ -157,9 +185,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     v = F.col(vector_col)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(F.transform(v, lambda x: x.cast("double") + 0.0))).alias("vid"), v.alias("embedding"))
-    distinct = rows.where("vid is not null").groupBy("vid").agg(F.first("embedding").alias("embedding"), F.count("*").alias("m"), F.min("id").alias("least"))
-    distinct = stage(distinct, "vectors")
+    sound = F.coalesce(sound, F.lit(False))
+    plain = F.transform(v, lambda x: x.cast("double") + 0.0)
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.when(sound, F.xxhash64(plain)).alias("h1"), F.when(sound, F.xxhash64(F.lit(SEED), plain)).alias("h2"), v.alias("embedding"))
+    distinct = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.count("*").alias("m"), F.min("id").alias("least"))
+    # written once, so the ids stay
+    distinct = stage(distinct.withColumn("vid", F.monotonically_increasing_id()), "vectors")
     sizes = {r["d"]: r["count"] for r in distinct.groupBy(F.size("embedding").alias("d")).count().collect()}
     entries = distinct.select("vid", "embedding").mapInPandas(_entries({d: hashes_for(n, d) for d, n in sizes.items()}), "bucket long, vid long")
     entries = stage(entries.distinct(), "bucket-entries")
@@ -173,7 +204,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         best = best.groupBy("vid").agg(F.max(F.struct("count", "c")).alias("m")).select(F.greatest("vid", "m.c").alias("a"), F.least("vid", "m.c").alias("b"))
         near = best if near is None else near.union(best)
     first = _verified(near.distinct(), distinct, "centre-links")
-    roots = contracted(first)
+    roots = components(first)
     labelled = stage(entries.join(roots, F.col("vid") == F.col("v"), "left").select("bucket", "vid", F.coalesce("root", "vid").alias("root")), "labelled-buckets")
     apart = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     open_ = labelled.join(apart, "bucket", "left_semi")
@@ -183,7 +214,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     second = _verified(pairs, distinct, "open-links")
     roots = stage(components(first.union(second)), "vector-roots")
 
-    placed = distinct.join(roots, F.col("vid") == F.col("v"), "left").select("vid", "embedding", "m", "least", F.coalesce("root", "vid").alias("root"))
+    placed = distinct.join(roots, F.col("vid") == F.col("v"), "left").select("vid", "h1", "h2", "embedding", "m", "least", F.coalesce("root", "vid").alias("root"))
     groups = placed.groupBy("root").agg(F.count("*").alias("members"), F.min("least").alias("component_id"))
     groups = stage(groups, "vector-groups")
     many = placed.join(groups.where("members > 1").select("root", F.ceil(F.col("members") / TILE).cast("int").alias("blocks")), "root")
@@ -194,8 +225,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         F.signum(F.col("block") - F.col("other")).cast("int").alias("side"), "vid", "m", "embedding",
     )
     links = spread.groupBy("root", "i", "j").applyInPandas(_tile, "vid long, links long").groupBy("vid").agg(F.sum("links").alias("links"))
-    known = placed.select("vid", "root", "m").join(groups.select("root", "component_id"), "root").join(links, "vid", "left")
-    known = stage(known.select("vid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")), "vector-links")
-    out = rows.select("id", "vid").join(known, "vid", "left")
+    known = placed.select("vid", "h1", "h2", "root", "m").join(groups.select("root", "component_id"), "root").join(links, "vid", "left")
+    known = stage(known.select("h1", "h2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")), "vector-links")
+    out = rows.select("id", "h1", "h2").join(known, ["h1", "h2"], "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))

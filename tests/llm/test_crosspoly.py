@@ -68,3 +68,27 @@ def test_table(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     check(spark, rows)
     assert crosspoly.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_recall_stays_as_hashes_and_tables_grow():
+    rng = np.random.default_rng(8)
+    for n, dims in ((10**6, 64), (10**8, 64), (10**10, 64), (10**8, 256), (10**6, 16), (10**8, 768)):
+        x, y = rng.normal(size=(2, 300, dims))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        near = 0.9501 * x + np.sqrt(1 - 0.9501**2) * y
+        k = crosspoly.hashes_for(n, dims)
+        a, b = (crosspoly.buckets(v.astype(np.float32), k).reshape(300, -1) for v in (x, near))
+        met = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)])
+        print(n, dims, k, crosspoly.tables_for(k), met)
+        assert met >= 0.985
+
+
+def test_near_the_bound_the_order_of_summing_decides_nothing():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    whole = crosspoly.linked(x, x)
+    assert (whole == whole.T).all()
+    assert all(crosspoly.linked(x[i][None], x[j][None])[0, 0] == whole[i, j] for i in range(40) for j in range(40))
