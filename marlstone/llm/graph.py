@@ -9,7 +9,7 @@ from .base import stage
 
 MAX_ROUNDS = 60
 #: Edges of a vertex from which on it is a hub, and hubs that may be broadcast.
-HUB_EDGES, HUBS = 20_000, 500_000
+HUB_EDGES, HUBS = 200_000, 500_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,6 +42,8 @@ def _ordered(edges: DataFrame) -> DataFrame:
 
 def _with_least(edges: DataFrame, least: DataFrame, hub_edges: int) -> DataFrame:
     """``edges`` (a, b) with ``m`` of ``least`` (u, m, degree) for their a."""
+    if not hub_edges:
+        return edges.join(least.select("u", "m"), F.col("a") == F.col("u"))
     # a vertex counts its edges, so there are at most edges / hub_edges hubs
     hubs = F.broadcast(least.where(F.col("degree") >= hub_edges).select("u", "m"))
     plain = edges.join(hubs, F.col("a") == F.col("u"), "left_anti").join(least.where(F.col("degree") < hub_edges).select("u", "m"), F.col("a") == F.col("u"))
@@ -50,7 +52,8 @@ def _with_least(edges: DataFrame, least: DataFrame, hub_edges: int) -> DataFrame
 
 def _round(now: DataFrame, count: int) -> DataFrame:
     """Every vertex hands its larger neighbours to its smallest one, then its smaller ones."""
-    hub_edges = max(HUB_EDGES, 2 * count // HUBS)
+    # with fewer edges in all no vertex is a hub
+    hub_edges = max(HUB_EDGES, 2 * count // HUBS) if 2 * count >= HUB_EDGES else 0
     both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("degree"))
     large = _with_least(both.where("b > a"), least, hub_edges).select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -10,15 +10,18 @@ start and end ``WARM`` bytes early and late, so a segment's positions see their
 surroundings, and all segments run in lock step.  Only bytes within a text are
 labelled.
 
-Training takes at most ``MAX_ROWS`` rows per language, chosen by hash among rows
-with text and language outside the held-out fold; this bound is the only one.
-Null text, and text without a letter, is ``und`` with score 0.  So is every text
-if no row teaches.  Repeated rows get equal results; other columns pass through.
+Training takes at most ``MAX_ROWS`` rows per language, ``MAX_TOTAL_ROWS`` in all
+(but one of each language at least), chosen by hash among rows with text and
+language outside the held-out fold; of a text of more than ``MAX_TRAIN_CHARS``
+characters a window of that length, placed by hash, teaches.  These are the only
+bounds, and only for learning.  A letter is a character of Unicode class L.  Null
+text, and text without a letter, is ``und`` with score 0.  So is every text if no
+row teaches.  Repeated rows teach once and get equal results; other columns pass
+through, but for ``lang_pred`` and ``score``, which are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,19 +30,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .base import held_out
+from .base import held_out, unused
 
 HIDDEN = 10
 SPAN, WARM = 240, 12
 GROUP = 1024
 MAX_ROWS = 400
+MAX_TOTAL_ROWS = 20_000
 MAX_TRAIN_CHARS = 30_000
-MAX_LANGS = 500
 STEPS, BATCH, TRAIN_SPAN = 350, 96, 40
 FOLDS, HELD = 4, 2
 PAD = 256
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character is of class L, which is what ``isalpha`` asks."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -138,7 +145,7 @@ class Network:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         pooled = np.zeros((len(texts), len(self.langs)))
         lengths = np.zeros(len(texts))
-        known = [bool(t) and bool(_LETTER.search(t)) and bool(self.langs) for t in texts]
+        known = [bool(self.langs) and has_letter(t) for t in texts]
         pending: list[tuple[int, int, np.ndarray]] = []
         for i, text in enumerate(texts):
             if not known[i]:
@@ -215,24 +222,25 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> Network:
 
 def train(docs: DataFrame) -> Network:
     """Fit on a bounded, hash-chosen sample per language outside the held-out fold."""
-    teaches = docs.where(
-        F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS) & F.col("text").rlike(r"\p{L}")
-        & ~held_out(F.col("doc_id"), FOLDS, HELD)
-    ).select("doc_id", "lang", "text")
+    spare = F.greatest(F.length("text") - MAX_TRAIN_CHARS, F.lit(0))
     order = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**62))
-    counts = teaches.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    teaches = docs.where(
+        F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"), FOLDS, HELD)
+    ).select("lang", order.alias("o"), "text", F.pmod(order, spare + 1).cast("int").alias("at"))
+    # repeated rows count once
+    counts = teaches.groupBy("lang").agg(F.approx_count_distinct("o").alias("n")).collect()
     if not counts:
         return fit([], [])
-    # twice the expected share by hash, then the bound by row
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * MAX_ROWS / r["count"]))])
-    drawn = teaches.where(order < share[F.col("lang")] * F.lit(float(2**62))).select("lang", "text", order.alias("o"))
+    rows = max(1, min(MAX_ROWS, MAX_TOTAL_ROWS // len(counts)))
+    # by hash twice as many as wanted are expected, five at least; then the bound by row
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2.0 * rows + 5) / max(1, r["n"])))])
+    drawn = teaches.where(F.col("o") < share[F.col("lang")] * F.lit(float(2**62)))
+    drawn = drawn.select("lang", "o", F.substring("text", F.col("at") + 1, F.lit(MAX_TRAIN_CHARS)).alias("text")).dropDuplicates(["lang", "o"])
     taken: dict[str, list[tuple[int, str]]] = {}
-    for r in drawn.limit(4 * MAX_ROWS * len(counts)).collect():
+    for r in drawn.collect():
         taken.setdefault(r["lang"], []).append((r["o"], r["text"]))
-    rows = [(lang, text) for lang in sorted(taken) for _, text in sorted(taken[lang])[:MAX_ROWS]]
-    return fit([t for _, t in rows], [x for x, _ in rows])
+    chosen = [(lang, text) for lang in sorted(taken) for _, text in sorted(taken[lang])[:rows]]
+    return fit([t for _, t in chosen], [x for x, _ in chosen])
 
 
 def identify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
@@ -244,7 +252,8 @@ def identify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame
         names, scores = shared.value.predict(texts.where(texts.notna(), None).tolist())
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("_label", label(F.col(text_col))).withColumns({"lang_pred": F.col("_label.lang_pred"), "score": F.col("_label.score")}).drop("_label")
+    (held,) = unused(docs.columns, "label")
+    return docs.withColumn(held, label(F.col(text_col))).withColumns({"lang_pred": F.col(f"{held}.lang_pred"), "score": F.col(f"{held}.score")}).drop(held)
 
 
 def langid_digest(docs: DataFrame) -> DataFrame:

@@ -21,8 +21,11 @@ on: a partner first met there can share no more.
 Pairs are made in two steps.  First every set is verified against a few centres
 of its lists, those with the largest rest for their size; that contracts groups
 of near copies without making their pairs.  Then all pairs whose ends are still
-apart are made under a length and a rest filter (bounds that no link violates)
-and verified by their whole sets.  Components of the links are the classes.
+apart are made under filters that no link violates, and verified by their whole
+sets.  Linked sets of sizes a and b share o = ceil(3 (a + b) / 7) elements or
+more, so at least L of the first a - o + L of the one and the first b - o + L of
+the other, as long as these are posted: only such keys count, and a pair needs L
+of them, one of them with a rest of o.  Components of the links are the classes.
 
 Null and blank texts have size 0 and are linked with nothing.  Null ids never
 name a class unless it has no other.  Repeated rows share a class.  Extra
@@ -57,7 +60,8 @@ SCAN_COST = 3.0
 #: Postings of a key wanted under one salt, beyond the sketch's mean.
 LIST_ROWS = 20_000
 POSTING_ROWS = 100_000
-CENTRE_ROUNDS = 2
+#: L is one for so many elements of both sets, and one at least.
+KEY_FOR = 40
 #: Rows of hashes up to which they are broadcast; beyond, the join is by shuffle.
 BROADCAST_ROWS = 500_000
 #: Kinds of posting: a light set's element, a heavy set's, a light set's subset.
@@ -238,38 +242,51 @@ def _kept(frame: pd.DataFrame) -> pd.DataFrame:
     joined[starts] = False
     keep = joined[:-1] | joined[1:]
     two = starts[length == 2]
-    unfit = two[7 * np.minimum(rest[two], rest[two + 1]) < 3 * (n[two] + n[two + 1])]
+    a, b = n[two], n[two + 1]
+    o = (3 * (a + b) + 6) // 7
+    wanted = np.maximum(1, np.minimum(o - (3 * np.maximum(a, b) + 3) // 4 + 1, (a + b) // KEY_FOR))
+    unfit = two[np.minimum(rest[two], rest[two + 1]) <= o - wanted]
     keep[unfit] = keep[unfit + 1] = False
     return frame[columns][keep | (salts > 1)]
 
 
-def _fits(a: str, b: str) -> Column:
-    """What no two linked sets violate where they first meet."""
+def _shared(a: str, b: str) -> str:
+    """SQL for o, the elements that linked sets of these sizes share at least."""
+    return f"((3 * ({a}n + {b}n) + 6) div 7)"
+
+
+def _wanted(a: str, b: str) -> str:
+    """SQL for L, the keys that linked sets share at least among those that count; one subset is all that light sets need to share."""
+    posted = f"{_shared(a, b)} - (3 * greatest({a}n, {b}n) + 3) div 4 + 1"
+    return f"(case when {a}kind = {SUBSET} then 1 else greatest(1, least({posted}, ({a}n + {b}n) div {KEY_FOR})) end)"
+
+
+def _counts(a: str, b: str) -> Column:
+    """Whether a key under which two sets meet is one of those that count."""
     return F.expr(
-        f"{a}root <> {b}root and ({a}kind = {HEAVY} or {b}kind = {HEAVY} or {a}kind = {SUBSET}) and 4 * least({a}n, {b}n) >= 3 * greatest({a}n, {b}n) "
-        f"and 7 * least({a}rest, {b}rest) >= 3 * ({a}n + {b}n)"
+        f"({a}kind = {HEAVY} or {b}kind = {HEAVY} or {a}kind = {SUBSET}) and 4 * least({a}n, {b}n) >= 3 * greatest({a}n, {b}n) "
+        f"and least({a}rest, {b}rest) > {_shared(a, b)} - {_wanted(a, b)}"
     )
 
 
-def _to_centres(lists: DataFrame, seed: int) -> DataFrame:
-    """(a, b): each set with up to three of the centres of its lists, those with which it shares most keys."""
-    half = lambda x, salt: F.pmod(F.xxhash64(x, F.lit(salt)), F.lit(2))
-    it = ["n", "rest", "kind", "sid", "root"]
-    best = F.struct((F.col("rest") / F.col("n")).alias("share"), F.xxhash64("sid", F.lit(seed)).alias("h"), *it)
-    any_ = F.struct(F.lit(0.0).alias("share"), F.xxhash64("sid", F.lit(seed)).alias("h"), *it)
+def _to_centres(lists: DataFrame) -> DataFrame:
+    """(a, b): each set with up to two of the centres of its lists, those with which it shares most keys."""
+    half = lambda x: F.pmod(F.xxhash64(x), F.lit(2))
+    it = ["n", "rest", "kind", "sid"]
+    best = F.struct((F.col("rest") / F.col("n")).cast("float").alias("share"), *it)
     centres = lists.groupBy("key").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(any_).alias("c2"),
-        *[F.max(F.when(half("root", seed) == k, best)).alias(f"c{k}") for k in (0, 1)],
+        F.min("sid").alias("lo"), F.max("sid").alias("hi"), *[F.max(F.when(half("sid") == k, best)).alias(f"c{k}") for k in (0, 1)]
     )
     # written first, so that Spark can split a hot key of the lists
-    centres = stage(centres.where("lo < hi").select("key", "c0", "c1", "c2"), "centres")
-    drawn = F.array(*[F.struct(*[F.col(f"c{k}.{x}").alias(x) for x in it]) for k in range(3)])
-    met = lists.join(centres, "key").select(*it, F.explode(F.array_distinct(drawn)).alias("c"))
-    met = met.select(*it, *[F.col(f"c.{x}").alias(f"c_{x}") for x in it]).where("c_sid is not null").where(_fits("", "c_"))
-    met = met.groupBy("sid", F.col("c_sid").alias("c")).agg((F.count("*") / F.first("c_n")).alias("share"))
-    best = F.struct("share", "c")
-    met = met.groupBy("sid").agg(F.max(best).alias("m"), *[F.max(F.when(half("c", seed + 7) == k, best)).alias(f"m{k}") for k in (0, 1)])
-    met = met.select("sid", F.explode(F.array("m", "m0", "m1")).alias("m")).where("m is not null")
+    centres = stage(centres.where("lo < hi").select("key", "c0", "c1"), "centres")
+    drawn = F.array(*[F.struct(*[F.col(f"c{k}.{x}").alias(x) for x in it]) for k in (0, 1)])
+    met = lists.join(centres, "key").select(*it, F.explode(drawn).alias("c"))
+    met = met.select(*it, *[F.col(f"c.{x}").alias(f"c_{x}") for x in it]).where("c_sid is not null and sid <> c_sid").where(_counts("", "c_"))
+    # a set need not be the centre of all lists that the two share, so half the keys make a pair promising
+    met = met.groupBy("sid", F.col("c_sid").alias("c")).agg(F.count("*").alias("keys"), F.first("c_n").alias("c_n"), F.expr(f"first({_wanted('', 'c_')})").alias("wanted"))
+    best = F.struct((F.col("keys") / F.col("c_n")).cast("float").alias("share"), "c")
+    met = met.where("2 * keys >= wanted").groupBy("sid").agg(*[F.max(F.when(half("c") == k, best)).alias(f"m{k}") for k in (0, 1)])
+    met = met.select("sid", F.explode(F.array("m0", "m1")).alias("m")).where("m is not null")
     return met.select(F.greatest("sid", "m.c").alias("a"), F.least("sid", "m.c").alias("b")).distinct()
 
 
@@ -278,8 +295,13 @@ def _apart(lists: DataFrame) -> DataFrame:
     open_ = lists.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     left = stage(lists.join(stage(open_, "open-keys"), "key", "left_semi"), "open-lists")
     side = lambda x: left.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "rest", "kind", "root")])
-    pairs = side("a").join(side("b"), "key").where("a_sid > b_sid").where(_fits("a_", "b_"))
-    return pairs.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+    pairs = side("a").join(side("b"), "key").where("a_sid > b_sid and a_root <> b_root").where(_counts("a_", "b_"))
+    pairs = pairs.select(
+        F.col("a_sid").alias("a"), F.col("b_sid").alias("b"), F.least("a_rest", "b_rest").alias("rest"),
+        F.expr(_shared("a_", "b_")).alias("shared"), F.expr(_wanted("a_", "b_")).alias("wanted"),
+    )
+    met = pairs.groupBy("a", "b", "shared", "wanted").agg(F.count("*").alias("keys"), F.max("rest").alias("rest"))
+    return met.where("keys >= wanted and rest >= shared").select("a", "b")
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -337,17 +359,14 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     postings = docs.select("text").mapInPandas(_postings(shared, light_to, mean), "key long, salt int, salts int, sid long, n int, rest int, kind byte")
     postings = postings.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt", "n", "sid")
     lists = postings.mapInPandas(_shared_keys, "key long, sid long, n int, rest int, kind byte")
-    labelled = stage(lists.withColumn("root", F.col("sid")), "labelled-lists")
+    lists = stage(lists, "inverted-lists")
     reps = stage(members.where("n > 1").groupBy("sid", "sid2").agg(F.min("text_hash").alias("text_hash")), "set-texts")
 
     # Contract: each set against the centres that it shares most keys with.
-    links = None
-    for round_ in range(CENTRE_ROUNDS):
-        found = _verified(_to_centres(labelled, round_), reps, docs, "centre")
-        links = found if links is None else links.union(found)
-        roots = components(links.select("a", "b"))
-        renamed = labelled.drop("root").join(roots, F.col("sid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "sid")).drop("v")
-        labelled = stage(renamed, "labelled-lists", instead_of=(labelled,))
+    links = _verified(_to_centres(lists), reps, docs, "centre")
+    roots = components(links.select("a", "b"))
+    labelled = lists.join(roots, F.col("sid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "sid")).drop("v")
+    labelled = stage(labelled, "labelled-lists", instead_of=(lists,))
     # Then all pairs still apart.
     return members, links.union(_verified(_apart(labelled), reps, docs, "open"))
 

@@ -13,7 +13,9 @@ The method adds two kinds: ``iban`` (mod-97) and ``tel``, a national number of
 10 or 11 digits, which counts only if a context word stands near it.  Every
 span has a score: a prior of its kind and validator, raised by a context word
 within ``CONTEXT_CHARS`` code points before it.  Base spans are kept whatever
-their score; added ones need ``MIN_SCORE``.
+their score; added ones need ``MIN_SCORE``.  Context is cut from the pieces
+between matches, never counted from the start of the text, so many spans in one
+long text cost no more each than few.
 
 Null text counts as empty: no spans, the digest of the empty string.  Repeated
 rows each give their own row.  Columns of the input pass through; the columns
@@ -25,9 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import prefix_sums
+from .base import bind, prefix_sums
 
 CONTEXT_CHARS = 48
+#: Matches that can end within the context; none is shorter than five characters.
+CONTEXT_HITS = 10
 MIN_SCORE = 0.6
 CONTEXT_BONUS = 0.35
 
@@ -97,17 +101,23 @@ def _found(text: Column, kind: str, rank: int) -> Column:
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
 
     def located(found: Column) -> Column:
-        gaps = F.split(text, PATTERNS[kind], -1)
-        widths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: (F.length(g) + F.length(h)).cast("bigint"))
-        spans = F.zip_with(found, prefix_sums(widths), lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit")))
-        spans = F.filter(spans, lambda s: valid(kind, s["hit"]))
+        gaps = F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(found))
+        pieces = F.zip_with(gaps, found, lambda g, h: F.struct(F.right(g, F.lit(CONTEXT_CHARS)).alias("tail"), F.length(g).alias("gap"), h.alias("hit")))
+        return bind(pieces, among)
+
+    def among(pieces: Column) -> Column:
+        ends = prefix_sums(F.transform(pieces, lambda p: (p["gap"] + F.length(p["hit"])).cast("bigint")))
+        whole = F.transform(pieces, lambda p: F.concat(p["tail"], p["hit"]))
+        before = bind(whole, lambda w: F.transform(pieces, lambda p, i: F.right(
+            F.concat(F.array_join(F.slice(w, F.greatest(i - (CONTEXT_HITS - 1), F.lit(1)), F.least(i, F.lit(CONTEXT_HITS))), ""), p["tail"]), F.lit(CONTEXT_CHARS),
+        )))
+        hits = F.transform(pieces, lambda p: p["hit"])
+        spans = F.filter(F.arrays_zip(hits.alias("hit"), ends.alias("end"), before.alias("before")), lambda s: valid(kind, s["hit"]))
 
         def scored(s: Column) -> Column:
-            before = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-            near = F.lower(F.substring(text, (before + 1).cast("int"), (s["start"] - before).cast("int")))
-            score = F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
+            score = F.lit(PRIOR[kind]) + F.when(F.lower(s["before"]).rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
             return F.struct(
-                s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"),
+                (s["end"] - F.length(s["hit"])).alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"),
                 F.lit(kind).alias("kind"), F.least(F.lit(1.0), score).alias("score"),
             )
 

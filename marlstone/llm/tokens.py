@@ -10,16 +10,20 @@ one.  That is a finite state; a transition is annotated with the change of the
 count.  States are made when first met, in a hash table read in bulk.
 
 A batch of texts is one sequence of symbols, cut into chunks that run in lock
-step.  Inside a chunk everything after its first word end is independent of the
-state it starts with: its state map is constant beyond a head.  Maps compose
-associatively (the last constant one wins, heads between apply in order), so a
-prefix scan gives every chunk its entry state, after which all heads run.
+step.  A chunk with a word end has a constant state map beyond a head.  A chunk
+without one is mapped on the states that occur: all such chunks run in lock step
+from the exits known so far, which a scan composes, until the scan meets no
+state that a map lacks.  Machines that read the same symbols soon agree, so that
+takes a few rounds, also inside a word of a million letters.  The scan gives
+every chunk its entry state, after which all heads run.
 
 Words, special strings and normalisation follow the library for this file:
 special strings count one token each, then NFC, white space dropped, lower case
 by character, contractions, runs of letters, single numbers, runs of the rest.
 
 Null text counts as empty (0 tokens).  Texts of any length are read whole.
+Repeated rows get equal counts; an empty table gives none.  Other columns pass
+through, but for the three that this operator adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -203,22 +207,36 @@ class Transducer:
             live = np.flatnonzero((k >= head) & (columns[k] >= 0))
             if len(live):
                 state[live], out[live, k] = self.step(state[live], columns[k][live])
-        # scan: entry[i] is the exit of chunk i - 1; chunks without a word end pass their entry on
-        depth = np.arange(rows) - np.maximum.accumulate(np.where(constant, np.arange(rows), -1))
+        # scan: entry[i] is the exit of chunk i - 1
+        maps: list[dict[int, int]] = [{} for _ in range(rows)]
+        open_ = np.flatnonzero(~constant).tolist()
         entry = np.zeros(rows, np.int32)
-        waits = np.zeros(rows, np.int64)
-        waits[1:] = depth[:-1]
-        for d in range(int(waits.max(initial=0)) + 1):
-            now = np.flatnonzero(waits == d)
-            now_prev = now[now > 0]
-            entry[now_prev] = state[now_prev - 1]
-            run = entry[now].copy()
-            for k in range(int(head[now].max(initial=0))):
-                live = np.flatnonzero((k < head[now]) & (columns[k][now] >= 0))
+        while True:
+            lacking = []
+            for i in open_:
+                entry[i] = state[i - 1] if i else 0
+                held = maps[i].get(int(entry[i]))
+                if held is None:
+                    lacking.append(i)  # until it has run, its last exit is the guess
+                else:
+                    state[i] = held
+            if not lacking:
+                break
+            some = np.array(lacking)
+            run = entry[some].copy()
+            for k in range(CHUNK):
+                live = np.flatnonzero(columns[k][some] >= 0)
                 if len(live):
-                    run[live], out[now[live], k] = self.step(run[live], columns[k][now[live]])
-            open_ = ~constant[now]
-            state[now[open_]] = run[open_]
+                    run[live] = self.step(run[live], columns[k][some[live]])[0]
+            for i, at in zip(lacking, run, strict=True):
+                maps[i][int(entry[i])] = int(at)
+                state[i] = at
+        entry[1:] = state[:-1]
+        entry[0] = 0
+        for k in range(int(head.max(initial=0))):
+            live = np.flatnonzero((k < head) & (columns[k] >= 0))
+            if len(live):
+                entry[live], out[live, k] = self.step(entry[live], columns[k][live])
         return out.reshape(-1)[:n]
 
     def count(self, texts: list[str]) -> np.ndarray:

@@ -1,4 +1,5 @@
 import random
+import time
 
 from marlstone.llm import decontam
 
@@ -26,7 +27,7 @@ def brute(docs, items):
             k = len(x) * decontam.MAX_EDITS // 100
             if not x or not y:
                 continue
-            if len(x) - decontam.Q + 1 - k * decontam.Q > 0:
+            if len(x) >= decontam.Q:
                 e = fewest_edits(x, y)
                 if e <= k:
                     out.add((d, i, e))
@@ -74,3 +75,30 @@ def test_blocks_and_empty(spark, monkeypatch):
     assert decontam.find_overlaps(d.limit(0), b).count() == 0
     assert decontam.remove_contaminated(d, b.limit(0)).count() == 1
     assert decontam.remove_contaminated(d, b).count() == 0
+
+
+def test_short_items_with_one_edit(spark):
+    items = [(1, "abcde fghijkl"), (2, "abcde fghijklm"), (3, "abcde fghijklmn"), (4, "abcdefgh"), (5, "abcdefg"), (6, "qrstuvwxyz abc")]
+    docs = [(1, "xx yy abcde fghXjkl zz"), (2, "abcdefghijkl"), (3, "Xabcde fghijkl"), (4, "abcde fgijklm abcdefg."), (5, "abcde fghijkXXmn"), (6, "uabcdefghu uabcdefgu"), (7, "qrstuvwxyzz abc")]
+    rng = random.Random(9)
+    for n in range(150):
+        docs.append((10 + n, "".join(rng.choice("ab ") for _ in range(rng.randint(0, 9))) + edited(rng, rng.choice(items)[1], rng.randint(0, 3)) + " ab" * rng.randint(0, 3)))
+    got = [tuple(r) for r in decontam.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert (1, 1, 1) in got and set(got) == brute(docs, items)
+
+
+def test_repetitive_texts_take_linear_time(monkeypatch):
+    rng = random.Random(2)
+    block = decontam.Items([(i, "ab cd " * 38 + "".join(rng.choice("abcd ") for _ in range(12))) for i in range(50)])
+
+    def took(n):
+        began = time.perf_counter()
+        found = block.hits(decontam.normal("ab cd " * n))
+        return time.perf_counter() - began, found
+
+    took(100)
+    (short, a), (long, b) = took(2000), took(8000)
+    assert a == b and long < 60 and long < 12 * max(short, 0.2)
+    whole = decontam.Items([(1, "ab cd " * 40)]).hits(decontam.normal("ab cd " * 300))
+    monkeypatch.setattr(decontam, "PAIRS", 64)
+    assert decontam.Items([(1, "ab cd " * 40)]).hits(decontam.normal("ab cd " * 300)) == whole == [(1, 0)]

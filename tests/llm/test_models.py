@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -87,3 +88,81 @@ def test_word_hashes_do_not_depend_on_slices(monkeypatch):
     assert sum(whole, []) == sum(parts, [])
     words = sum(whole, [])
     assert words[0][0] == words[2][0] and words[0][1] == words[5][0] and words[1] == [] and len(words[3]) == 3002
+
+
+def test_letters_decide_what_is_undetermined(spark, docs):
+    net = langid.Network.fresh(["a", "b"], np.random.default_rng(1))
+    names, scores = net.predict(["½ ² Ⅷ ①", "ª", "12", "é", None, ""])
+    assert [n == "und" for n in names] == [True, False, True, False, True, True] and scores[0] == 0
+    # a language with only long texts is learnt from windows of them, repeated rows once
+    odd = spark.createDataFrame([(k, "qxzw " * 20_000 + str(k), "qq") for k in range(12)] + [(77, "the and of to in " * 20, "en")] * 40, "doc_id long, text string, lang string")
+    assert set(langid.train(odd).langs) == {"qq", "en"}
+
+
+def test_language_forward_pass_is_the_plain_one():
+    rng = np.random.default_rng(4)
+    net = langid.Network.fresh(["a", "b", "c"], rng)
+    net.bias[:] = rng.normal(size=3)
+    text = "Füße, and more. " * 40  # several segments
+    data = list(text.encode())
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    pooled, h_ = np.zeros(3), langid.HIDDEN
+    for at in range(0, len(data), langid.SPAN):
+        span = [data[k] if 0 <= k < len(data) else langid.PAD for k in range(at - langid.WARM, at + langid.SPAN + langid.WARM)]
+        logits = [net.bias.astype(float).copy() for _ in span]
+        for p, order in ((net.params[0], range(len(span))), (net.params[1], range(len(span) - 1, -1, -1))):
+            h = np.zeros(h_)
+            for t in order:
+                x = p["inputs"][span[t]].astype(float)
+                reset, update = sigmoid(h @ p["gates"][:, :h_] + x[:h_]), sigmoid(h @ p["gates"][:, h_:] + x[h_ : 2 * h_])
+                h = h + update * (np.tanh((reset * h) @ p["cell"] + x[2 * h_ :]) - h)
+                logits[t] += h @ p["head"]
+        for t in range(langid.WARM, langid.WARM + langid.SPAN):
+            if span[t] != langid.PAD:
+                pooled += logits[t] - np.log(np.exp(logits[t]).sum())
+    prob = np.exp(pooled / len(data))
+    names, scores = net.predict(["x", text])
+    assert names[1] == "abc"[int(prob.argmax())] and abs(scores[1] - prob.max() / prob.sum()) < 1e-4
+
+
+def test_toxicity_forward_pass_is_the_plain_one():
+    rng = np.random.default_rng(2)
+    texts = ["Alpha beta, gamma delta", "beta", "", "one two-three four. FIVE six"]
+    words = [[w for w in re.split(r"[^0-9A-Za-z]+", t) if w] for t in texts]
+    hashes = [next(wordhash.slices([" ".join(w)], wordhash.BY_LETTER, toxicity.PREFIX))[2] for w in words]
+    model = toxicity.fit([h for h in hashes for _ in range(6)], np.array([1, 0, 0, 1]).repeat(6), ["a", "b", None, "a"] * 6)
+    buckets = lambda w: (next(wordhash.slices([w], wordhash.BY_LETTER, toxicity.PREFIX))[2][0] >> np.uint64(64 - 17)).astype(int)
+    for text, own in zip(texts, words, strict=True):
+        pad = max(toxicity.WIDTHS) - 1
+        vectors = [model.embed[buckets(w)].sum(axis=0) for w in own] or [2 * model.embed[toxicity._PAD]]
+        vectors += [2 * model.embed[toxicity._PAD]] * pad
+        features = []
+        for w in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                best = max(sum(float(vectors[i + k] @ model.kernels[w][k][:, f]) for k in range(w)) for i in range(len(vectors) - pad))
+                features.append(max(0.0, best + float(model.bias[w][f])))
+        logit = float(np.dot(features, model.out)) + model.out_bias
+        got = float(model.score([text])[0])
+        assert model.score(["zzz", text, "alpha beta"])[1] == got  # whatever its neighbours
+        guess = model.languages(*toxicity.word_ids(next(wordhash.slices([text], wordhash.BY_LETTER, toxicity.PREFIX))[2], np.array([len(own)]))[:2])[0]
+        assert abs(got - 1 / (1 + np.exp(-(logit - model.thresholds[guess])))) < 1e-4
+
+
+def test_toxicity_thresholds_come_from_rows_not_fitted_on(monkeypatch):
+    seen = []
+    weights = toxicity._weights
+    monkeypatch.setattr(toxicity, "STEPS", 3)
+    monkeypatch.setattr(toxicity, "_weights", lambda flat, labels, langs, names, fitting, seed: (seen.append(set(fitting.tolist())), weights(flat, labels, langs, names, fitting, seed))[1])
+    rng = np.random.default_rng(0)
+    docs = [rng.integers(1, 2**63, (9, 2), dtype=np.uint64) for _ in range(20)]
+    toxicity.fit(docs, np.array([0, 1] * 10), ["a", "b"] * 10)
+    assert len(seen) == toxicity.PARTS + 1 and seen[-1] == set(range(20))
+    assert set.union(*(set(range(20)) - s for s in seen[:-1])) == set(range(20))
+
+
+def test_toxicity_repeated_and_clashing(spark, docs):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, 0), (3, 1)], "doc_id long, toxic int")
+    df = spark.createDataFrame([(k % 40, f"{'bad' if k % 2 else 'good'} words {k % 7}", None, 9.0, "x") for k in range(400)], "doc_id long, text string, lang string, score double, predicted string")
+    out = toxicity.score_toxicity(df, labels)
+    assert sorted(out.columns) == sorted(df.columns) and out.count() == 400
+    assert len({r["score"] for r in out.where("text = 'bad words 1'").collect()}) == 1

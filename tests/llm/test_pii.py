@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from marlstone.llm import pii
 
@@ -90,3 +91,23 @@ def test_sf(spark):
 def test_empty_and_clashing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, pii string")
     assert pii.digest(pii.find_personal_data(df)).count() == 0
+
+
+def test_context_reaches_over_earlier_spans(spark):
+    text = "tel 555-123-4567, " + "555-123-4568, " * 6
+    row = check(spark, [(1, text), (2, "x" * 60 + text), (3, "call: a@b.c a@b.c a@b.c 555-123-4567")])
+    starts = lambda i: [int(s.split(":")[1]) for s in row[i][0]["spans"].split(",") if s.startswith("tel")]
+    # those within 48 characters of the word
+    assert starts(1) == [4, 18, 32, 46] and starts(2) == [64, 78, 92, 106] and starts(3) == [24]
+
+
+def test_many_spans_in_one_text_take_linear_time(spark):
+    def took(n):
+        df = spark.createDataFrame([(1, "a@b.cde x " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert pii.digest(pii.find_personal_data(df)).first()["n_email"] == n
+        return time.perf_counter() - began
+
+    took(100)
+    few, many = took(20_000), took(60_000)
+    assert many < 6 * max(few, 1)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -53,3 +54,22 @@ def test_table(spark, library):
     for r in rows:
         assert r["n_tokens"] == len(library.encode(r["text"] or "", add_special_tokens=False).ids)
         assert r["n_bytes"] == len((r["text"] or "").encode()) and r["over_limit"] == (r["n_tokens"] > 2048)
+
+
+def test_words_longer_than_chunks(machine, library):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(30_000)), "ab" * 20_000, "a" * 20_001, "abc" * 9_000 + " end", "ha" * 700 + "x" + "ha" * 5_000]
+    same(machine, library, texts)
+
+
+def test_one_word_of_a_million_letters(machine):
+    rng = random.Random(1)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    spread = "".join(word[i : i + 7] + " " for i in range(0, len(word), 7))
+    machine.count([word[:2000], spread[:100_000]])
+    began = time.perf_counter()
+    machine.count([spread])
+    plain = time.perf_counter() - began
+    began = time.perf_counter()
+    machine.count([word])
+    assert time.perf_counter() - began < 15 * plain + 5
