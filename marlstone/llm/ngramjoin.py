@@ -23,9 +23,9 @@ of its lists, those with the largest rest for their size; that contracts groups
 of near copies without making their pairs.  Then all pairs whose ends are still
 apart are made under filters that no link violates, and verified by their whole
 sets.  Linked sets of sizes a and b share o = ceil(3 (a + b) / 7) elements or
-more, so at least L of the first a - o + L of the one and the first b - o + L of
-the other, as long as these are posted: only such keys count, and a pair needs L
-of them, one of them with a rest of o.  Components of the links are the classes.
+more: they first meet where both have a rest of o, and among their posted first
+elements they share at least o - ceil(0.75 max(a, b)) + 1.  Components of the
+links are the classes.
 
 Null and blank texts have size 0 and are linked with nothing.  Null ids never
 name a class unless it has no other.  Repeated rows share a class.  Extra
@@ -60,8 +60,6 @@ SCAN_COST = 3.0
 #: Postings of a key wanted under one salt, beyond the sketch's mean.
 LIST_ROWS = 20_000
 POSTING_ROWS = 100_000
-#: L is one for so many elements of both sets, and one at least.
-KEY_FOR = 40
 #: Rows of hashes up to which they are broadcast; beyond, the join is by shuffle.
 BROADCAST_ROWS = 500_000
 #: Kinds of posting: a light set's element, a heavy set's, a light set's subset.
@@ -209,8 +207,8 @@ def _posting_frame(held: list[tuple], mean: float) -> pd.DataFrame:
 def _shared_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of postings sorted by key, salt, size and set, those with a possible partner under the key.
 
-    Repeated ones go, and two alone under a key that their rest forbids to be
-    linked.  Salted keys stay whole, as partners may be under another salt.
+    That is one of another set within the sizes' ratio.  Repeated ones go.  Salted
+    keys stay whole, as partners may be under another salt.
     """
     carry = None
     for frame in frames:
@@ -233,21 +231,10 @@ def _kept(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[fresh]
     if not len(frame):
         return frame[columns]
-    key, salt, salts, n, rest = (frame[c].to_numpy() for c in ("key", "salt", "salts", "n", "rest"))
-    n, rest = n.astype(np.int64), rest.astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
-    length = np.diff(np.r_[starts, len(frame)])
+    key, salt, salts, n = (frame[c].to_numpy() for c in ("key", "salt", "salts", "n"))
     joined = np.zeros(len(frame) + 1, bool)  # to the posting before
-    joined[1:-1] = 4 * n[:-1] >= 3 * n[1:]
-    joined[starts] = False
-    keep = joined[:-1] | joined[1:]
-    two = starts[length == 2]
-    a, b = n[two], n[two + 1]
-    o = (3 * (a + b) + 6) // 7
-    wanted = np.maximum(1, np.minimum(o - (3 * np.maximum(a, b) + 3) // 4 + 1, (a + b) // KEY_FOR))
-    unfit = two[np.minimum(rest[two], rest[two + 1]) <= o - wanted]
-    keep[unfit] = keep[unfit + 1] = False
-    return frame[columns][keep | (salts > 1)]
+    joined[1:-1] = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1]) & (4 * n[:-1].astype(np.int64) >= 3 * n[1:].astype(np.int64))
+    return frame[columns][joined[:-1] | joined[1:] | (salts > 1)]
 
 
 def _shared(a: str, b: str) -> str:
@@ -256,17 +243,13 @@ def _shared(a: str, b: str) -> str:
 
 
 def _wanted(a: str, b: str) -> str:
-    """SQL for L, the keys that linked sets share at least among those that count; one subset is all that light sets need to share."""
-    posted = f"{_shared(a, b)} - (3 * greatest({a}n, {b}n) + 3) div 4 + 1"
-    return f"(case when {a}kind = {SUBSET} then 1 else greatest(1, least({posted}, ({a}n + {b}n) div {KEY_FOR})) end)"
+    """SQL for the posted keys that linked sets share at least; light sets need only one subset."""
+    return f"(case when {a}kind = {SUBSET} then 1 else greatest(1, {_shared(a, b)} - (3 * greatest({a}n, {b}n) + 3) div 4 + 1) end)"
 
 
-def _counts(a: str, b: str) -> Column:
-    """Whether a key under which two sets meet is one of those that count."""
-    return F.expr(
-        f"({a}kind = {HEAVY} or {b}kind = {HEAVY} or {a}kind = {SUBSET}) and 4 * least({a}n, {b}n) >= 3 * greatest({a}n, {b}n) "
-        f"and least({a}rest, {b}rest) > {_shared(a, b)} - {_wanted(a, b)}"
-    )
+def _may_link(a: str, b: str) -> str:
+    """SQL for whether sets that meet under a key of these kinds may be linked by it and their sizes."""
+    return f"({a}kind = {HEAVY} or {b}kind = {HEAVY} or {a}kind = {SUBSET}) and 4 * least({a}n, {b}n) >= 3 * greatest({a}n, {b}n)"
 
 
 def _to_centres(lists: DataFrame) -> DataFrame:
@@ -281,7 +264,7 @@ def _to_centres(lists: DataFrame) -> DataFrame:
     centres = stage(centres.where("lo < hi").select("key", "c0", "c1"), "centres")
     drawn = F.array(*[F.struct(*[F.col(f"c{k}.{x}").alias(x) for x in it]) for k in (0, 1)])
     met = lists.join(centres, "key").select(*it, F.explode(drawn).alias("c"))
-    met = met.select(*it, *[F.col(f"c.{x}").alias(f"c_{x}") for x in it]).where("c_sid is not null and sid <> c_sid").where(_counts("", "c_"))
+    met = met.select(*it, *[F.col(f"c.{x}").alias(f"c_{x}") for x in it]).where(f"c_sid is not null and sid <> c_sid and {_may_link('', 'c_')}")
     # a set need not be the centre of all lists that the two share, so half the keys make a pair promising
     met = met.groupBy("sid", F.col("c_sid").alias("c")).agg(F.count("*").alias("keys"), F.first("c_n").alias("c_n"), F.expr(f"first({_wanted('', 'c_')})").alias("wanted"))
     best = F.struct((F.col("keys") / F.col("c_n")).cast("float").alias("share"), "c")
@@ -295,13 +278,15 @@ def _apart(lists: DataFrame) -> DataFrame:
     open_ = lists.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     left = stage(lists.join(stage(open_, "open-keys"), "key", "left_semi"), "open-lists")
     side = lambda x: left.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "rest", "kind", "root")])
-    pairs = side("a").join(side("b"), "key").where("a_sid > b_sid and a_root <> b_root").where(_counts("a_", "b_"))
-    pairs = pairs.select(
-        F.col("a_sid").alias("a"), F.col("b_sid").alias("b"), F.least("a_rest", "b_rest").alias("rest"),
-        F.expr(_shared("a_", "b_")).alias("shared"), F.expr(_wanted("a_", "b_")).alias("wanted"),
-    )
-    met = pairs.groupBy("a", "b", "shared", "wanted").agg(F.count("*").alias("keys"), F.max("rest").alias("rest"))
-    return met.where("keys >= wanted and rest >= shared").select("a", "b")
+    pairs = side("a").join(side("b"), "key").where(f"a_sid > b_sid and a_root <> b_root and {_may_link('a_', 'b_')} and least(a_rest, b_rest) >= {_shared('a_', 'b_')}")
+    pairs = pairs.groupBy(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).agg(F.expr(f"min({_wanted('a_', 'b_')})").alias("wanted"))
+    pairs = stage(pairs, "meeting-pairs")
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    # at most a set's own keys
+    keys = stage(lists.join(ends, "sid", "left_semi").groupBy("sid").agg(F.collect_list("key").alias("keys")), "posted-keys")
+    side = lambda x: keys.select(F.col("sid").alias(x), F.col("keys").alias(f"{x}_keys"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return met.where(F.size(F.array_intersect("a_keys", "b_keys")) >= F.col("wanted")).select("a", "b")
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
