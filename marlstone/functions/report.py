@@ -37,6 +37,7 @@ EXCHANGES = ["HK", "SS", "SZ", "US", "TW", "KS", "KQ", "JP", "L", "O", "N", "SI"
 TARGET_UNITS = ["港元", "美元", "元", "新元", "新加坡元", "新台币", "人民币"]
 CURRENT_UNITS = ["港元", "美元", "元", "新台币", "人民币"]
 
+# Patterns of prices, codes and names in parentheses.
 _NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 _TARGET_LABEL = "(?:目标价|target price|TP|PT)"
 _CURRENT_LABEL = "(?:当前股价|现价|current price)"
@@ -47,6 +48,12 @@ _SPOT = f"({_NUMBER}{SPACE}*(?:{'|'.join(CURRENT_UNITS)})?)"
 LISTED_CODE = rf"(?<![A-Za-z0-9_])(?:[0-9]{{4,6}}|[A-Z]{{1,6}})\.(?:{'|'.join(EXCHANGES)})(?![A-Za-z0-9_])"
 NAMED_PAREN = rf"([{HAN}A-Za-z][{HAN}A-Za-z0-9&.\-{WS}]{{1,40}})[（(]([^）)]+)[）)]"
 MARKUP_PREFIX = rf"^[#>*\-•■{WS}]*"
+# What is cut from the ends of a name, what follows a short name, and what is no name.
+NAME_LEADS = f"^(?:我们(?:将|对|认为)?|和|与|以及|及|该公司|公司){SPACE}*"
+NAME_TAILS = r"(?:覆盖个股|覆盖公司|公司|个股|股份有限公司)\z"
+NAME_FOLLOWERS = ("是|为", "股价|股票|股份")
+NOISE_NAMES = ("hk", "us", "ss", "sz", "tw", "ah", "ai")
+NOISE_WORDS = ["目标价", "评级", "发布日期", "当前股价", "风险", "催化剂"]
 
 
 def _first(words: list[str], test) -> Column:
@@ -115,15 +122,14 @@ def clean_name(raw: Column) -> Column:
     name = F.element_at(F.split(raw, " - ", -1), -1)
     name = F.regexp_replace(name, "^#+", "")
     name = F.regexp_replace(name, "[=*_`]", "")
-    name = F.regexp_replace(name, f"^(?:我们(?:将|对|认为)?|和|与|以及|及|该公司|公司){SPACE}*", "")
-    name = trim(F.regexp_replace(name, r"(?:覆盖个股|覆盖公司|公司|个股|股份有限公司)\z", ""))
+    name = F.regexp_replace(name, NAME_LEADS, "")
+    name = trim(F.regexp_replace(name, NAME_TAILS, ""))
     short = f"^([{HAN}A-Za-z0-9]{{2,12}})"
-    return F.coalesce(found(name, f"{short}(?:是|为)"), found(name, f"{short}(?:股价|股票|股份)"), name)
+    return F.coalesce(*[found(name, f"{short}(?:{after})") for after in NAME_FOLLOWERS], name)
 
 
 def is_noise(norm_name: Column) -> Column:
-    words = ["目标价", "评级", "发布日期", "当前股价", "风险", "催化剂"]
-    return (F.length(norm_name) < 2) | norm_name.isin("hk", "us", "ss", "sz", "tw", "ah", "ai") | contains_any(norm_name, words)
+    return (F.length(norm_name) < 2) | norm_name.isin(*NOISE_NAMES) | contains_any(norm_name, NOISE_WORDS)
 
 
 def sentiment_counts(excerpt: Column) -> tuple[Column, Column]:

@@ -52,25 +52,38 @@ def heading(line: Column) -> Column:
 
 
 def build_lines(reports: DataFrame) -> DataFrame:
-    """One row per line, with its block and normal forms."""
-    lines = reports.select("file_path", "report_id", "date", F.posexplode(F.split("markdown", r"\r?\n", -1)).alias("p", "line"))
-    lines = lines.withColumn("line_no", F.col("p") + 1).drop("p").withColumn("nfkc_line", nfkc("line")).withColumn("heading", heading(F.col("line")))
-    by_report = Window.partitionBy("file_path").orderBy("line_no")
-    so_far = by_report.rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("block_start", F.last(F.when(F.col("heading").isNotNull(), F.col("line_no")), ignorenulls=True).over(so_far))
-    return lines.withColumns({
-        "norm_line": tidy(F.col("nfkc_line")),
-        "block_end": F.max("line_no").over(Window.partitionBy("file_path", "block_start")),
-        "institution": F.last("heading", ignorenulls=True).over(so_far),
-        **{f"at_{k}": F.lead("line", k).over(by_report) for k in (1, 2)},
-        **{f"before_{k}": F.lag("line", k).over(by_report) for k in (1, 2)},
-    })
+    """One row per line, raw and in normal form, with its block.
+
+    Blocks are cut from the array of a report's lines before lines become rows,
+    so nothing is shuffled.
+    """
+    held = reports.select("file_path", "report_id", "date", F.split("markdown", r"\r?\n", -1).alias("ls"))
+    heads = F.filter(F.transform("ls", lambda x, i: F.struct((i + 1).alias("at"), heading(x).alias("name"))), lambda h: h["name"].isNotNull())
+    held = held.withColumn("heads", heads)
+    until = lambda i: F.coalesce(F.get("heads", i)["at"] - 1, F.size("ls"))
+    block = lambda first, start, end, name: F.struct(first.alias("first"), start.alias("block_start"), end.alias("block_end"), name.alias("institution"))
+    blocks = F.concat(
+        F.array(block(F.lit(1), F.lit(None).cast("int"), until(F.lit(0)), F.lit(None).cast("string"))),
+        F.transform("heads", lambda h, i: block(h["at"], h["at"], until(i + 1), h["name"])),
+    )
+    lines = held.select("file_path", "report_id", "date", "ls", F.explode(blocks).alias("b"))
+    lines = lines.select("file_path", "report_id", "date", "b", F.posexplode(F.slice("ls", F.col("b.first"), F.col("b.block_end") - F.col("b.first") + 1)).alias("p", "line"))
+    return lines.select("file_path", "report_id", "date", (F.col("b.first") + F.col("p")).alias("line_no"), "line", normalize(F.col("line")).alias("norm_line"), "b.block_start", "b.block_end", "b.institution")
 
 
-def nearby(radius: int) -> Column:
-    """The compacted text of the lines around one, within its report."""
-    around = [f"before_{k}" for k in range(radius, 0, -1)] + ["line"] + [f"at_{k}" for k in range(1, radius + 1)]
-    return compact(F.concat_ws("\n", *around))
+def with_nearby(rows: DataFrame, lines: DataFrame, radius: int, line_no: str = "line_no", name: str = "near") -> DataFrame:
+    """``rows`` with the compacted text of the lines around theirs, within the report.
+
+    Only the neighbours of ``rows`` are fetched.  ``rows`` may name a line twice.
+    """
+    wanted = rows.select("file_path", F.col(line_no).alias("_at")).distinct()
+    wanted = wanted.select("file_path", "_at", F.explode(F.sequence(F.col("_at") - radius, F.col("_at") + radius)).alias("_k"))
+    text = lines.select(F.col("file_path").alias("_f"), F.col("line_no").alias("_l"), "line")
+    met = wanted.join(text, (F.col("file_path") == F.col("_f")) & (F.col("_k") == F.col("_l")))
+    # at most 2 * radius + 1 lines
+    around = met.groupBy("file_path", "_at").agg(F.array_sort(F.collect_list(F.struct("_k", "line"))).alias("_around"))
+    around = around.select(F.col("file_path").alias("_f"), "_at", compact(F.array_join(F.transform("_around", lambda x: x["line"]), "\n")).alias(name))
+    return rows.join(around, (F.col("file_path") == F.col("_f")) & (F.col(line_no) == F.col("_at"))).drop("_f", "_at")
 
 
 def line_tags(line: Column) -> Column:
@@ -119,8 +132,8 @@ def target_candidates(lines: DataFrame) -> DataFrame:
     }).drop("p", "covered", "heads", "inside", "all_names", "name_keys")
 
 
-def extract_mentions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(mentions, signals) of a corpus of lines."""
+def extract_mentions(lines: DataFrame) -> DataFrame:
+    """The mentions of a corpus of lines, with the last line of each one's context (``end_line``)."""
     in_block = Window.partitionBy("file_path", "block_start").orderBy("line_no", "pos")
     natural = F.coalesce(F.col("next_line") - 1, F.col("line_no") + CONTEXT_LINES)
     found = target_candidates(lines).withColumn("next_line", F.lead("line_no").over(in_block))
@@ -130,11 +143,11 @@ def extract_mentions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     # something about the candidate by name.  The second set is small: only lines
     # with a rating, price or action take part.
     key = ["file_path", "line_no", "pos"]
-    window = found.where("end_line >= line_no").select(*key, F.explode(F.sequence("line_no", "end_line")).alias("at"))
-    window = window.join(lines.select(F.col("file_path").alias("fp"), F.col("line_no").alias("ln"), "line", "norm_line", *[f"{s}_{k}" for s in ("before", "at") for k in (1, 2)]), (F.col("file_path") == F.col("fp")) & (F.col("at") == F.col("ln"))).drop("fp", "ln")
-    text = F.col("nfkc_line")
-    says = F.coalesce(R.rating(text), R.target_price(text), R.current_price(text), R.action(text)).isNotNull()
-    telling = lines.where(F.col("block_start").isNotNull() & R.may_tell(text) & says).select(F.col("file_path").alias("fp"), F.col("block_start").alias("bs"), F.col("line_no").alias("at"), "line", F.col("norm_line").alias("nl"))
+    window = _window(found.select(*key, "end_line"), lines.select("file_path", "line_no", "line"))
+    told = lines.where(F.col("block_start").isNotNull() & R.may_tell(F.col("norm_line"))).withColumn("said", nfkc("line"))
+    text = F.col("said")
+    told = told.where(R.may_tell(text)).where(F.coalesce(R.rating(text), R.target_price(text), R.current_price(text), R.action(text)).isNotNull())
+    telling = told.select(F.col("file_path").alias("fp"), F.col("block_start").alias("bs"), F.col("line_no").alias("at"), "line", F.col("norm_line").alias("nl"))
     later = found.join(telling, (F.col("file_path") == F.col("fp")) & (F.col("block_start") == F.col("bs")) & (F.col("at") > F.col("end_line")))
     later = later.where(F.exists("idents", lambda i: F.contains(F.col("nl"), i)))
     context = window.select(*key, "at", "line").union(later.select(*key, "at", "line"))
@@ -146,13 +159,24 @@ def extract_mentions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = Window.partitionBy("file_path", "norm_name", F.coalesce("code", F.lit("")), "institution", "line_no").orderBy("pos")
     told = told.withColumn("n", F.row_number().over(same)).where("n = 1")
     told = told.withColumn("target_key", normalize(R.target_key(F.col("code"), F.col("name"), F.try_element_at("aliases", F.lit(1)))))
-    mentions = told.select(
+    return told.select(
         "report_id", "date", "institution", F.col("name").alias("target_name"), "aliases", "code", "rating", "target_price", "current_price", "action",
-        F.col("line_no").alias("line_number"), "excerpt", "target_key", "file_path", F.col("pos").alias("match_no"), "norm_fields",
+        F.col("line_no").alias("line_number"), "excerpt", "target_key", "file_path", F.col("pos").alias("match_no"), "norm_fields", "end_line",
     )
-    kind = R.signal_type(F.col("norm_line"))
-    signals = window.withColumn("type", kind).where("type is not null").withColumn("near", nearby(2))
-    signals = signals.select("file_path", F.col("line_no").alias("line_number"), F.col("pos").alias("match_no"), F.col("at").alias("signal_line"), "type", F.left(F.regexp_replace("line", f"^[-•{WS}]+", ""), F.lit(TITLE_LIMIT)).alias("title"), F.col("near").alias("excerpt"))
-    owner = mentions.select("file_path", "line_number", "match_no", "report_id", "date", "institution", "target_name")
-    signals = owner.join(signals, ["file_path", "line_number", "match_no"])
-    return mentions, signals.select("report_id", "date", "institution", "target_name", "type", "title", "excerpt", F.col("signal_line").alias("line_number"), "file_path", F.col("line_number").alias("mention_line"), "match_no")
+
+
+def _window(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines ``at`` from each candidate's own to its last."""
+    window = found.where("end_line >= line_no").withColumn("at", F.explode(F.sequence("line_no", "end_line"))).drop("end_line")
+    lines = lines.withColumnsRenamed({"file_path": "fp", "line_no": "ln"})
+    return window.join(lines, (F.col("file_path") == F.col("fp")) & (F.col("at") == F.col("ln"))).drop("fp", "ln")
+
+
+def extract_signals(mentions: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row per line of a mention's window that names a catalyst, a risk or another kind of signal."""
+    told = lines.withColumn("type", R.signal_type(F.col("norm_line"))).where("type is not null")
+    own = mentions.select("report_id", "date", "institution", "target_name", "file_path", F.col("line_number").alias("line_no"), "match_no", "end_line")
+    signals = _window(own, told.select("file_path", "line_no", "line", "type"))
+    signals = with_nearby(signals, lines.select("file_path", "line_no", "line"), 2, "at", "excerpt")
+    title = F.left(F.regexp_replace("line", f"^[-•{WS}]+", ""), F.lit(TITLE_LIMIT))
+    return signals.select("report_id", "date", "institution", "target_name", "type", title.alias("title"), "excerpt", F.col("at").alias("line_number"), "file_path", F.col("line_no").alias("mention_line"), "match_no")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import report as R
 from ..functions.text import normalize_literal
-from .reports import nearby
+from .reports import with_nearby
 
 LIMIT = 500
 
@@ -22,22 +22,29 @@ def between_dates(date: Column, start: str | None, end: str | None) -> Column:
     return out
 
 
-def search_lines(lines: DataFrame, query: str | None, mode: str | None = None, limit: int = LIMIT) -> DataFrame:
+def in_period(start: str | None, end: str | None) -> Column:
+    """``between_dates`` for a stored table: the partition column ``part``, the date's first four characters, is bounded too."""
+    return between_dates(F.col("part"), start and start[:4], end and end[:4]) & between_dates(F.col("date"), start, end)
+
+
+def search_lines(lines: DataFrame, query: str | None, mode: str | None = None, limit: int = LIMIT, among: DataFrame | None = None) -> DataFrame:
     """Lines that contain the query in normal form, newest report first.
 
-    The filter is a plain substring test on a stored column; the mode looks at the
-    snippet; the limit comes last.
+    The filter is a plain substring test on a stored column.  Neighbours are
+    fetched for hits only; without a mode, which looks at the snippet, only for
+    the hits within the limit.  ``among`` holds the lines from which neighbours
+    come, if ``lines`` are but some of them.
     """
-    text = normalize_literal(query or "")
+    text, newest = normalize_literal(query or ""), [F.desc("date"), F.asc("file_path"), F.asc("line_no")]
     hits = lines.where(F.contains("norm_line", F.lit(text))) if text else lines.where(F.lit(False))
-    hits = hits.withColumn("snippet", nearby(1))
+    hits = hits.select("report_id", "date", F.coalesce("institution", F.lit(R.UNKNOWN_INSTITUTION)).alias("institution"), "line_no", "file_path")
+    if mode not in R.SEARCH_MODES:
+        hits = hits.orderBy(*newest).limit(limit)
+    hits = with_nearby(hits, among or lines, 1, name="snippet")
     if mode in R.SEARCH_MODES:
         hits = hits.where(R.any_word(F.col("snippet"), R.SEARCH_MODES[mode]))
-    hits = hits.select(
-        "report_id", "date", F.coalesce("institution", F.lit(R.UNKNOWN_INSTITUTION)).alias("institution"),
-        F.col("line_no").alias("line_number"), "snippet", F.lit(query or "").alias("matched_text"), "file_path",
-    )
-    return hits.orderBy(F.desc("date"), "file_path", "line_number").limit(limit).drop("file_path")
+    hits = hits.orderBy(*newest).limit(limit)
+    return hits.select("report_id", "date", "institution", F.col("line_no").alias("line_number"), "snippet", F.lit(query or "").alias("matched_text"))
 
 
 def search_ratings(mentions: DataFrame, wanted: str, limit: int = LIMIT) -> DataFrame:

@@ -1,9 +1,11 @@
 """The stored corpus and its questions.
 
-``build`` reads notes once and writes reports, lines, blocks, mentions and
-signals as Parquet, partitioned by year where questions filter on it, into a new
-version folder; the pointer file is replaced last, so readers see whole versions
-only.  Every question returns DataFrames (or a dict of them) over those tables.
+``build`` reads notes once and writes reports, lines, blocks, mentions, signals
+and errors as Parquet into a new version folder, each table from the stored one
+before it and partitioned by ``part``, the year; a pointer row is appended last,
+so readers see whole versions only.  Questions with a year or with date bounds
+read only their years.  Every question returns DataFrames (or a dict of them)
+over those tables.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import report as R
 from ..functions.text import normalize, normalize_literal
@@ -22,12 +25,15 @@ from ..operators import analytics as A
 from ..operators import reports, search
 from ..sources.config import UserConfig
 from ..sources.export import csv_text, json_text
-from ..sources.markdown import read_markdown
+from ..sources import sync
+from ..sources.markdown import read_errors, read_markdown
 
 TABLES = ("reports", "lines", "blocks", "mentions", "signals")
+POINTER = "version string, indexed_at timestamp"
 # How many rows the answers hold.
 PROFILE_MENTIONS, PROFILE_SIGNALS = 1000, 40
 RADAR_CHANGES, RADAR_FIRST, RADAR_SIGNALS, RADAR_LIMIT = 60, 60, 80, 24
+STATUS_ERRORS = 100
 SUMMARY_REPORTS, SUMMARY_INSTITUTIONS, SUMMARY_RADAR = 8, 18, 6
 THEMES, TARGETS, DIVERGENCE, WATCH_CHANGES = 30, 30, 30, 5
 MENTION_CSV = {
@@ -37,31 +43,76 @@ MENTION_CSV = {
 HIT_CSV = {"report_id": "reportId", "date": "date", "institution": "institution", "line_number": "lineNumber", "snippet": "snippet", "matched_text": "matchedText"}
 
 
-def build(spark: SparkSession, files: DataFrame, root: str, out: str) -> Index:
-    """Ingest ``files`` (file_path, markdown, updated_at) into ``out``."""
-    version = f"{out.rstrip('/')}/v-{datetime.now(UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+def store(files: DataFrame, root: str, version: str, batch: str = "") -> None:
+    """Write the tables of ``files`` below ``version``, each derived from the stored one before it.
+
+    A ``batch`` has its own folder in each table and replaces an earlier one of the name.
+    """
+    spark, mode = files.sparkSession, "overwrite" if batch else "errorifexists"
 
     def saved(name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{version}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{version}/{name}")
+        df = df.withColumn("part", F.left("date", F.lit(4)))
+        df.write.partitionBy("part").mode(mode).parquet(f"{version}/{name}{batch}")
+        return spark.read.schema(df.schema).parquet(f"{version}/{name}{batch}").drop("part")
 
-    notes = saved("reports", reports.build_reports(files, root))
+    notes = saved("reports", reports.build_reports(files.where("markdown is not null"), root))
     lines = saved("lines", reports.build_lines(notes))
     saved("blocks", reports.build_blocks(lines))
-    mentions, signals = reports.extract_mentions(lines)
-    saved("mentions", mentions)
-    saved("signals", signals)
-    spark.createDataFrame([(version, datetime.now(UTC))], "version string, indexed_at timestamp").coalesce(1).write.mode("append").json(f"{out.rstrip('/')}/current")
+    mentions = saved("mentions", reports.extract_mentions(lines))
+    saved("signals", reports.extract_signals(mentions, lines))
+    read_errors(files).write.mode(mode).parquet(f"{version}/errors{batch}")
+
+
+def publish(spark: SparkSession, version: str, out: str) -> Index:
+    spark.createDataFrame([(version, datetime.now(UTC))], POINTER).coalesce(1).write.mode("append").json(f"{out.rstrip('/')}/current")
     return Index(spark, version)
 
 
+def build(spark: SparkSession, files: DataFrame, root: str, out: str) -> Index:
+    """Ingest ``files`` (file_path, markdown, updated_at) into ``out``; those without content become errors and the rest goes on."""
+    version = f"{out.rstrip('/')}/v-{datetime.now(UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+    store(files, root, version)
+    return publish(spark, version, out)
+
+
 def build_from_tree(spark: SparkSession, root: str, out: str) -> Index:
     return build(spark, read_markdown(spark, root), root, out)
 
 
-def open_index(spark: SparkSession, out: str) -> Index:
-    newest = spark.read.schema("version string, indexed_at timestamp").json(f"{out.rstrip('/')}/current").orderBy(F.desc("indexed_at"), F.desc("version")).first()
-    return Index(spark, newest["version"])
+def _pointer(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(POINTER).json(f"{out.rstrip('/')}/current").orderBy(F.desc("indexed_at"), F.desc("version"))
+
+
+def open_index(spark: SparkSession, out: str, root: str | None = None) -> Index:
+    """The newest version; where there is none and ``root`` names notes, they are ingested first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/current")
+    if root is not None and not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return build_from_tree(spark, root, out)
+    return Index(spark, _pointer(spark, out).first()["version"])
+
+
+def refresh(spark: SparkSession, root: str, out: str, runner: sync.Runner = sync.run_git) -> dict:
+    """Pull the notes, ingest them again and compare: the pull's outcome, the index, its status and what changed.
+
+    If the pull fails nothing is ingested and the index stays as it is.
+    """
+    before = open_index(spark, out, root)
+    pulled = sync.refresh(root, runner)
+    if not pulled.success:
+        return {"sync": pulled, "index": before, "status": before.status(), "changes": None}
+    after = build_from_tree(spark, root, out)
+    changes = after.diff(before)
+    return {"sync": pulled, "index": after, "status": after.status() | {"last_changes": changes.count()}, "changes": changes}
+
+
+def profile_summary(mentions: DataFrame) -> DataFrame:
+    """First and latest mention, the latest one's rating and price, and the tone of the excerpts, in one row."""
+    latest = F.struct("date", *A.SEQ)
+    good, bad = R.sentiment_counts(F.col("excerpt"))
+    return mentions.agg(
+        F.min("date").alias("first_mention"), F.max("date").alias("latest_mention"), F.max_by("rating", latest).alias("latest_rating"),
+        F.max_by("target_price", latest).alias("latest_target_price"), R.sentiment_hint(good, bad).alias("sentiment_hint"),
+    )
 
 
 @dataclass
@@ -70,13 +121,17 @@ class Index:
     path: str
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """A stored table; ``part`` stays text, whatever its values look like."""
+        folder = f"{self.path}/{name}"
+        schema = StructType([StructField("part", StringType()) if f.name == "part" else f for f in self.spark.read.parquet(folder).schema])
+        return self.spark.read.schema(schema).parquet(folder).drop("batch")
 
     reports = cached_property(lambda self: self._table("reports"))
     lines = cached_property(lambda self: self._table("lines"))
     blocks = cached_property(lambda self: self._table("blocks"))
     mentions = cached_property(lambda self: self._table("mentions"))
     signals = cached_property(lambda self: self._table("signals"))
+    errors = cached_property(lambda self: self._table("errors"))
 
     # reports
 
@@ -90,7 +145,7 @@ class Index:
         return out.select("report_id", "date", "year", "file_path", "title", names.alias("institutions"), F.coalesce("target_count", F.lit(0)).cast("bigint").alias("target_count"), "line_count", "updated_at")
 
     def list_reports(self, year: str | None = None, institution: str | None = None) -> DataFrame:
-        notes = self.reports if not year else self.reports.where(F.col("year") == year)
+        notes = self.reports if not year else self.reports.where(F.col("part") == year[:4]).where(F.col("year") == year)
         return self.summaries(self._with_institution(notes, institution)).orderBy(F.desc("date"), F.desc("file_path"))
 
     def _with_institution(self, notes: DataFrame, institution: str | None) -> DataFrame:
@@ -122,14 +177,15 @@ class Index:
     # searches
 
     def search(self, q: str | None = None, start: str | None = None, end: str | None = None, institution: str | None = None, mode: str | None = None) -> DataFrame:
-        inside = search.between_dates(F.col("date"), start, end)
+        inside = search.in_period(start, end)
         wanted = R.parse_rating_query(q, mode)
         if wanted:
-            mentions = self.mentions
-            if start or end or institution:
+            mentions = self.mentions.where(inside)  # of an id's reports all have its date
+            if institution:
                 mentions = mentions.join(self._with_institution(self.reports.where(inside), institution).select("report_id"), "report_id", "left_semi")
             return search.search_ratings(mentions, wanted)
-        return search.search_lines(self._with_institution(self.lines.where(inside), institution), q, mode)
+        lines = self.lines.where(inside)
+        return search.search_lines(self._with_institution(lines, institution), q, mode, among=lines)
 
     # targets
 
@@ -144,18 +200,12 @@ class Index:
         called = newest.groupBy("target_name").agg(F.min(F.struct("date", *A.SEQ)).alias("first")).withColumn("norm_name", normalize("target_name"))
         fits = F.contains("norm_name", asked) | F.contains(asked, F.col("norm_name"))
         called = called.orderBy(F.desc(fits), F.when(fits, F.length("target_name")).otherwise(0), "first").limit(1).select(F.col("target_name").alias("canonical_name"))
-        latest = F.struct("date", *A.SEQ)
-        good, bad = R.sentiment_counts(F.col("excerpt"))
-        summary = newest.agg(
-            F.min("date").alias("first_mention"), F.max("date").alias("latest_mention"), F.max_by("rating", latest).alias("latest_rating"),
-            F.max_by("target_price", latest).alias("latest_target_price"), R.sentiment_hint(good, bad).alias("sentiment_hint"),
-        )
         aliases = newest.select("date", *A.SEQ, F.posexplode("aliases").alias("i", "alias")).groupBy("alias").agg(F.min(F.struct("date", *A.SEQ, "i")).alias("first"))
         order = ("date", *A.SEQ)
         return {
             "mentions": newest,
             "canonical_name": called,
-            "summary": summary,
+            "summary": profile_summary(newest),
             "aliases": aliases.orderBy("first").select("alias"),
             "institutions": newest.select("institution").distinct().orderBy("institution"),
             "rating_changes": A.detect_changes(newest).orderBy(*A.change_order()),
@@ -167,7 +217,7 @@ class Index:
 
     def radar(self, start: str | None = None, end: str | None = None, limit: int = RADAR_LIMIT) -> dict[str, DataFrame]:
         """Dates are filtered before changes are looked for; the first cut comes before the split by type."""
-        inside = search.between_dates(F.col("date"), start, end)
+        inside = search.in_period(start, end)
         mentions, signals = self.mentions.where(inside), self.signals.where(inside)
         changes = A.detect_changes(mentions).orderBy(*A.change_order()).limit(RADAR_CHANGES)
         opened = F.contains(F.coalesce("action", F.lit("")), F.lit("首次")) | F.contains("excerpt", F.lit("首次覆盖")) | F.contains("excerpt", F.lit("首予"))
@@ -215,7 +265,14 @@ class Index:
     # whole answers
 
     def status(self) -> dict:
-        return {"path": self.path, "report_count": self.reports.count(), "mention_count": self.mentions.count()}
+        """Where and when the index was made, how much it holds, and the files that could not be read."""
+        out, version = self.path.rsplit("/", 1)
+        indexed = _pointer(self.spark, out).where(F.endswith("version", F.lit(f"/{version}"))).first()
+        return {
+            "path": self.path, "indexed_at": indexed["indexed_at"] if indexed else None,
+            "report_count": self.reports.count(), "mention_count": self.mentions.count(),
+            "error_count": self.errors.count(), "errors": self.errors.orderBy("file_path").limit(STATUS_ERRORS),
+        }
 
     def summary(self) -> dict:
         return {

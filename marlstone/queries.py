@@ -7,7 +7,9 @@ and conversations for blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import report as R
@@ -16,6 +18,7 @@ from .functions.text import tidy
 from .operators import analytics as A
 from .operators import reports as P
 from .operators import search as S
+from .plans import index as I
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -201,9 +204,10 @@ FROM norm WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))"""
 
 def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").where("text is not null")
-    notes = docs.select(F.col("doc_id").alias("file_path"), F.col("doc_id").alias("report_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("date"), F.col("text").alias("markdown"), "source")
-    lines = P.build_lines(notes)
-    return lines.drop("institution").join(notes.select("file_path", F.col("source").alias("institution")), "file_path")
+    # the source travels in the id, so no second read of the notes is needed
+    named = F.concat_ws("\t", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"))
+    notes = docs.select(F.col("doc_id").alias("file_path"), named.alias("report_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("date"), F.col("text").alias("markdown"))
+    return P.build_lines(notes).withColumns({"institution": F.nullif(F.substring_index("report_id", "\t", 1), F.lit("")), "report_id": F.col("file_path")})
 
 
 @query(f"""WITH {_LINES_SQL}, {_NEAR_SQL} SELECT doc_id AS report_id, source AS institution, line_no AS line_number, snippet, 'The  W' AS matched_text
@@ -231,12 +235,13 @@ def signals_by_type(spark, sf_dir):
     return A.count_by(_table(spark, sf_dir, "events").select(R.signal_type(tidy(said)).alias("t")), F.col("t"))
 
 
-@query("SELECT user_id, min(ts) AS first_mention, max(ts) AS latest_mention, count(*) AS mentions, max_by(event_type, (ts, event_id)) AS latest_type FROM events GROUP BY 1")
+@query("SELECT min(strftime(ts, '%Y-%m-%d %H:%M:%S.%f')) AS first_mention, max(strftime(ts, '%Y-%m-%d %H:%M:%S.%f')) AS latest_mention, max_by(event_type, (ts, event_id)) AS latest_rating FROM events")
 def first_last_mention(spark, sf_dir):
-    return _table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.min("ts").alias("first_mention"), F.max("ts").alias("latest_mention"), F.count("*").alias("mentions"),
-        F.max_by("event_type", F.struct("ts", "event_id")).alias("latest_type"),
+    e = _table(spark, sf_dir, "events").select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("date"), F.lit("").alias("file_path"), F.col("event_id").alias("line_number"), F.lit(0).alias("match_no"),
+        F.col("event_type").alias("rating"), F.lit(None).cast("string").alias("target_price"), F.lit("").alias("excerpt"),
     )
+    return I.profile_summary(e).select("first_mention", "latest_mention", "latest_rating")
 
 
 @query(f"""WITH {_MENTIONS_SQL}, s AS (SELECT o_custkey, count(*) FILTER (rating IN ('买入')) AS positive, count(*) FILTER (rating IN ('卖出')) AS negative FROM m GROUP BY 1)
@@ -252,43 +257,6 @@ def rating_distribution(spark, sf_dir):
     return A.count_by(_mentions(spark, sf_dir), F.col("rating"))
 
 
-@query("""SELECT count(*) AS report_count, count(DISTINCT o_custkey) AS target_count, strftime(max(o_orderdate), '%Y-%m-%d') AS latest_date,
-count(DISTINCT o_orderpriority) AS institution_count FROM orders""")
-def summary(spark, sf_dir):
-    return _table(spark, sf_dir, "orders").agg(
-        F.count("*").alias("report_count"), F.countDistinct("o_custkey").alias("target_count"),
-        F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("latest_date"), F.countDistinct("o_orderpriority").alias("institution_count"),
-    )
-
-
-@query("""SELECT o_custkey, count(*) AS n_orders, array_to_string(list_sort(list(DISTINCT o_orderpriority)), '|') AS institutions,
-strftime(min(o_orderdate), '%Y-%m-%d') AS first_mention FROM orders GROUP BY 1""")
-def profile_sets(spark, sf_dir):
-    return _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.count("*").alias("n_orders"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("institutions"),
-        F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_mention"),
-    )
-
-
-@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders)
-SELECT o_orderpriority, rank, o_orderkey, o_totalprice FROM o WHERE rank <= 8""")
-def latest_per_institution(spark, sf_dir):
-    w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return _table(spark, sf_dir, "orders").withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 8").select("o_orderpriority", "rank", "o_orderkey", "o_totalprice")
-
-
-@query("""WITH b AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN role || ' ' || turn END AS h FROM conversations),
-s AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS institution,
-      last_value(CASE WHEN h IS NOT NULL THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS start_turn FROM b)
-SELECT conv_id, coalesce(institution, '未识别机构') AS institution, start_turn, max(turn) AS end_turn, count(*) AS n_turns FROM s GROUP BY 1, 2, 3""")
-def institution_blocks(spark, sf_dir):
-    c = _table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when(F.col("role") == "user", F.concat_ws(" ", "role", "turn"))
-    c = c.select("conv_id", "turn", F.coalesce(F.last(head, True).over(w), F.lit(R.UNKNOWN_INSTITUTION)).alias("institution"), F.last(F.when(head.isNotNull(), F.col("turn")), True).over(w).alias("start_turn"))
-    return c.groupBy("conv_id", "institution", "start_turn").agg(F.max("turn").alias("end_turn"), F.count("*").alias("n_turns"))
-
-
 @query(r"""SELECT page_id, '/reports?id=' || regexp_replace(url, '[^A-Za-z0-9]', '', 'g') || '&line=' || (page_id + 1) AS link FROM pages""")
 def report_links(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", report_link(F.regexp_replace("url", "[^A-Za-z0-9]", ""), F.col("page_id") + 1).alias("link"))
@@ -338,17 +306,95 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 lpad(CAST(o_custkey AS VARCHAR), 6, '0') || '.HK' AS code, {RATING} AS rating, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) || '港元' AS target_price,
 CASE WHEN o_orderkey % 5 = 0 THEN '维持' END AS action FROM {_RENDER}""")
 def extract_mentions(spark, sf_dir):
-    mentions, _ = P.extract_mentions(_parsed(spark, sf_dir))
-    return mentions.select("date", "institution", "target_name", "code", "rating", "target_price", "action")
+    return P.extract_mentions(_parsed(spark, sf_dir)).select("date", "institution", "target_name", "code", "rating", "target_price", "action")
 
 
 @query(f"SELECT n_name AS institution, 'risk' AS type, '主要风险：需求。' AS title, count(*) AS count FROM {_RENDER} GROUP BY 1")
 def extract_signals(spark, sf_dir):
-    _, signals = P.extract_mentions(_parsed(spark, sf_dir))
-    return signals.groupBy("institution", "type", "title").agg(F.count("*").alias("count"))
+    lines = _parsed(spark, sf_dir)
+    return P.extract_signals(P.extract_mentions(lines), lines).groupBy("institution", "type", "title").agg(F.count("*").alias("count"))
 
 
 @query(f"""SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, n_name AS institution, 3 * count(*) + 3 AS n_lines, n_name || '|notes' AS tags FROM {_RENDER} GROUP BY 1, 2""")
 def extract_blocks(spark, sf_dir):
     blocks = P.build_blocks(_parsed(spark, sf_dir))
     return blocks.select("date", "institution", (F.col("end_line") - F.col("start_line") + 1).cast("bigint").alias("n_lines"), F.array_join("tags", "|").alias("tags"))
+
+
+# the rendered notes built into a stored index, and the questions asked of it
+
+
+def _index(spark: SparkSession, sf_dir: str) -> I.Index:
+    """An index of all rendered notes in the shared folder, built once for each session and source."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        _BUILT[key] = I.build(spark, _rendered(spark, sf_dir), "/notes", f"{_shared_dir(spark)}/index-{uuid.uuid4().hex}").path
+    return I.Index(spark, _BUILT[key])
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or spark._jvm.System.getProperty("java.io.tmpdir")
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+_NOTES = f"""o AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, n_name AS institution, 'Order ' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS target_name,
+lpad(CAST(o_custkey AS VARCHAR), 6, '0') || '.HK' AS code, o_custkey, o_orderkey, {RATING} AS rating, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) || '港元' AS target_price,
+CASE WHEN o_orderkey % 5 = 0 THEN '维持' END AS action FROM {_RENDER}),
+p AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY institution, o_orderkey) AS k, dense_rank() OVER (PARTITION BY date ORDER BY institution) AS b FROM o),
+m AS (SELECT *, CAST(3 * k + 3 * b - 4 AS BIGINT) AS line_number FROM p)"""
+
+
+@query(f"WITH {_NOTES} SELECT count(DISTINCT date) AS report_count, count(*) AS mention_count, count(DISTINCT code) AS target_count FROM m")
+def summary(spark, sf_dir):
+    said = _index(spark, sf_dir).summary()
+    return spark.createDataFrame([tuple(said[k] for k in ("report_count", "mention_count", "target_count"))], "report_count bigint, mention_count bigint, target_count bigint")
+
+
+@query(f"WITH {_NOTES} SELECT institution AS name, count(*) AS count FROM (SELECT DISTINCT date, institution FROM m) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 18")
+def summary_institutions(spark, sf_dir):
+    return _index(spark, sf_dir).summary()["institutions"]
+
+
+@query(f"WITH {_NOTES} SELECT '/notes/' || date || '.md' AS file_path, count(*) AS target_count, array_to_string(list_sort(list(DISTINCT institution)), '|') AS institutions FROM m GROUP BY date ORDER BY date DESC LIMIT 8")
+def summary_reports(spark, sf_dir):
+    return _index(spark, sf_dir).summary()["latest_reports"].select("file_path", "target_count", F.array_join("institutions", "|").alias("institutions"))
+
+
+@query(f"""WITH {_NOTES} SELECT date, institution, target_name, CAST(line_number + 2 AS INTEGER) AS line_number FROM m WHERE date <= '1999-12-31' ORDER BY date DESC, line_number DESC LIMIT 24""")
+def radar_risks(spark, sf_dir):
+    return _index(spark, sf_dir).radar(end="1999-12-31")["risks"].select("date", "institution", "target_name", "line_number")
+
+
+@query(f"""WITH {_NOTES}, n AS (SELECT * FROM m WHERE (contains(code, '00001') OR contains(target_name, '00001')) ORDER BY date DESC, line_number DESC LIMIT 1000)
+SELECT institution, count(*) AS mentions, min(date) AS first_mention, max(date) AS latest_mention FROM n GROUP BY 1""")
+def profile_sets(spark, sf_dir):
+    """The working set of a target's profile, by institution."""
+    found = _index(spark, sf_dir).profile("00001")
+    rows = found["mentions"].groupBy("institution").agg(F.count("*").alias("mentions"), F.min("date").alias("first_mention"), F.max("date").alias("latest_mention"))
+    return rows.join(found["institutions"], "institution", "left_semi")
+
+
+@query(f"""WITH {_NOTES} SELECT target_name, date, target_price FROM m WHERE (contains(code, '00001') OR contains(target_name, '00001')) ORDER BY date DESC, line_number DESC LIMIT 1000""")
+def profile_prices(spark, sf_dir):
+    return _index(spark, sf_dir).profile("00001")["mentions"].select("target_name", "date", "target_price")
+
+
+@query(f"""WITH {_NOTES}, t AS (SELECT date, institution, rating, row_number() OVER (PARTITION BY code, institution ORDER BY date DESC, line_number DESC) AS n, code FROM m)
+SELECT code, institution, date, rating FROM t WHERE n = 1""")
+def latest_per_institution(spark, sf_dir):
+    return _index(spark, sf_dir).institutions()["matrix"].select("code", "institution", "date", "rating")
+
+
+@query(f"WITH {_NOTES} SELECT date, institution, CAST(min(line_number) - 1 AS INTEGER) AS start_line, institution || '|notes' AS tags FROM m WHERE date >= '1995-03' AND date <= '1996-04' GROUP BY 1, 2")
+def institution_blocks(spark, sf_dir):
+    blocks = _index(spark, sf_dir).blocks
+    return blocks.where(S.in_period("1995-03", "1996-04")).select("date", "institution", "start_line", F.array_join("tags", "|").alias("tags"))
+
+
+@query(f"WITH {_NOTES} SELECT date, institution, target_name, CAST(line_number AS INTEGER) AS line_number FROM m WHERE institution = 'CHINA' AND rating = '买入' AND date >= '1995-02' ORDER BY date DESC, line_number DESC LIMIT 500")
+def index_rating_search(spark, sf_dir):
+    hits = _index(spark, sf_dir).search("买入评级", start="1995-02", institution="CHINA")
+    return hits.where("institution = 'CHINA'").select("date", "institution", F.substring_index("snippet", "｜", 1).alias("target_name"), "line_number")

@@ -18,6 +18,7 @@ def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     return files.select(path.alias("file_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("markdown"), F.col("modificationTime").alias("updated_at"))
 
 
-def read_errors(listed: DataFrame, read: DataFrame) -> DataFrame:
-    """Paths that were listed and not read."""
-    return listed.select("file_path").join(read.select("file_path"), "file_path", "left_anti").withColumn("message", F.lit("not read"))
+def read_errors(files: DataFrame) -> DataFrame:
+    """(file_path, message) of files without content; a reader that knows the reason gives it as ``error``."""
+    why = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    return files.where("markdown is null").select("file_path", F.coalesce(why, F.lit("content could not be read")).alias("message"))

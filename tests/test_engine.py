@@ -10,50 +10,59 @@ from marlstone.functions import text as T
 from marlstone.plans import index as I
 from marlstone.sources.config import Settings, UserConfig, split_aliases
 from marlstone.sources.sync import refresh
+from marlstone.streaming.ingest import stream_notes
 
 NOTES = {
-    "2026/2026-07-07.md": "前言：Orbit 相关\n# 甲证券\n\n星河航天 (ORBT.US)\n投资评级：增持，目标价 100 美元。\n#航天 #海外\n",
-    "2026/2026-07-08.md": """# 甲证券
+    "2025/2025-11-03.md": "晨间提示：Quokka 推迟发布会\n# 北辰研究\n\n澄光储能 (QKKA.US)\n给予增持，目标价 42 美元。\n#储能 #出海\n",
+    "2025/2025-11-04.md": """# 北辰研究
 
-==覆盖个股：星河航天技术公司（Orbit Space / ORBT.US）==
-==投资评级：买入（首次覆盖）==
-==12个月目标价：210.00美元==
-==当前股价（2026年7月6日）：160.91美元==
+==目标价：57.50美元==
+==覆盖公司：澄光储能公司（Quokka Power；QKKA.US）==
+==投资评级：持有（恢复覆盖）==
+==现价（2025年11月3日）：48.20美元==
 
-星河航天拥有三条增长曲线。
+电网侧订单排到明年三季度。
 
-#航天 #海外 ##不算
+#储能 #出海 ##双井
 
-# 乙证券
+# 南湖资本
 
-微芯股份 (2577.HK)
-首予“买入”评级，目标价 114 港元。
-催化剂：新品放量；
-主要风险：竞争更激烈。
-## 标题不是标签
-#半导体 #航天
+松果机器人 (4316.TW)
+上调至“增持”，目标价 620 新台币。
+灵巧手是下半年的催化剂，样机十二月交付。
+减速器缺货是首要风险。
+## 附：产线照片
+#机器人 #储能
 """,
-    "2026/2026-07-09.md": """# 乙证券
-
-恒山重工 (603268.SS)
-恒山持有闲置产能来获取更多新船订单。
-
-江海船业 (YAZG.SI)
-江海船业有3个船厂——新江海（YAMIC）。
-
-大同船舶工业集团公司 (DTSC, 600150.SS)
-来自大同船舶工业集团公司（DTSC）的代表出席了会议。
-■ 合并更新：大同船舶工业股份有限公司（600150.SS）和重工股份有限公司（前601989.SS）完成了合并。
-
-远洋海控 (601919.SS/1919.HK)
-我们对==远洋海控H/A股的12个月目标价分别为11.5港元/14.7人民币==，维持买入评级。
-
-方法论 - 江海船业
-我们对江海船业评级为买入，我们的12个月目标价4.00新元是基于估值。
-
-# 丙证券
-微芯股份 (2577.HK)
-评级：卖出，下调目标价至 90 港元
+    "2025/2025-11-05.md": """# 南湖资本
+
+晴川水务 (300987.SZ)
+雨季推高了晴川的用电成本，管理层暂停了两处工地。
+
+白塔乳业 (BTRY.SI)
+白塔乳业在东岸有6座牧场——旧称晨曦（MILKA）。
+
+四明玻璃纤维工业公司 (SMGF, 605432.SS)
+四明玻璃纤维工业公司（SMGF）的厂长谈到了窑炉检修。
+• 更正：四明玻纤（605432.SS）与旧壳（前600432.SS）已换股。
+
+望海航空 (601765.SS/1765.HK)
+对==望海航空H/A股给出的目标价各为8.6港元/7.9人民币==，维持持有评级。
+冬春航季时刻：
+北线每日六班
+南线每日四班
+东线每日三班
+西线每日两班
+货机隔日一班
+包机另行通知
+其余不变
+
+附录 - 白塔乳业
+白塔乳业评级为增持，目标价1.75新元，按现金流折现。
+
+# 东篱证券
+松果机器人 (4316.TW)
+评级：减持，下调目标价至 480 新台币
 """,
 }
 
@@ -73,92 +82,151 @@ def rows(df):
 
 
 def test_reports_and_blocks(index):
-    assert [r["report_id"] for r in rows(index.list_reports())] == ["2026__2026-07-09", "2026__2026-07-08", "2026__2026-07-07"]
+    assert [r["report_id"] for r in rows(index.list_reports())] == ["2025__2025-11-05", "2025__2025-11-04", "2025__2025-11-03"]
+    assert index.list_reports(year="2025", institution="东篱证券").count() == 1 and index.list_reports(year="2024").count() == 0
     one = rows(index.summaries())
-    assert {r["date"]: r["institutions"] for r in one}["2026-07-08"] == ["甲证券", "乙证券"]
-    assert {r["date"]: r["target_count"] for r in one} == {"2026-07-07": 1, "2026-07-08": 2, "2026-07-09": 5}
-    assert rows(index.reports.select("year", "line_count").where("date = '2026-07-07'")) == [{"year": "2026", "line_count": 7}]
-    tags = {r["institution"]: r["tags"] for r in rows(index.blocks.where("date = '2026-07-08'"))}
-    assert tags == {"甲证券": ["航天", "海外", "不算"], "乙证券": ["半导体", "航天"]}
-    held = index.report("2026__2026-07-08")
+    assert {r["date"]: r["institutions"] for r in one}["2025-11-04"] == ["北辰研究", "南湖资本"]
+    assert {r["date"]: r["target_count"] for r in one} == {"2025-11-03": 1, "2025-11-04": 2, "2025-11-05": 5}
+    assert rows(index.reports.select("year", "line_count").where("date = '2025-11-03'")) == [{"year": "2025", "line_count": 7}]
+    tags = {r["institution"]: r["tags"] for r in rows(index.blocks.where("date = '2025-11-04'"))}
+    assert tags == {"北辰研究": ["储能", "出海", "双井"], "南湖资本": ["机器人", "储能"]}
+    held = index.report("2025__2025-11-04")
     assert held["report"].count() == 1 and held["blocks"].count() == 2 and held["mentions"].count() == 2
 
 
+def test_lines_cover_every_line_once(index):
+    got = rows(index.lines.where("date = '2025-11-03'").orderBy("line_no"))
+    assert [r["line"] for r in got] == NOTES["2025/2025-11-03.md"].split("\n")
+    assert [(r["block_start"], r["block_end"], r["institution"]) for r in got] == [(None, 1, None)] + [(2, 7, "北辰研究")] * 6
+
+
+def test_years_and_dates_prune_partitions(index):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (index.list_reports(year="2025"), index.search("x", start="2025-02", end="2026-01"), index.radar(start="2025-01-01")["risks"]):
+        assert any("part#" in p for p in plan(df).split("PartitionFilters: [")[1:] for p in [p.split("]")[0]])
+
+
 def test_mentions(index):
     by = {(r["date"], r["code"]): r for r in rows(index.mentions)}
-    orbit = by["2026-07-08", "ORBT.US"]
-    assert (orbit["target_name"], orbit["rating"], orbit["target_price"], orbit["current_price"], orbit["action"]) == ("星河航天技术", "买入", "210.00美元", "160.91美元", "首次覆盖")
-    assert orbit["aliases"] == ["星河航天技术", "Orbit Space", "ORBT.US"] and orbit["target_key"] == "orbt.us"
-    chip = by["2026-07-08", "2577.HK"]
-    assert (chip["rating"], chip["target_price"], chip["action"]) == ("买入", "114 港元", "首予")
-    hill = by["2026-07-09", "603268.SS"]
-    assert hill["rating"] is None and hill["action"] is None
-    ship = by["2026-07-09", "600150.SS"]
-    assert ship["target_name"] == "大同船舶工业集团公司" and ship["rating"] is None and ship["target_price"] is None and ship["action"] is None
-    river = by["2026-07-09", "YAZG.SI"]
-    assert (river["rating"], river["target_price"]) == ("买入", "4.00新元")
-    sea = by["2026-07-09", "601919.SS"]
-    assert (sea["rating"], sea["target_price"], sea["action"]) == ("买入", "11.5港元", "维持")
-    assert {(r["type"], r["target_name"]) for r in rows(index.signals.where("date = '2026-07-08'"))} >= {("catalyst", "微芯"), ("risk", "微芯")}
+    power = by["2025-11-04", "QKKA.US"]
+    assert (power["target_name"], power["rating"], power["current_price"], power["action"]) == ("澄光储能", "持有", "48.20美元", "恢复覆盖")
+    assert power["target_price"] is None  # it stands above the target, and names no one
+    assert power["aliases"] == ["澄光储能", "Quokka Power", "QKKA.US"] and power["target_key"] == "qkka.us"
+    robot = by["2025-11-04", "4316.TW"]
+    assert (robot["rating"], robot["target_price"], robot["action"]) == ("增持", "620 新台币", "上调")
+    water = by["2025-11-05", "300987.SZ"]
+    assert water["rating"] is None and water["action"] is None
+    glass = by["2025-11-05", "605432.SS"]
+    assert glass["target_name"] == "四明玻璃纤维工业公司" and glass["rating"] is None and glass["target_price"] is None and glass["action"] is None
+    milk = by["2025-11-05", "BTRY.SI"]
+    assert (milk["rating"], milk["target_price"]) == ("增持", "1.75新元")
+    air = by["2025-11-05", "601765.SS"]
+    assert (air["rating"], air["target_price"], air["action"]) == ("持有", "8.6港元", "维持")
+    assert {(r["type"], r["target_name"]) for r in rows(index.signals.where("date = '2025-11-04'"))} >= {("catalyst", "松果机器人"), ("risk", "松果机器人")}
+    said = rows(index.signals.where("type = 'catalyst'"))[0]
+    assert said["title"].startswith("灵巧手") and said["excerpt"].startswith("松果机器人 (4316.TW) 上调至") and said["excerpt"].endswith("## 附：产线照片")
 
 
 def test_search(index):
-    assert index.search("Orbit").count() == index.search("ORBIT").count() >= 2
-    assert rows(index.search("orbit"))[-1]["institution"] == R.UNKNOWN_INSTITUTION
+    assert index.search("Quokka").count() == index.search("QUOKKA").count() >= 2
+    last = rows(index.search("quokka"))[-1]
+    assert last["institution"] == R.UNKNOWN_INSTITUTION and last["snippet"] == "晨间提示：Quokka 推迟发布会 # 北辰研究"
     assert index.search("没有").count() == 0 and index.search(" ").count() == 0
-    assert {r["date"] for r in rows(index.search("船业", mode="target"))} == {"2026-07-09"}
-    buys = rows(index.search("买入评级"))
-    assert [r["date"] for r in buys][:1] == ["2026-07-09"] and all(r["matched_text"] == "买入评级" for r in buys) and len(buys) == 4
-    assert index.search("", mode="rating").count() == 6 and index.search("评级", mode="rating", institution="甲证券").count() == 3
-    assert index.search("sell", start="2026-07-09").count() == 1
+    assert {r["date"] for r in rows(index.search("乳业", mode="target"))} == {"2025-11-05"}
+    held = rows(index.search("持有评级"))
+    assert [r["date"] for r in held] == ["2025-11-05", "2025-11-04"] and all(r["matched_text"] == "持有评级" for r in held)
+    assert index.search("", mode="rating").count() == 6 and index.search("评级", mode="rating", institution="北辰研究").count() == 3
+    assert index.search("underweight", start="2025-11-05").count() == 1 and index.search("underweight", end="2025-11-04").count() == 0
 
 
 def test_changes_matrix_profile(index):
-    profile = index.profile("2577.HK")
+    profile = index.profile("4316.TW")
     changes = rows(profile["rating_changes"])
-    assert [(c["institution"], c["change_type"]) for c in changes] == [("丙证券", "下调"), ("乙证券", "首予")]
-    orbit = rows(index.profile("orbt.us")["rating_changes"])
-    assert [(c["change_type"], c["previous_rating"], c["current_rating"]) for c in orbit] == [("首次覆盖", "增持", "买入"), ("首次覆盖", None, "增持")]
+    assert [(c["institution"], c["change_type"]) for c in changes] == [("东篱证券", "下调"), ("南湖资本", "上调")]
+    power = rows(index.profile("qkka.us")["rating_changes"])
+    assert [(c["change_type"], c["previous_rating"], c["current_rating"]) for c in power] == [("恢复覆盖", "增持", "持有"), ("首次覆盖", None, "增持")]
     assert rows(profile["summary"])[0]["sentiment_hint"] == "风险提示较多"
-    assert rows(profile["canonical_name"])[0]["canonical_name"] == "微芯"
-    view = index.institutions("微芯")
-    assert [r["institution"] for r in rows(view["matrix"])] == ["丙证券", "乙证券"]
+    assert rows(profile["canonical_name"])[0]["canonical_name"] == "松果机器人"
+    view = index.institutions("松果")
+    assert [r["institution"] for r in rows(view["matrix"])] == ["东篱证券", "南湖资本"]
     assert rows(view["divergence"])[0]["n_ratings"] == 2
-    assert rows(index.institutions()["coverage"])[0] == {"name": "乙证券", "count": 5}
+    assert rows(index.institutions()["coverage"])[0] == {"name": "南湖资本", "count": 5}
 
 
 def test_radar_and_summary(index):
     radar = index.radar()
-    assert {r["code"] for r in rows(radar["first_coverages"])} == {"ORBT.US", "2577.HK"}
-    assert rows(radar["themes"])[0] == {"name": "航天", "count": 3}
-    assert all(r["date"] >= "2026-07-09" for r in rows(index.radar(start="2026-07-09")["rating_changes"]))
+    assert {r["change_type"] for r in rows(radar["rating_changes"])} >= {"上调", "下调", "恢复覆盖"}
+    assert rows(radar["themes"])[0] == {"name": "储能", "count": 3}
+    assert all(r["date"] >= "2025-11-05" for r in rows(index.radar(start="2025-11-05")["rating_changes"]))
     summary = index.summary()
-    assert summary["report_count"] == 3 and summary["target_count"] == 6
+    assert summary["report_count"] == 3 and summary["target_count"] == 6 and summary["error_count"] == 0 and summary["indexed_at"] is not None
     assert index.export("summary").startswith("{")
-    assert index.export("target", "2577.HK").splitlines()[0] == "reportId,date,institution,targetName,aliases,code,rating,targetPrice,currentPrice,action,lineNumber,excerpt"
+    assert index.export("target", "4316.TW").splitlines()[0] == "reportId,date,institution,targetName,aliases,code,rating,targetPrice,currentPrice,action,lineNumber,excerpt"
     assert index.export("search", "没有") == ""
 
 
 def test_watchlist_and_config(index, tmp_path):
     path = tmp_path / "config.json"
     path.write_text("{broken", encoding="utf-8")
-    config = UserConfig.load(path).add_watch("微芯", ["2577.hk", " "]).add_watch("无此")
-    config.add_watch("微芯", ["微芯股份"], "n").add_alias("星河", ["Orbit"])
+    config = UserConfig.load(path).add_watch("松果", ["4316.tw", " "]).add_watch("无此")
+    config.add_watch("松果", ["松果机器人"], "n").add_alias("澄光", ["Quokka"])
     config = UserConfig.load(path)
-    assert config.watchlist[0]["aliases"] == ["微芯", "2577.hk", "微芯股份"] and config.expand("orbit ") == ["星河", "星河", "Orbit"]
+    assert config.watchlist[0]["aliases"] == ["松果", "4316.tw", "松果机器人"] and config.expand("quokka ") == ["澄光", "澄光", "Quokka"]
     view = index.watchlist(config)
     got = {r["name"]: (r["mention_count"], r["latest_date"]) for r in rows(view["watchlist"])}
-    assert got == {"微芯": (2, "2026-07-09"), "无此": (0, None)}
+    assert got == {"松果": (2, "2025-11-05"), "无此": (0, None)}
     assert view["latest_changes"].count() == 2
     assert config.remove_watch(config.watchlist[0]["id"]).watchlist[0]["name"] == "无此"
     assert split_aliases("a, b，c d") == ["a", "b", "c", "d"]
 
 
-def test_diff(spark, index, tmp_path):
-    files = {"2026/2026-07-08.md": NOTES["2026/2026-07-08.md"], "2026/2026-07-09.md": "# 改\n", "2026/2026-07-10.md": "# 新\n"}
+def test_diff_and_errors(spark, index, tmp_path):
+    files = {"2025/2025-11-04.md": NOTES["2025/2025-11-04.md"], "2025/2025-11-05.md": "# 改\n", "2025/2025-11-06.md": "# 新\n", "2025/2025-11-07.md": None}
     made = spark.createDataFrame([(f"/r/{p}", t, None) for p, t in files.items()], "file_path string, markdown string, updated_at timestamp")
     after = I.build(spark, made, "/r", str(tmp_path))
-    assert [(r["change_type"], r["report_id"]) for r in rows(after.diff(index))] == [("added", "2026__2026-07-10"), ("modified", "2026__2026-07-09"), ("removed", "2026__2026-07-07")]
+    assert [(r["change_type"], r["report_id"]) for r in rows(after.diff(index))] == [("added", "2025__2025-11-06"), ("modified", "2025__2025-11-05"), ("removed", "2025__2025-11-03")]
+    status = after.status()
+    assert status["report_count"] == 3 and status["error_count"] == 1 and rows(status["errors"])[0]["file_path"] == "/r/2025/2025-11-07.md"
+
+
+def _written(root, notes):
+    for name, text in notes.items():
+        os.makedirs(root / os.path.dirname(name), exist_ok=True)
+        (root / name).write_text(text, encoding="utf-8")
+
+
+def test_refresh_pulls_builds_and_compares(spark, tmp_path):
+    root, out = tmp_path / "notes", str(tmp_path / "index")
+    _written(root, {k: v for k, v in NOTES.items() if "11-05" not in k})
+    assert I.open_index(spark, out, str(root)).status()["report_count"] == 2  # built on first use
+
+    def runner(args, cwd, timeout):
+        _written(root, {k: v for k, v in NOTES.items() if "11-05" in k})
+        return "Updating 1..2", ""
+
+    done = I.refresh(spark, str(root), out, runner)
+    assert done["sync"].success and done["status"]["report_count"] == 3 and done["status"]["last_changes"] == 1
+    assert [r["change_type"] for r in rows(done["changes"])] == ["added"] and I.open_index(spark, out).path == done["index"].path
+
+    def failing(args, cwd, timeout):
+        raise RuntimeError("no route")
+
+    again = I.refresh(spark, str(root), out, failing)
+    assert not again["sync"].success and again["changes"] is None and again["index"].path == done["index"].path
+
+
+def test_streamed_notes_open_as_an_index(spark, index, tmp_path):
+    root, out = tmp_path / "notes", str(tmp_path / "index")
+    _written(root, {k: v for k, v in NOTES.items() if "11-05" not in k})
+    stream_notes(spark, str(root), out, str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert I.open_index(spark, out).mentions.count() == 3
+    _written(root, {k: v for k, v in NOTES.items() if "11-05" in k})
+    stream_notes(spark, str(root), out, str(tmp_path / "checkpoint")).awaitTermination(120)
+    streamed = I.open_index(spark, out)
+    columns = ("date", "institution", "code", "rating", "target_price", "action")
+    assert sorted(map(tuple, streamed.mentions.select(*columns).collect()), key=str) == sorted(map(tuple, index.mentions.select(*columns).collect()), key=str)
+    assert [r["change_type"] for r in rows(streamed.profile("qkka.us")["rating_changes"])] == ["恢复覆盖", "首次覆盖"]
+    assert streamed.search("quokka").count() == index.search("quokka").count() and streamed.status()["error_count"] == 0
 
 
 def test_text_traps(spark):
@@ -171,7 +239,7 @@ def test_text_traps(spark):
     assert one(R.rating, "评级：说明。维持买入") == "买入"
     assert one(R.current_price, "现价 12.5 港元，区间 10-20") == "20"
     assert one(R.clean_name, "报告 - 我们对该公司") == "该"
-    assert one(R.clean_name, "星河是一家") == "星河"
+    assert one(R.clean_name, "松果是一家") == "松果"
     assert one(T.compact, " a \r\n\n　b ") == "a b"
     assert R.parse_rating_query("growth") == "增持" and R.parse_rating_query("", "rating") == "*" and R.parse_rating_query("x") is None
     from marlstone.functions import markup as M
