@@ -7,15 +7,19 @@ crosses.  The order runs through bands of similar size, so the words taken, not
 only the documents, come near the target.
 
 The running sum needs only a document's rank within its source: bands of a
-source are split into cells of a few hundred rows by a hash, the cells' counts
-are summed first, and no window spans more than a cell, however large a source
-is.  All arithmetic on ranks is exact (integers and decimals), and offset and
-order come from hashes, so reruns agree.
+source are split into cells of a few hundred documents by a hash, the cells'
+counts are summed first, and no window spans more than a cell, however large a
+source is.  Repeated rows are ranked as one block; the block's copies are dealt
+evenly to its rows, which are numbered within the partitions where they lie.
+All arithmetic on ranks is exact (integers and decimals), and offset and order
+come from hashes, so reruns agree.
 
 Null text has size 0; null sources form one source, ordered last.  Documents of
 size 0 follow the same rule.  Repeated rows each have their own expected
-copies.  An empty table gives an empty result.  The number of sources must stay
-below ``MAX_SOURCES``; beyond, an error is raised and nothing is dropped.
+copies.  An empty table gives an empty result.  ``mixed`` leaves every column of
+the input as it is, whatever its name; ``mix`` replaces those of the names that
+it adds.  The number of sources must stay below ``MAX_SOURCES``; beyond, an error
+is raised and nothing is dropped.
 """
 
 from __future__ import annotations
@@ -57,70 +61,84 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: Fractio
     return out
 
 
+def _narrow(df: DataFrame, kept: list[Column], id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """What is kept of each document as ``row``, beside what decides its copies; written, so the numbers stay."""
+    return stage(df.select(
+        F.struct(*kept).alias("row"),
+        F.col(source_col).cast("string").alias("source"),
+        n_words(F.col(text_col)).alias("size"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col)).alias("tie"),
+        F.monotonically_increasing_id().alias("unique"),
+    ), "mix-documents")
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 29) -> DataFrame:
     """Add ``size``, ``source_size``, ``target`` and ``copies`` to every row."""
-    sized = df.withColumns({
-        "size": n_words(F.col(text_col)),
-        "_tie": F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col)),
-    })
-    return _copies(sized, stage(sized.select(source_col, "size", "_tie"), "mix-sizes"), source_col, seed).drop("_tie")
+    added = ("size", "source_size", "target", "copies")
+    out = _copies(_narrow(df, [F.col(f"`{c}`") for c in df.columns], id_col, text_col, source_col, seed), seed)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in added], *added)
 
 
-def mixed(df: DataFrame, **names) -> DataFrame:
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 29) -> DataFrame:
     """The mix itself: the rows of ``df`` as often as they are taken, columns unchanged."""
-    out = mix(df, **names).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*df.columns)
+    out = _copies(_narrow(df, [F.col(f"`{c}`") for c in df.columns], id_col, text_col, source_col, seed), seed).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
-def _copies(sized: DataFrame, narrow: DataFrame, source_col: str, seed: int) -> DataFrame:
-    spark = sized.sparkSession
+def _copies(narrow: DataFrame, seed: int) -> DataFrame:
+    """``narrow`` with source_size, target and copies."""
+    spark = narrow.sparkSession
     band = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
+    blocks = narrow.groupBy("source", "size", "tie").agg(F.count("*").alias("rows")).withColumn("band", band)
+    blocks = stage(blocks, "mix-blocks")
 
-    held = narrow.groupBy(F.col(source_col).alias("s"), band.alias("_band")).agg(F.count("*").alias("n"), F.sum("size").alias("b"))
-    held = stage(held, "mix-bands")
-    per_source = held.groupBy("s").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).limit(MAX_SOURCES + 1).collect()
+    held = stage(blocks.groupBy("source", "band").agg(F.sum("rows").alias("n"), F.sum(F.col("rows") * F.col("size")).alias("b"), F.count("*").alias("blocks")), "mix-bands")
+    per_source = held.groupBy("source").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).limit(MAX_SOURCES + 1).collect()
     if len(per_source) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    want = targets([(r["s"], r["b"]) for r in per_source])
+    want = targets([(r["source"], r["b"]) for r in per_source])
     rates = []
     for r in per_source:
-        rate = want[r["s"]] / r["b"] if r["b"] else Fraction(0)
-        rates.append((r["s"], r["b"], float(want[r["s"]]), int(rate * SCALE)))
-    rates_df = F.broadcast(spark.createDataFrame(rates, "_s string, source_size bigint, target double, _rate bigint"))
+        rate = want[r["source"]] / r["b"] if r["b"] else Fraction(0)
+        rates.append((r["source"], r["b"], float(want[r["source"]]), int(rate * SCALE)))
+    rates_df = F.broadcast(spark.createDataFrame(rates, "source string, source_size bigint, target double, rate bigint"))
 
     # (source, band) pairs: bounded by the sources and the bits of a size
-    cells_of = F.broadcast(held.select(F.col("s").alias("_s"), F.col("_band").alias("_b"), F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("_cells")))
-    def in_cell(d: DataFrame) -> DataFrame:
-        d = d.withColumn("_band", band).join(cells_of, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_band") == F.col("_b"))).drop("_s", "_b")
-        return d.withColumn("_cell", F.pmod(F.col("_tie"), F.col("_cells")).cast("int")).drop("_cells")
-
-    counts = in_cell(narrow).groupBy(source_col, "_band", "_cell").agg(F.count("*").alias("n"))
-    by_band = Window.partitionBy("s", "_band").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    by_source = Window.partitionBy("s").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    band_start = held.select("s", F.col("_band").alias("_b"), F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("_start"))
-    counts = counts.withColumnRenamed(source_col, "s").withColumn("_before", F.coalesce(F.sum("n").over(by_band), F.lit(0)))
-    starts = counts.alias("c").join(
-        F.broadcast(band_start.alias("h")), F.expr("c.s <=> h.s and c._band = h._b")
-    ).select(F.col("c.s").alias("_s"), F.col("c._band").alias("_b"), F.col("c._cell").alias("_c"), (F.col("_before") + F.col("_start")).alias("_offset"))
-
-    w = Window.partitionBy(source_col, "_band", "_cell").orderBy("size", "_tie")
-    ranked = in_cell(sized).withColumn("_n", F.row_number().over(w))
-    ranked = ranked.join(starts, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_band") == F.col("_b")) & (F.col("_cell") == F.col("_c"))).drop("_s", "_b", "_c")
-    ranked = ranked.join(rates_df, F.col(source_col).eqNullSafe(F.col("_s"))).drop("_s")
-
-    shift = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(source_col, F.lit("")), F.col(source_col).isNull()), F.lit(SCALE)).cast("decimal(38,0)")
-    rank = (F.col("_offset") + F.col("_n")).cast("decimal(20,0)")
-    rate = F.col("_rate").cast("decimal(15,0)")
-    crossed = lambda r: F.floor((r * rate + shift) / F.lit(SCALE)).cast("bigint")
-    ranked = ranked.withColumn("copies", (crossed(rank) - crossed(rank - 1)).cast("int"))
-    return ranked.drop("_band", "_cell", "_n", "_offset", "_rate")
+    by_source = Window.partitionBy("source").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = held.select("source", "band", F.ceil(F.col("blocks") / CELL_ROWS).cast("int").alias("cells"), F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("start"))
+    same = lambda *names: F.expr(" and ".join(f"l.{c} <=> r.{c}" for c in names))
+    celled = blocks.alias("l").join(F.broadcast(bands).alias("r"), same("source", "band")).select("l.*", "cells", "start")
+    celled = celled.withColumn("cell", F.pmod("tie", "cells").cast("int"))
+    by_band = Window.partitionBy("source", "band").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = celled.groupBy("source", "band", "cell").agg(F.sum("rows").alias("n"))
+    counts = counts.select("source", "band", "cell", F.coalesce(F.sum("n").over(by_band), F.lit(0)).alias("before"))
+
+    in_cell = Window.partitionBy("source", "band", "cell").orderBy("size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = celled.withColumn("within", F.coalesce(F.sum("rows").over(in_cell), F.lit(0)))
+    ranked = ranked.alias("l").join(counts.alias("r"), same("source", "band", "cell")).select("l.*", (F.col("start") + F.col("before") + F.col("within")).alias("rank"))
+    ranked = ranked.alias("l").join(rates_df.alias("r"), same("source")).select("l.*", "source_size", "target", "rate")
+    shift = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull()), F.lit(SCALE)).cast("decimal(38,0)")
+    crossed = lambda n: F.floor((n.cast("decimal(20,0)") * F.col("rate").cast("decimal(15,0)") + shift) / F.lit(SCALE)).cast("bigint")
+    taken = crossed(F.col("rank") + F.col("rows")) - crossed(F.col("rank"))
+    # written first, so that Spark can split a hot block
+    quota = stage(ranked.select("source", "size", "tie", "rows", taken.alias("copies"), "source_size", "target"), "mix-quota")
+
+    out = narrow.alias("l").join(quota.alias("r"), same("source", "size", "tie")).select("l.*", "rows", "copies", "source_size", "target")
+    plain = out.where("rows = 1").withColumn("copies", F.col("copies").cast("int")).drop("rows")
+    # of a block's rows, the first ones take one copy more where they cannot all take as many
+    several = out.where("rows > 1").withColumn("place", F.shiftright("unique", 33))
+    before = several.groupBy("source", "size", "tie", "place").agg(F.count("*").alias("n"))
+    by_place = Window.partitionBy("source", "size", "tie").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("source", "size", "tie", "place", F.coalesce(F.sum("n").over(by_place), F.lit(0)).alias("before"))
+    in_place = Window.partitionBy("source", "size", "tie", "place").orderBy("unique")
+    several = several.withColumn("n", F.row_number().over(in_place))
+    several = several.alias("l").join(before.alias("r"), same("source", "size", "tie", "place")).select("l.*", "before")
+    more = (F.col("before") + F.col("n") <= F.expr("copies % rows")).cast("int")
+    several = several.withColumn("copies", (F.expr("copies div rows") + more).cast("int")).drop("rows", "place", "n", "before")
+    return plain.unionByName(several)
 
 
 def mix_digest(df: DataFrame) -> DataFrame:
     """Per document: its size, its source's size and target, and the words taken."""
-    narrow = stage(
-        df.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(29), F.col("doc_id"), F.xxhash64("text")).alias("_tie")),
-        "mix-documents",
-    )
-    out = _copies(narrow, narrow, "source", 29)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+    out = _copies(_narrow(df, [F.col("doc_id"), F.col("source")], "doc_id", "text", "source", 29), 29)
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")

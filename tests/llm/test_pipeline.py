@@ -44,6 +44,20 @@ def test_one_per_group_edge_rows(spark):
     assert got == Counter({(1, "a b c d e f"): 1, (1, "other text here"): 1, (None, "x y"): 1, (3, None): 2, (4, ""): 1})
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(k, f"some words {k}", "en", "web", 9, f"s{k}", f"p{k}", "z", "q") for k in range(6)], "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, _id string, _hash string")
+    out = df
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, out, SF)
+        assert out.columns == df.columns and set(map(tuple, out.collect())) <= set(map(tuple, df.collect()))
+
+
+def test_of_rows_equal_in_id_and_text_a_fixed_one_stays(spark):
+    rows = [(1, "a b c", k) for k in range(9)] + [(1, "a b c", 3)] * 4
+    kept = {ngramjoin.one_per_group(spark.createDataFrame(rows, "doc_id long, text string, other int").repartition(n)).first()["other"] for n in (1, 5)}
+    assert len(kept) == 1
+
+
 def test_run_and_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 0
     for t in ("documents", "labels", "benchmark"):
