@@ -7,7 +7,6 @@ that its predecessor kept, which is written to the shared folder and read back.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marlstone.llm import decontam, mixing, ngramjoin, sharding, toxicity
 from marlstone.llm.base import stage, table
@@ -15,8 +14,7 @@ from marlstone.llm.base import stage, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier rejects."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
