@@ -41,15 +41,20 @@ def detect_changes(
     return now.select(*names, "previous_rating", F.col(rating).alias("current_rating"), "previous_target_price", F.col(price).alias("current_target_price"), kind.alias("change_type"))
 
 
-def change_order(key: str = "target_key", institution: str = "institution", date: str = "date", order: Sequence[str] = SEQ) -> list[Column]:
+def by_name(column: str) -> Column:
+    """Names as people order them, not by code unit: case and accents count last.  For ordering only."""
+    return F.collate(column, "UNICODE").asc()
+
+
+def change_order(key: str = "target_key", institution: str = "institution", date: str = "date", order: Sequence[str] = SEQ, named=by_name) -> list[Column]:
     """Newest first; within a date by key, institution and place."""
-    return [F.desc(date), F.asc(key), F.asc(institution), *map(F.asc, order)]
+    return [F.desc(date), named(key), named(institution), F.asc(key), F.asc(institution), *map(F.asc, order)]
 
 
 def count_by(rows: DataFrame, name: Column, limit: int | None = None) -> DataFrame:
-    """(name, count) by count, then name; blank names are skipped."""
+    """(name, count) by count, then name as people order names; blank names are skipped."""
     out = rows.select(name.alias("name")).where(F.col("name").isNotNull() & (F.col("name") != "")).groupBy("name").agg(F.count("*").alias("count"))
-    out = out.orderBy(F.desc("count"), "name")
+    out = out.orderBy(F.desc("count"), by_name("name"), "name")
     return out.limit(limit) if limit else out
 
 
@@ -129,5 +134,7 @@ def watch_summary(met: DataFrame, watch: DataFrame, date: str, order: Sequence[s
     return out.select("watch_id", "name", F.coalesce("mention_count", F.lit(0)).cast("bigint").alias("mention_count"), F.col(f"latest.{date}").alias("latest_date"), *[F.col(f"latest.{c}").alias(f"latest_{c}") for c in show])
 
 
-def bar_width(count: Column) -> Column:
-    return F.least(F.lit(100.0), count * 100 / F.max(count).over(Window.partitionBy()))
+def with_bar_width(counts: DataFrame, most: float | None = None) -> DataFrame:
+    """``counts`` with ``width``: percent of the largest count, or of ``most``, 100 at most.  The largest is one scalar, not a window."""
+    largest = F.lit(float(most)) if most else counts.agg(F.max("count")).scalar()
+    return counts.withColumn("width", F.least(F.lit(100.0), F.col("count") * 100 / largest))

@@ -105,6 +105,11 @@ def refresh(spark: SparkSession, root: str, out: str, runner: sync.Runner = sync
     return {"sync": pulled, "index": after, "status": after.status() | {"last_changes": changes.count()}, "changes": changes}
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """A frame that ends in a limit, read once and kept as a local relation."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def profile_summary(mentions: DataFrame) -> DataFrame:
     """First and latest mention, the latest one's rating and price, and the tone of the excerpts, in one row."""
     latest = F.struct("date", *A.SEQ)
@@ -192,7 +197,8 @@ class Index:
     def profile(self, query: str, config: UserConfig | None = None) -> dict[str, DataFrame]:
         names = config.expand(query) if config else [query]
         found = self.mentions.where(search.mention_matches(F.col("norm_fields"), [normalize_literal(n) for n in names]))
-        newest = found.orderBy(F.desc("date"), *[F.desc(c) for c in A.SEQ]).limit(PROFILE_MENTIONS)
+        # every part of the answer is made of these rows, which are few whatever the corpus
+        newest = _held(found.orderBy(F.desc("date"), *[F.desc(c) for c in A.SEQ]).limit(PROFILE_MENTIONS))
         owner = newest.select(F.col("file_path").alias("f"), F.col("line_number").alias("l"), F.col("match_no").alias("m"))
         here = (F.col("file_path") == F.col("f")) & (F.col("mention_line") == F.col("l")) & (F.col("match_no") == F.col("m"))
         signals = self.signals.join(owner, here, "left_semi").orderBy(F.desc("date"), F.desc("file_path"), F.desc("mention_line"), F.desc("match_no"), F.desc("line_number")).limit(PROFILE_SIGNALS)
@@ -219,11 +225,11 @@ class Index:
         """Dates are filtered before changes are looked for; the first cut comes before the split by type."""
         inside = search.in_period(start, end)
         mentions, signals = self.mentions.where(inside), self.signals.where(inside)
-        changes = A.detect_changes(mentions).orderBy(*A.change_order()).limit(RADAR_CHANGES)
+        changes = _held(A.detect_changes(mentions).orderBy(*A.change_order()).limit(RADAR_CHANGES))
         opened = F.contains(F.coalesce("action", F.lit("")), F.lit("首次")) | F.contains("excerpt", F.lit("首次覆盖")) | F.contains("excerpt", F.lit("首予"))
         newest = [F.desc("date"), F.desc("line_number"), F.asc("file_path"), F.asc("match_no")]
         first = mentions.where(opened).orderBy(*newest).limit(min(RADAR_FIRST, limit))
-        told = signals.orderBy(F.desc("date"), F.desc("line_number"), "file_path", "mention_line", "match_no").limit(RADAR_SIGNALS)
+        told = _held(signals.orderBy(F.desc("date"), F.desc("line_number"), "file_path", "mention_line", "match_no").limit(RADAR_SIGNALS))
         kept = lambda df, by: df.orderBy(*by).limit(limit)
         by_line = [F.desc("date"), F.desc("line_number"), F.asc("file_path"), F.asc("mention_line"), F.asc("match_no")]
         return {

@@ -86,13 +86,13 @@ def change_type_counts(spark, sf_dir):
 
 @query(f"WITH {_MENTIONS_SQL}, {_CHANGES_SQL.format(src='m')} SELECT * FROM c ORDER BY day DESC, o_custkey, o_orderpriority, o_orderkey LIMIT 60")
 def radar_changes(spark, sf_dir):
-    return _changes(_mentions(spark, sf_dir)).orderBy(*A.change_order("o_custkey", "o_orderpriority", "day", ORDER)).limit(60)
+    return _changes(_mentions(spark, sf_dir)).orderBy(*A.change_order("o_custkey", "o_orderpriority", "day", ORDER, named=F.col)).limit(60)
 
 
 @query(f"""WITH {_MENTIONS_SQL}, {_CHANGES_SQL.format(src='m')}, t AS (SELECT * FROM c ORDER BY day DESC, o_custkey, o_orderpriority, o_orderkey LIMIT 60)
 SELECT * FROM t WHERE contains(change_type, '目标价') ORDER BY day DESC, o_custkey, o_orderpriority, o_orderkey LIMIT 24""")
 def radar_price_changes(spark, sf_dir):
-    order = A.change_order("o_custkey", "o_orderpriority", "day", ORDER)
+    order = A.change_order("o_custkey", "o_orderpriority", "day", ORDER, named=F.col)
     cut = _changes(_mentions(spark, sf_dir)).orderBy(*order).limit(60)
     return cut.where(F.contains("change_type", F.lit("目标价"))).orderBy(*order).limit(24)
 

@@ -102,7 +102,7 @@ def test_lines_cover_every_line_once(index):
 
 def test_years_and_dates_prune_partitions(index):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    for df in (index.list_reports(year="2025"), index.search("x", start="2025-02", end="2026-01"), index.radar(start="2025-01-01")["risks"]):
+    for df in (index.list_reports(year="2025"), index.search("x", start="2025-02", end="2026-01"), index.radar(start="2025-01-01")["first_coverages"]):
         assert any("part#" in p for p in plan(df).split("PartitionFilters: [")[1:] for p in [p.split("]")[0]])
 
 
@@ -250,6 +250,28 @@ def test_text_traps(spark):
     assert one(lambda c: M.report_link(c, F.lit(3.7), F.array(F.lit("买 入"), F.lit(" "), F.lit("买 入"))), "a b") == "/reports?id=a+b&line=3&highlight=%E4%B9%B0+%E5%85%A5"
 
 
+def test_names_are_ordered_as_people_do(spark):
+    from marlstone.operators import analytics as A
+
+    names = spark.createDataFrame([(n,) for n in ("b", "Zeta", "B", "Ä", "a", "华", "东", "", None)], "n string")
+    assert [r["name"] for r in A.count_by(names, F.col("n"), 5).collect()] == ["a", "Ä", "b", "B", "Zeta"]
+    counts = spark.createDataFrame([("a", 8), ("b", 2)], "name string, count long")
+    assert [r["width"] for r in A.with_bar_width(counts).collect()] == [100.0, 25.0]
+    assert [r["width"] for r in A.with_bar_width(counts, 100 / 6).collect()] == [48.0, 12.0]
+
+
+def test_caps_of_the_answers(spark, tmp_path):
+    notes = [(f"/n/2024/2024-{1 + k % 12:02d}-{1 + k % 28:02d}-{k}.md", f"# 机构{k % 25}\n目标{k} ({1000 + k}.HK)\n首次覆盖，买入评级，目标价 {k + 1} 港元\n催化剂：甲\n风险：乙\n#题{k % 40}\n", None) for k in range(120)]
+    index = I.build(spark, spark.createDataFrame(notes, "file_path string, markdown string, updated_at timestamp"), "/n", str(tmp_path))
+    radar, summary = index.radar(), index.summary()
+    assert {k: v.count() for k, v in radar.items()} == {"first_coverages": 24, "rating_changes": 24, "target_price_changes": 0, "catalysts": 24, "risks": 24, "themes": 24}
+    assert radar["risks"].count() == 24 and index.radar(limit=500)["first_coverages"].count() == 60 and index.radar(limit=500)["rating_changes"].count() == 60
+    assert index.radar(limit=500)["catalysts"].count() + index.radar(limit=500)["risks"].count() == 80 and index.themes().count() == 30
+    assert summary["latest_reports"].count() == 8 and summary["institutions"].count() == 18 and summary["risks"].count() == 6
+    assert index.institutions()["target_coverage"].count() == 30
+    assert I.PROFILE_SIGNALS == 40 and index.profile("hk")["signals"].count() == 40 and index.profile("hk")["mentions"].count() == 120
+
+
 def test_settings_and_sync():
     assert Settings.from_env({"REPORT_DIR": " ", "REPORTS_DIR": "/x", "PORT": "80a"}) == Settings("/x", ".", 80)
     assert Settings.from_env({"PORT": "-1"}).port == 3003
