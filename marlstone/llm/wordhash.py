@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
