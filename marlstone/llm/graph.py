@@ -12,6 +12,14 @@ MAX_ROUNDS = 60
 HUB_EDGES, HUBS = 200_000, 500_000
 
 
+def contracted(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """(v, root) after a few rounds: root is some smaller vertex of v's component, if v has one."""
+    now = _ordered(edges)
+    for k in range(rounds):
+        now = stage(_round(now, edges.count() if k == 0 else now.count()), "stars", instead_of=(now,) if k else ())
+    return now.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("root"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of ``edges`` (a, b) but the roots themselves; root is the smallest.
 

@@ -11,6 +11,8 @@ source are split into cells of a few hundred documents by a hash, the cells'
 counts are summed first, and no window spans more than a cell, however large a
 source is.  Repeated rows are ranked as one block; the block's copies are dealt
 evenly to its rows, which are numbered within the partitions where they lie.
+Only sizes and hashes are written on the way; texts move once, to meet the copies
+that their documents are given.
 All arithmetic on ranks is exact (integers and decimals), and offset and order
 come from hashes, so reruns agree.
 
@@ -61,35 +63,34 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: Fractio
     return out
 
 
-def _narrow(df: DataFrame, kept: list[Column], id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """What is kept of each document as ``row``, beside what decides its copies; written, so the numbers stay."""
-    return stage(df.select(
+def _keyed(df: DataFrame, kept: list[Column], id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """What is kept of each document as ``row``, beside what decides its copies."""
+    return df.select(
         F.struct(*kept).alias("row"),
         F.col(source_col).cast("string").alias("source"),
         n_words(F.col(text_col)).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col)).alias("tie"),
-        F.monotonically_increasing_id().alias("unique"),
-    ), "mix-documents")
+    )
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 29) -> DataFrame:
     """Add ``size``, ``source_size``, ``target`` and ``copies`` to every row."""
     added = ("size", "source_size", "target", "copies")
-    out = _copies(_narrow(df, [F.col(f"`{c}`") for c in df.columns], id_col, text_col, source_col, seed), seed)
+    out = _copies(_keyed(df, [F.col(f"`{c}`") for c in df.columns], id_col, text_col, source_col, seed), seed)
     return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in added], *added)
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 29) -> DataFrame:
     """The mix itself: the rows of ``df`` as often as they are taken, columns unchanged."""
-    out = _copies(_narrow(df, [F.col(f"`{c}`") for c in df.columns], id_col, text_col, source_col, seed), seed).where("copies > 0")
+    out = _copies(_keyed(df, [F.col(f"`{c}`") for c in df.columns], id_col, text_col, source_col, seed), seed).where("copies > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
-def _copies(narrow: DataFrame, seed: int) -> DataFrame:
-    """``narrow`` with source_size, target and copies."""
-    spark = narrow.sparkSession
+def _copies(keyed: DataFrame, seed: int) -> DataFrame:
+    """``keyed`` with source_size, target and copies."""
+    spark = keyed.sparkSession
     band = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
-    blocks = narrow.groupBy("source", "size", "tie").agg(F.count("*").alias("rows")).withColumn("band", band)
+    blocks = keyed.groupBy("source", "size", "tie").agg(F.count("*").alias("rows")).withColumn("band", band)
     blocks = stage(blocks, "mix-blocks")
 
     held = stage(blocks.groupBy("source", "band").agg(F.sum("rows").alias("n"), F.sum(F.col("rows") * F.col("size")).alias("b"), F.count("*").alias("blocks")), "mix-bands")
@@ -123,10 +124,14 @@ def _copies(narrow: DataFrame, seed: int) -> DataFrame:
     # written first, so that Spark can split a hot block
     quota = stage(ranked.select("source", "size", "tie", "rows", taken.alias("copies"), "source_size", "target"), "mix-quota")
 
-    out = narrow.alias("l").join(quota.alias("r"), same("source", "size", "tie")).select("l.*", "rows", "copies", "source_size", "target")
-    plain = out.where("rows = 1").withColumn("copies", F.col("copies").cast("int")).drop("rows")
-    # of a block's rows, the first ones take one copy more where they cannot all take as many
-    several = out.where("rows > 1").withColumn("place", F.shiftright("unique", 33))
+    given = lambda some: keyed.alias("l").join(some.alias("r"), same("source", "size", "tie")).select("l.*", "rows", "copies", "source_size", "target")
+    plain = given(quota.where("rows = 1")).withColumn("copies", F.col("copies").cast("int")).drop("rows")
+    if quota.where("rows > 1").isEmpty():
+        return plain
+    # of a block's rows, the first ones take one copy more where they cannot all take as many;
+    # written, so the numbers stay
+    several = stage(given(quota.where("rows > 1")).withColumn("unique", F.monotonically_increasing_id()), "mix-repeated")
+    several = several.withColumn("place", F.shiftright("unique", 33))
     before = several.groupBy("source", "size", "tie", "place").agg(F.count("*").alias("n"))
     by_place = Window.partitionBy("source", "size", "tie").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("source", "size", "tie", "place", F.coalesce(F.sum("n").over(by_place), F.lit(0)).alias("before"))
@@ -134,11 +139,12 @@ def _copies(narrow: DataFrame, seed: int) -> DataFrame:
     several = several.withColumn("n", F.row_number().over(in_place))
     several = several.alias("l").join(before.alias("r"), same("source", "size", "tie", "place")).select("l.*", "before")
     more = (F.col("before") + F.col("n") <= F.expr("copies % rows")).cast("int")
-    several = several.withColumn("copies", (F.expr("copies div rows") + more).cast("int")).drop("rows", "place", "n", "before")
+    several = several.withColumn("copies", (F.expr("copies div rows") + more).cast("int")).drop("rows", "place", "n", "before", "unique")
     return plain.unionByName(several)
 
 
 def mix_digest(df: DataFrame) -> DataFrame:
     """Per document: its size, its source's size and target, and the words taken."""
-    out = _copies(_narrow(df, [F.col("doc_id"), F.col("source")], "doc_id", "text", "source", 29), 29)
+    # sizes and hashes are taken from the texts once
+    out = _copies(stage(_keyed(df, [F.col("doc_id"), F.col("source")], "doc_id", "text", "source", 29), "mix-documents"), 29)
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")

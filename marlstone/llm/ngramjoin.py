@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .base import stage, unused
-from .graph import components
+from .graph import components, contracted
 
 SHINGLE = 5
 PERCENT = 75
@@ -349,7 +349,7 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # Contract: each set against the centres that it shares most keys with.
     links = _verified(_to_centres(lists), reps, docs, "centre")
-    roots = components(links.select("a", "b"))
+    roots = contracted(links.select("a", "b"))
     labelled = lists.join(roots, F.col("sid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "sid")).drop("v")
     labelled = stage(labelled, "labelled-lists", instead_of=(lists,))
     # Then all pairs still apart.
