@@ -54,4 +54,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_langid": op1_langid, "op2_embeddings": op2_embeddings, "op3_ngram_join": op3_ngram_join, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_decontam": op8_decontam, "op9_pii": op9_pii, "op10_tokens": op10_tokens}
 
-SQL: dict[str, str] = {"op3_ngram_join": ngramjoin.SQL, "op6_chat": chat.SQL}
+SQL: dict[str, str] = {"op2_embeddings": crosspoly.SQL, "op3_ngram_join": ngramjoin.SQL, "op6_chat": chat.SQL}

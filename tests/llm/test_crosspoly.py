@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 
 from marlstone.llm import crosspoly
@@ -92,3 +93,10 @@ def test_near_the_bound_the_order_of_summing_decides_nothing():
     whole = crosspoly.linked(x, x)
     assert (whole == whole.T).all()
     assert all(crosspoly.linked(x[i][None], x[j][None])[0, 0] == whole[i, j] for i in range(40) for j in range(40))
+
+
+def test_sql_agrees_with_plain_search():
+    con = duckdb.connect()
+    con.sql("create view embeddings as select * from '/root/testdata/sf0.01/embeddings.parquet'")
+    rows = con.sql("select vec_id, embedding from embeddings").fetchall()
+    assert sorted(con.sql(crosspoly.SQL).fetchall()) == sorted(brute(rows))
