@@ -124,7 +124,8 @@ def _copies(keyed: DataFrame, seed: int) -> DataFrame:
     # written first, so that Spark can split a hot block
     quota = stage(ranked.select("source", "size", "tie", "rows", taken.alias("copies"), "source_size", "target"), "mix-quota")
 
-    given = lambda some: keyed.alias("l").join(some.alias("r"), same("source", "size", "tie")).select("l.*", "rows", "copies", "source_size", "target")
+    # the quota has no bound, so it is never broadcast: the plan is one at every size
+    given = lambda some: keyed.alias("l").join(some.hint("merge").alias("r"), same("source", "size", "tie")).select("l.*", "rows", "copies", "source_size", "target")
     plain = given(quota.where("rows = 1")).withColumn("copies", F.col("copies").cast("int")).drop("rows")
     if quota.where("rows > 1").isEmpty():
         return plain
