@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, crosspoly, decontam, langid, mixing, ngramjoin, pii, sharding, tokens, toxicity
+from . import alignment, chat, crosspoly, decontam, langid, lexical, mixing, ngramjoin, pii, sharding, tokens, toxicity
 from .base import table
 
 
@@ -52,6 +52,23 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
-QUERIES = {"op1_langid": op1_langid, "op2_embeddings": op2_embeddings, "op3_ngram_join": op3_ngram_join, "op4_toxicity": op4_toxicity, "op5_sharding": op5_sharding, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_decontam": op8_decontam, "op9_pii": op9_pii, "op10_tokens": op10_tokens}
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-SQL: dict[str, str] = {"op2_embeddings": crosspoly.SQL, "op3_ngram_join": ngramjoin.SQL, "op6_chat": chat.SQL}
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_langid, op2_embeddings, op3_ngram_join, op4_toxicity, op5_sharding, op6_chat, op7_mixing, op8_decontam, op9_pii, op10_tokens,
+        op12_lexical, op13_alignment,
+    )
+}
+
+SQL: dict[str, str] = {"op2_embeddings": crosspoly.SQL, "op3_ngram_join": ngramjoin.SQL, "op6_chat": chat.SQL, "op12_lexical": lexical.SQL}
