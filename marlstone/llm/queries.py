@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, chat, crosspoly, decontam, langid, lexical, mixing, ngramjoin, pii, sharding, tokens, toxicity
+from . import alignment, chat, crosspoly, decontam, langid, lexical, mixing, ngramjoin, pii, sharding, suffixes, tokens, toxicity
 from .base import table
 
 
@@ -52,6 +52,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,7 +71,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_langid, op2_embeddings, op3_ngram_join, op4_toxicity, op5_sharding, op6_chat, op7_mixing, op8_decontam, op9_pii, op10_tokens,
-        op12_lexical, op13_alignment,
+        op11_repeats, op12_lexical, op13_alignment,
     )
 }
 
