@@ -10,7 +10,7 @@ start and end ``WARM`` bytes early and late, so a segment's positions see their
 surroundings, and all segments run in lock step.  Only bytes within a text are
 labelled.
 
-Training takes at most ``MAX_ROWS`` rows per language, ``MAX_TOTAL_ROWS`` in all
+Training takes the ``MAX_LANGS`` most frequent languages, at most ``MAX_ROWS`` rows of each, ``MAX_TOTAL_ROWS`` in all
 (but one of each language at least), chosen by hash among rows with text and
 language outside the held-out fold; of a text of more than ``MAX_TRAIN_CHARS``
 characters a window of that length, placed by hash, teaches.  These are the only
@@ -37,6 +37,8 @@ SPAN, WARM = 240, 12
 GROUP = 1024
 MAX_ROWS = 400
 MAX_TOTAL_ROWS = 20_000
+#: Languages that are learned, the most frequent ones.
+MAX_LANGS = 256
 MAX_TRAIN_CHARS = 30_000
 STEPS, BATCH, TRAIN_SPAN = 350, 96, 40
 FOLDS, HELD = 4, 2
@@ -228,12 +230,13 @@ def train(docs: DataFrame) -> Network:
         F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"), FOLDS, HELD)
     ).select("lang", order.alias("o"), "text", F.pmod(order, spare + 1).cast("int").alias("at"))
     # repeated rows count once
-    counts = teaches.groupBy("lang").agg(F.approx_count_distinct("o").alias("n")).collect()
+    counts = teaches.groupBy("lang").agg(F.approx_count_distinct("o").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     if not counts:
         return fit([], [])
     rows = max(1, min(MAX_ROWS, MAX_TOTAL_ROWS // len(counts)))
     # by hash twice as many as wanted are expected, five at least; then the bound by row
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2.0 * rows + 5) / max(1, r["n"])))])
+    # of other languages there is no share, so none is drawn
     drawn = teaches.where(F.col("o") < share[F.col("lang")] * F.lit(float(2**62)))
     drawn = drawn.select("lang", "o", F.substring("text", F.col("at") + 1, F.lit(MAX_TRAIN_CHARS)).alias("text")).dropDuplicates(["lang", "o"])
     taken: dict[str, list[tuple[int, str]]] = {}

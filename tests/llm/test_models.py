@@ -166,3 +166,20 @@ def test_toxicity_repeated_and_clashing(spark, docs):
     out = toxicity.score_toxicity(df, labels)
     assert sorted(out.columns) == sorted(df.columns) and out.count() == 400
     assert len({r["score"] for r in out.where("text = 'bad words 1'").collect()}) == 1
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    monkeypatch.setattr(langid, "STEPS", 2)
+    rows = [(i, f"some text of {i}", f"l{i % 40 if i % 2 else i % 3:02d}") for i in range(400)]
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.langs == ["l00", "l01", "l02"]
+
+
+def test_long_texts_teach_toxicity(spark):
+    rows = [(i, ("calm clear words " if i % 2 else "vile awful slur ") * 2600) for i in range(80)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    assert min(len(t) for _, t in rows) > toxicity.MAX_TRAIN_CHARS
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_digest(docs, labels).collect()}
+    assert got == {i: 1 - i % 2 for i in range(80)}
