@@ -104,11 +104,12 @@ def _copies(keyed: DataFrame, seed: int) -> DataFrame:
         rates.append((r["source"], r["b"], float(want[r["source"]]), int(rate * SCALE)))
     rates_df = F.broadcast(spark.createDataFrame(rates, "source string, source_size bigint, target double, rate bigint"))
 
-    # (source, band) pairs: bounded by the sources and the bits of a size
+    # written first: Spark sees its size and broadcasts it only if that is small, else it can split a hot band
     by_source = Window.partitionBy("source").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     bands = held.select("source", "band", F.ceil(F.col("blocks") / CELL_ROWS).cast("int").alias("cells"), F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("start"))
+    bands = stage(bands, "mix-starts", instead_of=(held,))
     same = lambda *names: F.expr(" and ".join(f"l.{c} <=> r.{c}" for c in names))
-    celled = blocks.alias("l").join(F.broadcast(bands).alias("r"), same("source", "band")).select("l.*", "cells", "start")
+    celled = blocks.alias("l").join(bands.alias("r"), same("source", "band")).select("l.*", "cells", "start")
     celled = celled.withColumn("cell", F.pmod("tie", "cells").cast("int"))
     by_band = Window.partitionBy("source", "band").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = celled.groupBy("source", "band", "cell").agg(F.sum("rows").alias("n"))
