@@ -174,10 +174,10 @@ def _tile(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"vid": vid, "links": links})
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, label: str) -> DataFrame:
+def _verified(pairs: DataFrame, distinct: DataFrame, label: str, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
     x = distinct.select(F.col("vid").alias("a"), F.col("embedding").alias("x"))
     y = distinct.select(F.col("vid").alias("b"), F.col("embedding").alias("y"))
-    return stage(pairs.join(x, "a").join(y, "b").mapInPandas(_close, "a long, b long"), label)
+    return stage(pairs.join(x, "a").join(y, "b").mapInPandas(_close, "a long, b long"), label, instead_of)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -194,25 +194,28 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     sizes = {r["d"]: r["count"] for r in distinct.groupBy(F.size("embedding").alias("d")).count().collect()}
     entries = distinct.select("vid", "embedding").mapInPandas(_entries({d: hashes_for(n, d) for d, n in sizes.items()}), "bucket long, vid long")
     entries = stage(entries.distinct(), "bucket-entries")
-    full = entries.groupBy("bucket").agg(F.min("vid").alias("lo"), F.max("vid").alias("hi")).where("lo < hi").select("bucket")
-    entries = stage(entries.join(full, "bucket", "left_semi"), "full-buckets")
+    # what is one row a bucket is written before it is joined, so that Spark can split a hot bucket
+    full = stage(entries.groupBy("bucket").agg(F.min("vid").alias("lo"), F.max("vid").alias("hi")).where("lo < hi").select("bucket"), "full-buckets")
+    entries = stage(entries.join(full, "bucket", "left_semi"), "shared-buckets", instead_of=(entries, full))
 
+    drawn = [F.min(F.struct(F.xxhash64("vid", F.lit(seed)).alias("h"), "vid"))["vid"].alias(f"c{seed}") for seed in range(CENTRES)]
+    centres = stage(entries.groupBy("bucket").agg(*drawn), "bucket-centres")
     near = None
     for seed in range(CENTRES):
-        centre = entries.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("vid", F.lit(seed)).alias("h"), "vid")).alias("c"))
-        best = entries.join(centre, "bucket").where("vid <> c.vid").groupBy("vid", F.col("c.vid").alias("c")).count()
+        centre = centres.select("bucket", F.col(f"c{seed}").alias("c"))
+        best = entries.join(centre, "bucket").where("vid <> c").groupBy("vid", "c").count()
         best = best.groupBy("vid").agg(F.max(F.struct("count", "c")).alias("m")).select(F.greatest("vid", "m.c").alias("a"), F.least("vid", "m.c").alias("b"))
         near = best if near is None else near.union(best)
-    first = _verified(near.distinct(), distinct, "centre-links")
+    first = _verified(near.distinct(), distinct, "centre-links", (centres,))
     roots = components(first)
-    labelled = stage(entries.join(roots, F.col("vid") == F.col("v"), "left").select("bucket", "vid", F.coalesce("root", "vid").alias("root")), "labelled-buckets")
-    apart = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    labelled = stage(entries.join(roots, F.col("vid") == F.col("v"), "left").select("bucket", "vid", F.coalesce("root", "vid").alias("root")), "labelled-buckets", instead_of=(entries, roots))
+    apart = stage(labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"), "open-buckets")
     open_ = labelled.join(apart, "bucket", "left_semi")
     a = open_.select("bucket", F.col("vid").alias("a"), F.col("root").alias("ra"))
     b = open_.select("bucket", F.col("vid").alias("b"), F.col("root").alias("rb"))
     pairs = a.join(b, "bucket").where("a > b and ra <> rb").select("a", "b").distinct()
-    second = _verified(pairs, distinct, "open-links")
-    roots = stage(components(first.union(second)), "vector-roots")
+    second = _verified(pairs, distinct, "open-links", (labelled, apart))
+    roots = components(first.union(second))
 
     placed = distinct.join(roots, F.col("vid") == F.col("v"), "left").select("vid", "h1", "h2", "embedding", "m", "least", F.coalesce("root", "vid").alias("root"))
     groups = placed.groupBy("root").agg(F.count("*").alias("members"), F.min("least").alias("component_id"))
