@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable
 
@@ -38,7 +39,9 @@ def stage(df: DataFrame, label: str, instead_of: Iterable[DataFrame] = ()) -> Da
 
     Cuts the lineage: what reads the result survives the loss of any executor
     and never recomputes ``df``.  Staged frames that nothing will read again,
-    ``instead_of``, are deleted once it is written.
+    ``instead_of``, are deleted once it is written.  Spark drops the shuffle files
+    of frames that nobody holds when the driver's heap is collected, so on a
+    cluster that is asked for here: what made ``df`` leaves the executors' disks.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
@@ -48,9 +51,18 @@ def stage(df: DataFrame, label: str, instead_of: Iterable[DataFrame] = ()) -> Da
     for old in instead_of:
         folder = spark._jvm.org.apache.hadoop.fs.Path(old.staged_at)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if not spark.sparkContext._jsc.sc().isLocal():
+        gc.collect()
+        spark._jvm.System.gc()
     return out
 
 
+def derived(df: DataFrame, staged: DataFrame) -> DataFrame:
+    """``df``, a plain view of a staged frame, deleted like it."""
+    df.staged_at = staged.staged_at
+    return df
+
+
 def unused(names: Iterable[str], *stems: str) -> list[str]:
     """A column name for each stem that none of ``names`` equals, whatever the case."""
     held, out = {x.lower() for x in names}, []

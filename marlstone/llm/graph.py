@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stage
+from .base import derived, stage
 
 MAX_ROUNDS = 60
 #: Edges of a vertex from which on it is a hub, and hubs that may be broadcast.
@@ -17,7 +17,7 @@ def contracted(edges: DataFrame, rounds: int = 2) -> DataFrame:
     now = _ordered(edges)
     for k in range(rounds):
         now = stage(_round(now, edges.count() if k == 0 else now.count()), "stars", instead_of=(now,) if k else ())
-    return now.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("root"))
+    return derived(now.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("root")), now)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    return derived(now.select(F.col("a").alias("v"), F.col("b").alias("root")), now)
 
 
 def _ordered(edges: DataFrame) -> DataFrame:

@@ -252,8 +252,8 @@ def _may_link(a: str, b: str) -> str:
     return f"({a}kind = {HEAVY} or {b}kind = {HEAVY} or {a}kind = {SUBSET}) and 4 * least({a}n, {b}n) >= 3 * greatest({a}n, {b}n)"
 
 
-def _to_centres(lists: DataFrame) -> DataFrame:
-    """(a, b): each set with up to two of the centres of its lists, those with which it shares most keys."""
+def _to_centres(lists: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(a, b), and the staged frames it is made of: each set with up to two of the centres of its lists, those with which it shares most keys."""
     half = lambda x: F.pmod(F.xxhash64(x), F.lit(2))
     it = ["n", "rest", "kind", "sid"]
     best = F.struct((F.col("rest") / F.col("n")).cast("float").alias("share"), *it)
@@ -270,23 +270,23 @@ def _to_centres(lists: DataFrame) -> DataFrame:
     best = F.struct((F.col("keys") / F.col("c_n")).cast("float").alias("share"), "c")
     met = met.where("2 * keys >= wanted").groupBy("sid").agg(*[F.max(F.when(half("c") == k, best)).alias(f"m{k}") for k in (0, 1)])
     met = met.select("sid", F.explode(F.array("m0", "m1")).alias("m")).where("m is not null")
-    return met.select(F.greatest("sid", "m.c").alias("a"), F.least("sid", "m.c").alias("b")).distinct()
+    return met.select(F.greatest("sid", "m.c").alias("a"), F.least("sid", "m.c").alias("b")).distinct(), (centres,)
 
 
-def _apart(lists: DataFrame) -> DataFrame:
-    """(a, b): all pairs of sets of different components that may be linked."""
-    open_ = lists.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = stage(lists.join(stage(open_, "open-keys"), "key", "left_semi"), "open-lists")
+def _apart(lists: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(a, b), and the staged frames it is made of: all pairs of sets of different components that may be linked."""
+    open_ = stage(lists.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "open-keys")
+    left = stage(lists.join(open_, "key", "left_semi"), "open-lists", instead_of=(open_,))
     side = lambda x: left.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "rest", "kind", "root")])
     pairs = side("a").join(side("b"), "key").where(f"a_sid > b_sid and a_root <> b_root and {_may_link('a_', 'b_')} and least(a_rest, b_rest) >= {_shared('a_', 'b_')}")
     pairs = pairs.groupBy(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).agg(F.expr(f"min({_wanted('a_', 'b_')})").alias("wanted"))
-    pairs = stage(pairs, "meeting-pairs")
+    pairs = stage(pairs, "meeting-pairs", instead_of=(left,))
     ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     # at most a set's own keys
     keys = stage(lists.join(ends, "sid", "left_semi").groupBy("sid").agg(F.collect_list("key").alias("keys")), "posted-keys")
     side = lambda x: keys.select(F.col("sid").alias(x), F.col("keys").alias(f"{x}_keys"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return met.where(F.size(F.array_intersect("a_keys", "b_keys")) >= F.col("wanted")).select("a", "b")
+    return met.where(F.size(F.array_intersect("a_keys", "b_keys")) >= F.col("wanted")).select("a", "b"), (pairs, keys, lists)
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,9 +304,9 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"s": pd.Series([a for a, _ in ids], dtype="int64"), "s2": pd.Series([b for _, b in ids], dtype="int64"), "elements": pd.Series(sets, dtype=object)})
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+def _verified(made: tuple[DataFrame, tuple[DataFrame, ...]], reps: DataFrame, docs: DataFrame, label: str) -> DataFrame:
     """The pairs of set ids that are linked, by their whole sets: (a, a2, b, b2).  ``reps`` names a text of each set."""
-    pairs = stage(pairs, f"{label}-pairs")
+    pairs = stage(made[0], f"{label}-pairs", instead_of=made[1])
     ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     needed = stage(reps.join(ends, "sid", "left_semi").select("text_hash").distinct(), f"{label}-texts")
     sent = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
@@ -320,8 +320,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, label: str) ->
     return stage(links, f"{label}-links", instead_of=(pairs, needed, sets))
 
 
-def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, text_hash, sid, sid2, n; links: a, a2, b, b2), staged.  ``docs`` needs doc_id and text.
+def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """(members: doc_id, text_hash, sid, sid2, n; links: a, a2, b, b2; the staged frames behind them).  ``docs`` needs doc_id and text.
 
     The links are as many as make the components, not all there are.
     """
@@ -351,19 +351,20 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = _verified(_to_centres(lists), reps, docs, "centre")
     roots = contracted(links.select("a", "b"))
     labelled = lists.join(roots, F.col("sid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "sid")).drop("v")
-    labelled = stage(labelled, "labelled-lists", instead_of=(lists,))
+    labelled = stage(labelled, "labelled-lists", instead_of=(lists, roots))
     # Then all pairs still apart.
-    return members, links.union(_verified(_apart(labelled), reps, docs, "open"))
+    late = _verified(_apart(labelled), reps, docs, "open")
+    return members, links.union(late), (described, reps, links, late)
 
 
 def _placed(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, n and the root of its set's component, which is a name of a set."""
-    members, links = link_sets(docs)
+    members, links, made = link_sets(docs)
     name = lambda x: F.concat(F.hex(x), F.lit("."), F.hex(f"{x}2"))
-    roots = stage(components(links.select(name("a").alias("a"), name("b").alias("b"))), "set-roots")
+    roots = components(links.select(name("a").alias("a"), name("b").alias("b")))
     placed = members.select("doc_id", "text_hash", "n", name("sid").alias("set"))
     placed = placed.join(roots, F.col("set") == F.col("v"), "left")
-    return stage(placed.select("doc_id", "text_hash", "n", F.coalesce("root", "set").alias("root")), "placed-sets")
+    return stage(placed.select("doc_id", "text_hash", "n", F.coalesce("root", "set").alias("root")), "placed-sets", instead_of=(roots, *made))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -381,15 +382,16 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     Rows without words are in no group and all stay.
     """
     id_, hash_, row_ = unused(docs.columns, "id", "hash", "row")
-    placed = _placed(docs).where("n > 0")
+    everything = _placed(docs)
+    placed = everything.where("n > 0")
     kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("k"), F.count("*").alias("rows"))
     kept = stage(kept.where("rows > 1").drop("rows"), "kept-rows")
     grouped = placed.join(kept, "root").select(
         F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.expr("doc_id <=> k.doc_id and text_hash = k.text_hash").alias("stays")
     )
-    grouped = stage(grouped, "group-rows", instead_of=(kept,))
+    grouped = stage(grouped, "group-rows", instead_of=(kept, everything))
     gone = stage(grouped.where("not stays").select(id_, hash_).distinct(), "removed-rows")
-    twice = stage(grouped.where("stays").groupBy(id_, hash_).count().where("count > 1").select(id_, hash_), "repeated-rows")
+    twice = stage(grouped.where("stays").groupBy(id_, hash_).count().where("count > 1").select(id_, hash_), "repeated-rows", instead_of=(grouped,))
     sent = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
     out = docs.join(sent(gone), same, "left_anti")
