@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 SEQ = ("file_path", "line_number", "match_no")
 
@@ -105,17 +107,25 @@ def diff_snapshots(before: DataFrame, after: DataFrame, key: str, payload: str,
     return changed.unionByName(gone.select(key, F.lit("removed").alias("change_type"), F.col(payload).alias("previous"), F.lit(None).cast(before.schema[payload].dataType).alias("next")))
 
 
-def match_watchlist(rows: DataFrame, fields: Column, watch: DataFrame, key: Sequence[str], max_broadcast: int = 10_000) -> DataFrame:
+def match_watchlist(rows: DataFrame, fields: Column, watch: DataFrame, key: Sequence[str], few: int = 16, most_chars: int = 20_000_000) -> DataFrame:
     """Rows met with every watch item one of whose ``norm_aliases`` is part of a field.
 
-    The list is broadcast while it is short.  Beyond, aliases and fields meet on
-    the alias's whole text: a field offers each of its substrings of a length that
-    some alias has.  An empty alias matches every row.  ``key`` identifies rows.
+    A few items are tested one by one.  Longer lists are compiled into one
+    automaton that reads each field once, whatever the number of aliases; it is
+    sent to the executors, so the aliases' characters are counted first.  Beyond,
+    aliases and fields meet on the alias's whole text: a field offers each of its
+    substrings of a length that some alias has.  An empty alias matches every row
+    with a field.  ``key`` identifies rows.
     """
-    if watch.limit(max_broadcast + 1).count() <= max_broadcast:
+    said = F.transform("norm_aliases", lambda a: F.length(a).cast("bigint"))
+    items, chars = watch.agg(F.count("*"), F.coalesce(F.sum(F.aggregate(said, F.lit(0).cast("bigint"), lambda n, x: n + x)), F.lit(0))).first()
+    if items <= few:
         met = F.exists("norm_aliases", lambda a: F.exists(fields, lambda f: F.contains(f, a)))
         return rows.join(F.broadcast(watch), met)
     asked = watch.select("watch_id", F.explode("norm_aliases").alias("_a"))
+    if chars <= most_chars:
+        found = many_patterns(rows.sparkSession, [(r["watch_id"], r["_a"]) for r in asked.where("_a is not null").toLocalIterator()])
+        return rows.withColumn("watch_id", F.explode(found(fields))).join(watch, "watch_id")
     lengths = [r[0] for r in asked.select(F.length("_a")).distinct().collect()]
     sub = lambda f: F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.when(
         n <= F.length(f), F.transform(F.sequence(F.lit(1), F.length(f) - n + 1), lambda i: F.substring(f, i, n))).otherwise(F.array().cast("array<string>"))))
@@ -124,6 +134,37 @@ def match_watchlist(rows: DataFrame, fields: Column, watch: DataFrame, key: Sequ
     return rows.join(met, list(key)).join(watch, "watch_id")
 
 
+def many_patterns(spark: SparkSession, patterns: list[tuple[str, str]]):
+    """A function of an array of texts: the owners, each once and in order, of the patterns (owner, pattern) that some text holds."""
+    import ahocorasick
+
+    owners: dict[str, set[str]] = {}
+    for owner, pattern in patterns:
+        owners.setdefault(pattern, set()).add(owner)
+    everyone = owners.pop("", set())
+    automaton = ahocorasick.Automaton()
+    for pattern, own in owners.items():
+        automaton.add_word(pattern, tuple(own))
+    automaton.make_automaton()
+    shared = spark.sparkContext.broadcast((automaton if owners else None, everyone))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def found(lists: pd.Series) -> pd.Series:
+        machine, always = shared.value
+
+        def of(texts) -> list[str]:
+            met = set(always) if texts is not None and any(t is not None for t in texts) else set()
+            for text in texts if texts is not None and machine else ():
+                if text:
+                    for _, own in machine.iter(text):
+                        met.update(own)
+            return sorted(met)
+
+        return lists.map(of)
+
+    return found
+
+
 def watch_summary(met: DataFrame, watch: DataFrame, date: str, order: Sequence[str], show: Sequence[str]) -> DataFrame:
     """Per watch item, also unmatched ones: mention count and the latest mention, ties to the earliest place."""
     latest = met.groupBy("watch_id").agg(

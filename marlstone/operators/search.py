@@ -6,10 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import report as R
-from ..functions.text import normalize_literal
-from .reports import with_nearby
+from ..functions.text import compact, normalize_all, normalize_literal
+from .reports import heading, with_nearby
 
 LIMIT = 500
+#: The part of notes without a date in path or name.
+UNDATED = "undated"
+
+
+def part_of(date: Column) -> Column:
+    """The partition of a note in a stored table: its year, or one part for all notes without a date."""
+    return F.when(date.rlike("^20[0-9]{2}-"), F.left(date, F.lit(4))).otherwise(F.lit(UNDATED))
 
 
 def between_dates(date: Column, start: str | None, end: str | None) -> Column:
@@ -23,8 +30,9 @@ def between_dates(date: Column, start: str | None, end: str | None) -> Column:
 
 
 def in_period(start: str | None, end: str | None) -> Column:
-    """``between_dates`` for a stored table: the partition column ``part``, the date's first four characters, is bounded too."""
-    return between_dates(F.col("part"), start and start[:4], end and end[:4]) & between_dates(F.col("date"), start, end)
+    """``between_dates`` for a stored table: the partition column ``part`` is bounded too, and undated notes are looked at."""
+    parts = between_dates(F.col("part"), start and start[:4], end and end[:4])
+    return (parts | (F.col("part") == UNDATED)) & between_dates(F.col("date"), start, end)
 
 
 def search_lines(lines: DataFrame, query: str | None, mode: str | None = None, limit: int = LIMIT, among: DataFrame | None = None) -> DataFrame:
@@ -47,6 +55,27 @@ def search_lines(lines: DataFrame, query: str | None, mode: str | None = None, l
     return hits.select("report_id", "date", "institution", F.col("line_no").alias("line_number"), "snippet", F.lit(query or "").alias("matched_text"))
 
 
+def search_notes(notes: DataFrame, query: str | None, limit: int = LIMIT, institution: Column | None = None) -> DataFrame:
+    """``search_lines`` over notes (report_id, date, file_path, markdown) that are not stored as lines.
+
+    A hit takes its neighbours and its institution from the array of its note's
+    lines, so nothing is joined and each note is cut and brought to normal form
+    once.  ``institution`` overrides what headings say.
+    """
+    text = normalize_literal(query or "")
+    held = notes.where(F.lit(bool(text))).select("report_id", "date", "file_path", *([institution.alias("said")] if institution is not None else []), F.split("markdown", r"\r?\n", -1).alias("ls"))
+    at = F.filter(F.transform(normalize_all(F.col("ls")), lambda x, i: F.when(F.contains(x, F.lit(text)), i + 1)), lambda i: i.isNotNull())
+    held = held.withColumn("at", at).where(F.size("at") > 0)
+    hits = held.select("*", F.explode("at").alias("line_no")).drop("at")
+    if institution is None:
+        above = F.filter(F.transform(F.slice("ls", F.lit(1), F.col("line_no")), heading), lambda h: h.isNotNull())
+        hits = hits.withColumn("said", F.try_element_at(above, F.lit(-1)))
+    near = F.slice("ls", F.greatest(F.col("line_no") - 1, F.lit(1)), F.when(F.col("line_no") > 1, 3).otherwise(2))
+    hits = hits.select("report_id", "date", "file_path", "line_no", F.coalesce("said", F.lit(R.UNKNOWN_INSTITUTION)).alias("institution"), near.alias("near"))
+    hits = hits.orderBy(F.desc("date"), F.asc("file_path"), F.asc("line_no")).limit(limit)
+    return hits.select("report_id", "date", "institution", F.col("line_no").alias("line_number"), compact(F.array_join("near", "\n")).alias("snippet"), F.lit(query or "").alias("matched_text"))
+
+
 def search_ratings(mentions: DataFrame, wanted: str, limit: int = LIMIT) -> DataFrame:
     """Mentions with the wanted rating (``*`` for any), newest first, then lower lines first."""
     price = F.when(F.col("target_price").isNotNull() & (F.col("target_price") != ""), F.concat(F.lit("｜目标价 "), "target_price")).otherwise("")

@@ -4,12 +4,14 @@
 and errors as Parquet into a new version folder, each table from the stored one
 before it and partitioned by ``part``, the year; a pointer row is appended last,
 so readers see whole versions only.  Questions with a year or with date bounds
-read only their years.  Every question returns DataFrames (or a dict of them)
+read only their years and the undated notes.  A version holds the schema of each
+table, so tables without rows read as such.  Every question returns DataFrames (or a dict of them)
 over those tables.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -17,8 +19,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
+from . import textindex
 from ..functions import report as R
 from ..functions.text import normalize, normalize_literal
 from ..operators import analytics as A
@@ -29,7 +32,7 @@ from ..sources import sync
 from ..sources.markdown import read_errors, read_markdown
 
 TABLES = ("reports", "lines", "blocks", "mentions", "signals")
-POINTER = "version string, indexed_at timestamp"
+POINTER = "version string, indexed_at timestamp, source_dir string"
 # How many rows the answers hold.
 PROFILE_MENTIONS, PROFILE_SIGNALS = 1000, 40
 RADAR_CHANGES, RADAR_FIRST, RADAR_SIGNALS, RADAR_LIMIT = 60, 60, 80, 24
@@ -49,9 +52,11 @@ def store(files: DataFrame, root: str, version: str, batch: str = "") -> None:
     A ``batch`` has its own folder in each table and replaces an earlier one of the name.
     """
     spark, mode = files.sparkSession, "overwrite" if batch else "errorifexists"
+    schemas: list[tuple[str, str]] = []
 
     def saved(name: str, df: DataFrame) -> DataFrame:
-        df = df.withColumn("part", F.left("date", F.lit(4)))
+        df = df.withColumn("part", search.part_of(F.col("date")))
+        schemas.append((name, df.schema.json()))
         df.write.partitionBy("part").mode(mode).parquet(f"{version}/{name}{batch}")
         return spark.read.schema(df.schema).parquet(f"{version}/{name}{batch}").drop("part")
 
@@ -60,11 +65,14 @@ def store(files: DataFrame, root: str, version: str, batch: str = "") -> None:
     saved("blocks", reports.build_blocks(lines))
     mentions = saved("mentions", reports.extract_mentions(lines))
     saved("signals", reports.extract_signals(mentions, lines))
-    read_errors(files).write.mode(mode).parquet(f"{version}/errors{batch}")
+    errors = read_errors(files)
+    errors.write.mode(mode).parquet(f"{version}/errors{batch}")
+    schemas.append(("errors", errors.schema.json()))
+    spark.createDataFrame(schemas, "name string, schema string").coalesce(1).write.mode("overwrite").json(f"{version}/schemas")
 
 
-def publish(spark: SparkSession, version: str, out: str) -> Index:
-    spark.createDataFrame([(version, datetime.now(UTC))], POINTER).coalesce(1).write.mode("append").json(f"{out.rstrip('/')}/current")
+def publish(spark: SparkSession, version: str, out: str, root: str) -> Index:
+    spark.createDataFrame([(version, datetime.now(UTC), root)], POINTER).coalesce(1).write.mode("append").json(f"{out.rstrip('/')}/current")
     return Index(spark, version)
 
 
@@ -72,7 +80,7 @@ def build(spark: SparkSession, files: DataFrame, root: str, out: str) -> Index:
     """Ingest ``files`` (file_path, markdown, updated_at) into ``out``; those without content become errors and the rest goes on."""
     version = f"{out.rstrip('/')}/v-{datetime.now(UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
     store(files, root, version)
-    return publish(spark, version, out)
+    return publish(spark, version, out, root)
 
 
 def build_from_tree(spark: SparkSession, root: str, out: str) -> Index:
@@ -125,11 +133,14 @@ class Index:
     spark: SparkSession
     path: str
 
+    @cached_property
+    def _schemas(self) -> dict[str, StructType]:
+        rows = self.spark.read.schema("name string, schema string").json(f"{self.path}/schemas").collect()
+        return {r["name"]: StructType.fromJson(json.loads(r["schema"])) for r in rows}
+
     def _table(self, name: str) -> DataFrame:
-        """A stored table; ``part`` stays text, whatever its values look like."""
-        folder = f"{self.path}/{name}"
-        schema = StructType([StructField("part", StringType()) if f.name == "part" else f for f in self.spark.read.parquet(folder).schema])
-        return self.spark.read.schema(schema).parquet(folder).drop("batch")
+        """A stored table, by its own schema: it may have no rows."""
+        return self.spark.read.schema(self._schemas[name]).parquet(f"{self.path}/{name}").drop("batch")
 
     reports = cached_property(lambda self: self._table("reports"))
     lines = cached_property(lambda self: self._table("lines"))
@@ -150,7 +161,7 @@ class Index:
         return out.select("report_id", "date", "year", "file_path", "title", names.alias("institutions"), F.coalesce("target_count", F.lit(0)).cast("bigint").alias("target_count"), "line_count", "updated_at")
 
     def list_reports(self, year: str | None = None, institution: str | None = None) -> DataFrame:
-        notes = self.reports if not year else self.reports.where(F.col("part") == year[:4]).where(F.col("year") == year)
+        notes = self.reports if not year else self.reports.where(F.col("part").isin(year[:4], search.UNDATED)).where(F.col("year") == year)
         return self.summaries(self._with_institution(notes, institution)).orderBy(F.desc("date"), F.desc("file_path"))
 
     def _with_institution(self, notes: DataFrame, institution: str | None) -> DataFrame:
@@ -190,7 +201,25 @@ class Index:
                 mentions = mentions.join(self._with_institution(self.reports.where(inside), institution).select("report_id"), "report_id", "left_semi")
             return search.search_ratings(mentions, wanted)
         lines = self.lines.where(inside)
-        return search.search_lines(self._with_institution(lines, institution), q, mode, among=lines)
+        text, some = normalize_literal(q or ""), lines
+        if len(text) >= textindex.GRAM and self._has_text_index:
+            some = lines.join(textindex.candidates(self.spark, self._text_index, text), ["part", "file_path", "line_no"], "left_semi")
+        return search.search_lines(self._with_institution(some, institution), q, mode, among=lines)
+
+    @property
+    def _text_index(self) -> str:
+        return f"{self.path}/text-index"
+
+    @cached_property
+    def _has_text_index(self) -> bool:
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._text_index}/counts/_SUCCESS")
+        return done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done)
+
+    def with_text_index(self) -> Index:
+        """The same version with an index of its lines for exact searches, made if there is none."""
+        if not self._has_text_index:
+            textindex.write(self.lines, self._text_index)
+        return Index(self.spark, self.path)
 
     # targets
 
@@ -206,13 +235,15 @@ class Index:
         called = newest.groupBy("target_name").agg(F.min(F.struct("date", *A.SEQ)).alias("first")).withColumn("norm_name", normalize("target_name"))
         fits = F.contains("norm_name", asked) | F.contains(asked, F.col("norm_name"))
         called = called.orderBy(F.desc(fits), F.when(fits, F.length("target_name")).otherwise(0), "first").limit(1).select(F.col("target_name").alias("canonical_name"))
+        if newest.isEmpty():  # an unknown target is called what was asked for
+            called = self.spark.createDataFrame([(query,)], "canonical_name string")
         aliases = newest.select("date", *A.SEQ, F.posexplode("aliases").alias("i", "alias")).groupBy("alias").agg(F.min(F.struct("date", *A.SEQ, "i")).alias("first"))
         order = ("date", *A.SEQ)
         return {
             "mentions": newest,
             "canonical_name": called,
             "summary": profile_summary(newest),
-            "aliases": aliases.orderBy("first").select("alias"),
+            "aliases": self.spark.createDataFrame([(n,) for n in names], "alias string") if newest.isEmpty() else aliases.orderBy("first").select("alias"),
             "institutions": newest.select("institution").distinct().orderBy("institution"),
             "rating_changes": A.detect_changes(newest).orderBy(*A.change_order()),
             "matrix": A.institution_matrix(newest, order=order).orderBy(*A.matrix_order()),
@@ -273,10 +304,11 @@ class Index:
     def status(self) -> dict:
         """Where and when the index was made, how much it holds, and the files that could not be read."""
         out, version = self.path.rsplit("/", 1)
+        held = self.reports.agg(F.count("*"), F.max(F.when(F.col("part") != search.UNDATED, F.col("date")))).first()
         indexed = _pointer(self.spark, out).where(F.endswith("version", F.lit(f"/{version}"))).first()
         return {
             "path": self.path, "indexed_at": indexed["indexed_at"] if indexed else None,
-            "report_count": self.reports.count(), "mention_count": self.mentions.count(),
+            "source_dir": indexed["source_dir"] if indexed else None, "report_count": held[0], "latest_date": held[1], "mention_count": self.mentions.count(),
             "error_count": self.errors.count(), "errors": self.errors.orderBy("file_path").limit(STATUS_ERRORS),
         }
 
@@ -287,7 +319,7 @@ class Index:
             "years": A.count_by(self.reports, F.col("year")),
             "institutions": A.count_by(self.blocks, F.col("institution"), SUMMARY_INSTITUTIONS),
             "latest_reports": self.list_reports().limit(SUMMARY_REPORTS),
-            **self.radar(limit=SUMMARY_RADAR),
+            "radar": self.radar(limit=SUMMARY_RADAR),
         }
 
     def export(self, kind: str, q: str | None = None, config: UserConfig | None = None) -> str:

@@ -202,18 +202,22 @@ _NEAR_SQL = r"""near AS (SELECT *, trim(regexp_replace(concat_ws(' ', nullif(tri
 FROM norm WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))"""
 
 
-def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").where("text is not null")
     # the source travels in the id, so no second read of the notes is needed
     named = F.concat_ws("\t", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"))
-    notes = docs.select(F.col("doc_id").alias("file_path"), named.alias("report_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("date"), F.col("text").alias("markdown"))
-    return P.build_lines(notes).withColumns({"institution": F.nullif(F.substring_index("report_id", "\t", 1), F.lit("")), "report_id": F.col("file_path")})
+    return docs.select(F.col("doc_id").alias("file_path"), named.alias("report_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("date"), F.col("text").alias("markdown"))
+
+
+def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.build_lines(_notes(spark, sf_dir)).withColumns({"institution": F.nullif(F.substring_index("report_id", "\t", 1), F.lit("")), "report_id": F.col("file_path")})
 
 
 @query(f"""WITH {_LINES_SQL}, {_NEAR_SQL} SELECT doc_id AS report_id, source AS institution, line_no AS line_number, snippet, 'The  W' AS matched_text
 FROM near WHERE contains(norm_line, 'the w') ORDER BY doc_id DESC, line_no LIMIT 500""")
 def exact_search(spark, sf_dir):
-    return S.search_lines(_doc_lines(spark, sf_dir), "The  W").drop("date").withColumn("line_number", F.col("line_number").cast("bigint"))
+    found = S.search_notes(_notes(spark, sf_dir), "The  W", institution=F.nullif(F.substring_index("report_id", "\t", 1), F.lit("")))
+    return found.withColumns({"report_id": F.substring_index("report_id", "\t", -1).cast("bigint"), "line_number": F.col("line_number").cast("bigint")}).drop("date")
 
 
 @query(f"""WITH {_LINES_SQL}, {_NEAR_SQL} SELECT doc_id AS report_id, source AS institution, line_no AS line_number, snippet, 'the' AS matched_text
@@ -299,7 +303,10 @@ def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.build_lines(P.build_reports(_rendered(spark, sf_dir), "/notes"))
+    """The notes' lines, written once: what is asked of them reads them several times."""
+    lines, path = P.build_lines(P.build_reports(_rendered(spark, sf_dir), "/notes")), f"{_shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    lines.write.parquet(path)
+    return spark.read.schema(lines.schema).parquet(path)
 
 
 @query(f"""SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, n_name AS institution, 'Order ' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS target_name,
@@ -394,7 +401,28 @@ def institution_blocks(spark, sf_dir):
     return blocks.where(S.in_period("1995-03", "1996-04")).select("date", "institution", "start_line", F.array_join("tags", "|").alias("tags"))
 
 
-@query(f"WITH {_NOTES} SELECT date, institution, target_name, CAST(line_number AS INTEGER) AS line_number FROM m WHERE institution = 'CHINA' AND rating = '买入' AND date >= '1995-02' ORDER BY date DESC, line_number DESC LIMIT 500")
+@query(f"""WITH {_NOTES}, h AS (SELECT * FROM m WHERE rating = '买入' AND date >= '1995-02' AND date IN (SELECT date FROM m WHERE institution = 'NATION_3')
+ORDER BY date DESC, line_number DESC LIMIT 500) SELECT date, institution, target_name, CAST(line_number AS INTEGER) AS line_number FROM h""")
 def index_rating_search(spark, sf_dir):
-    hits = _index(spark, sf_dir).search("买入评级", start="1995-02", institution="CHINA")
-    return hits.where("institution = 'CHINA'").select("date", "institution", F.substring_index("snippet", "｜", 1).alias("target_name"), "line_number")
+    """Ratings in the reports in which the institution has a block, its own and others'."""
+    hits = _index(spark, sf_dir).search("买入评级", start="1995-02", institution="NATION_3")
+    return hits.select("date", "institution", F.substring_index("snippet", "｜", 1).alias("target_name"), "line_number")
+
+
+@query(f"""WITH {_NOTES} SELECT date, institution, CAST(line_number AS INTEGER) AS line_number FROM m
+WHERE contains(lower(target_name || ' (' || code || ')'), '12 (0001') ORDER BY date DESC, line_number LIMIT 500""")
+def index_text_search(spark, sf_dir):
+    """A substring, by the positional index of character pairs."""
+    return _index(spark, sf_dir).with_text_index().search("12 (0001").select("date", "institution", "line_number")
+
+
+_PATTERNS_SQL = "a AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS watch_id, CAST(c_custkey AS VARCHAR) || ' ' AS alias FROM customer)"
+
+
+@query(f"""WITH {_PATTERNS_SQL}, h AS (SELECT DISTINCT watch_id, o_orderkey FROM orders JOIN a ON contains(CAST(o_orderkey AS VARCHAR) || ' ' || CAST(o_custkey AS VARCHAR) || ' ', alias))
+SELECT watch_id, count(*) AS mention_count FROM h GROUP BY 1""")
+def watchlist_many(spark, sf_dir):
+    """A watch list of all customers, compiled into one automaton."""
+    watch = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("watch_id"), F.array(F.concat(F.col("c_custkey").cast("string"), F.lit(" "))).alias("norm_aliases")).distinct()
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.concat_ws(" ", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.lit(""))).alias("fields"))
+    return A.match_watchlist(rows, F.col("fields"), watch, ("o_orderkey",)).groupBy("watch_id").agg(F.count("*").alias("mention_count"))

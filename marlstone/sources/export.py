@@ -32,5 +32,18 @@ def csv_text(df: DataFrame, names: dict[str, str] | None = None) -> str:
     return "\n".join([csv_header(names or df.columns), *lines]) if lines else ""
 
 
+def camel(name: str) -> str:
+    first, *rest = name.split("_")
+    return first + "".join(w[:1].upper() + w[1:] for w in rest)
+
+
 def json_text(answer: dict) -> str:
-    return json.dumps({k: [r.asDict(True) for r in v.collect()] if isinstance(v, DataFrame) else v for k, v in answer.items()}, ensure_ascii=False, indent=2, default=str)
+    """A whole answer, tables as lists of objects, keys in camel case."""
+    def plain(value):
+        if isinstance(value, DataFrame):
+            return [plain(r.asDict(True)) for r in value.collect()]
+        if isinstance(value, dict):
+            return {camel(k): plain(v) for k, v in value.items()}
+        return [plain(v) for v in value] if isinstance(value, list) else value
+
+    return json.dumps(plain(answer), ensure_ascii=False, indent=2, default=str)

@@ -24,6 +24,6 @@ def stream_notes(spark: SparkSession, root: str, out: str, checkpoint: str) -> S
 
     def append(batch: DataFrame, number: int) -> None:
         index.store(batch, root, version, f"/batch={number}")
-        index.publish(batch.sparkSession, version, out)
+        index.publish(batch.sparkSession, version, out, root)
 
     return files.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

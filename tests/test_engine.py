@@ -1,6 +1,8 @@
 """Notes to answers on a small tree of files."""
 
+import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,63 +10,18 @@ from pyspark.sql import functions as F
 from marlstone.functions import report as R
 from marlstone.functions import text as T
 from marlstone.plans import index as I
+from marlstone.plans import textindex
 from marlstone.sources.config import Settings, UserConfig, split_aliases
 from marlstone.sources.sync import refresh
 from marlstone.streaming.ingest import stream_notes
 
+#: One note for each thing that the questions below look at.
 NOTES = {
-    "2025/2025-11-03.md": "晨间提示：Quokka 推迟发布会\n# 北辰研究\n\n澄光储能 (QKKA.US)\n给予增持，目标价 42 美元。\n#储能 #出海\n",
-    "2025/2025-11-04.md": """# 北辰研究
-
-==目标价：57.50美元==
-==覆盖公司：澄光储能公司（Quokka Power；QKKA.US）==
-==投资评级：持有（恢复覆盖）==
-==现价（2025年11月3日）：48.20美元==
-
-电网侧订单排到明年三季度。
-
-#储能 #出海 ##双井
-
-# 南湖资本
-
-松果机器人 (4316.TW)
-上调至“增持”，目标价 620 新台币。
-灵巧手是下半年的催化剂，样机十二月交付。
-减速器缺货是首要风险。
-## 附：产线照片
-#机器人 #储能
-""",
-    "2025/2025-11-05.md": """# 南湖资本
-
-晴川水务 (300987.SZ)
-雨季推高了晴川的用电成本，管理层暂停了两处工地。
-
-白塔乳业 (BTRY.SI)
-白塔乳业在东岸有6座牧场——旧称晨曦（MILKA）。
-
-四明玻璃纤维工业公司 (SMGF, 605432.SS)
-四明玻璃纤维工业公司（SMGF）的厂长谈到了窑炉检修。
-• 更正：四明玻纤（605432.SS）与旧壳（前600432.SS）已换股。
-
-望海航空 (601765.SS/1765.HK)
-对==望海航空H/A股给出的目标价各为8.6港元/7.9人民币==，维持持有评级。
-冬春航季时刻：
-北线每日六班
-南线每日四班
-东线每日三班
-西线每日两班
-货机隔日一班
-包机另行通知
-其余不变
-
-附录 - 白塔乳业
-白塔乳业评级为增持，目标价1.75新元，按现金流折现。
-
-# 东篱证券
-松果机器人 (4316.TW)
-评级：减持，下调目标价至 480 新台币
-""",
+    "2027/2027-03-01.md": "周一值班：赤松取消巡检\n# 甲所\n赤松电缆 (CSDL.KS)\n首予买入\n#电网\n",
+    "2027/2027-03-02.md": "# 甲所\n赤松电缆 (CSDL.KS)\n评级：中性，目标价 31000元\n催化剂：海缆招标\n主要风险在铜价\n# 乙所\n赤松电缆 (CSDL.KS)\n下调至“减持”\n#电网 #铜 #电网\n",
+    "2027/2027-03-03.md": "# 丙所\n覆盖个股：石榴影业（Garnet Film / GRNT.O）\n现价：7.5美元\n",
 }
+LAST = "03-03"
 
 
 @pytest.fixture(scope="module")
@@ -82,111 +39,148 @@ def rows(df):
 
 
 def test_reports_and_blocks(index):
-    assert [r["report_id"] for r in rows(index.list_reports())] == ["2025__2025-11-05", "2025__2025-11-04", "2025__2025-11-03"]
-    assert index.list_reports(year="2025", institution="东篱证券").count() == 1 and index.list_reports(year="2024").count() == 0
+    assert [r["report_id"] for r in rows(index.list_reports())] == ["2027__2027-03-03", "2027__2027-03-02", "2027__2027-03-01"]
+    assert index.list_reports(year="2027", institution="乙所").count() == 1 and index.list_reports(year="2026").count() == 0
     one = rows(index.summaries())
-    assert {r["date"]: r["institutions"] for r in one}["2025-11-04"] == ["北辰研究", "南湖资本"]
-    assert {r["date"]: r["target_count"] for r in one} == {"2025-11-03": 1, "2025-11-04": 2, "2025-11-05": 5}
-    assert rows(index.reports.select("year", "line_count").where("date = '2025-11-03'")) == [{"year": "2025", "line_count": 7}]
-    tags = {r["institution"]: r["tags"] for r in rows(index.blocks.where("date = '2025-11-04'"))}
-    assert tags == {"北辰研究": ["储能", "出海", "双井"], "南湖资本": ["机器人", "储能"]}
-    held = index.report("2025__2025-11-04")
+    assert {r["date"]: r["institutions"] for r in one} == {"2027-03-01": ["甲所"], "2027-03-02": ["甲所", "乙所"], "2027-03-03": ["丙所"]}
+    assert {r["date"]: r["target_count"] for r in one} == {"2027-03-01": 1, "2027-03-02": 2, "2027-03-03": 1}
+    assert {(r["institution"], tuple(r["tags"])) for r in rows(index.blocks)} == {("甲所", ("电网",)), ("甲所", ()), ("乙所", ("电网", "铜")), ("丙所", ())}
+    held = index.report("2027__2027-03-02")
     assert held["report"].count() == 1 and held["blocks"].count() == 2 and held["mentions"].count() == 2
 
 
 def test_lines_cover_every_line_once(index):
-    got = rows(index.lines.where("date = '2025-11-03'").orderBy("line_no"))
-    assert [r["line"] for r in got] == NOTES["2025/2025-11-03.md"].split("\n")
-    assert [(r["block_start"], r["block_end"], r["institution"]) for r in got] == [(None, 1, None)] + [(2, 7, "北辰研究")] * 6
+    got = rows(index.lines.where("date = '2027-03-01'").orderBy("line_no"))
+    assert [r["line"] for r in got] == NOTES["2027/2027-03-01.md"].split("\n")
+    assert [(r["block_start"], r["block_end"], r["institution"]) for r in got] == [(None, 1, None)] + [(2, 6, "甲所")] * 5
 
 
 def test_years_and_dates_prune_partitions(index):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    for df in (index.list_reports(year="2025"), index.search("x", start="2025-02", end="2026-01"), index.radar(start="2025-01-01")["first_coverages"]):
+    for df in (index.list_reports(year="2027"), index.search("x", start="2027-02", end="2028-01"), index.radar(start="2027-01-01")["first_coverages"]):
         assert any("part#" in p for p in plan(df).split("PartitionFilters: [")[1:] for p in [p.split("]")[0]])
 
 
 def test_mentions(index):
-    by = {(r["date"], r["code"]): r for r in rows(index.mentions)}
-    power = by["2025-11-04", "QKKA.US"]
-    assert (power["target_name"], power["rating"], power["current_price"], power["action"]) == ("澄光储能", "持有", "48.20美元", "恢复覆盖")
-    assert power["target_price"] is None  # it stands above the target, and names no one
-    assert power["aliases"] == ["澄光储能", "Quokka Power", "QKKA.US"] and power["target_key"] == "qkka.us"
-    robot = by["2025-11-04", "4316.TW"]
-    assert (robot["rating"], robot["target_price"], robot["action"]) == ("增持", "620 新台币", "上调")
-    water = by["2025-11-05", "300987.SZ"]
-    assert water["rating"] is None and water["action"] is None
-    glass = by["2025-11-05", "605432.SS"]
-    assert glass["target_name"] == "四明玻璃纤维工业公司" and glass["rating"] is None and glass["target_price"] is None and glass["action"] is None
-    milk = by["2025-11-05", "BTRY.SI"]
-    assert (milk["rating"], milk["target_price"]) == ("增持", "1.75新元")
-    air = by["2025-11-05", "601765.SS"]
-    assert (air["rating"], air["target_price"], air["action"]) == ("持有", "8.6港元", "维持")
-    assert {(r["type"], r["target_name"]) for r in rows(index.signals.where("date = '2025-11-04'"))} >= {("catalyst", "松果机器人"), ("risk", "松果机器人")}
-    said = rows(index.signals.where("type = 'catalyst'"))[0]
-    assert said["title"].startswith("灵巧手") and said["excerpt"].startswith("松果机器人 (4316.TW) 上调至") and said["excerpt"].endswith("## 附：产线照片")
+    by = {(r["date"], r["institution"]): r for r in rows(index.mentions)}
+    told = {k: (r["target_name"], r["code"], r["rating"], r["target_price"], r["current_price"], r["action"]) for k, r in by.items()}
+    assert told == {
+        ("2027-03-01", "甲所"): ("赤松电缆", "CSDL.KS", "买入", None, None, "首予"),
+        ("2027-03-02", "甲所"): ("赤松电缆", "CSDL.KS", "中性", "31000元", None, None),
+        ("2027-03-02", "乙所"): ("赤松电缆", "CSDL.KS", "减持", None, None, "下调"),
+        ("2027-03-03", "丙所"): ("石榴影业", "GRNT.O", None, None, "7.5美元", None),
+    }
+    assert by["2027-03-03", "丙所"]["aliases"] == ["石榴影业", "Garnet Film", "GRNT.O"] and by["2027-03-03", "丙所"]["target_key"] == "grnt.o"
+    assert {(r["type"], r["title"]) for r in rows(index.signals)} == {("catalyst", "催化剂：海缆招标"), ("risk", "主要风险在铜价")}
+    assert rows(index.signals.where("type = 'risk'"))[0]["excerpt"] == "评级：中性，目标价 31000元 催化剂：海缆招标 主要风险在铜价 # 乙所 赤松电缆 (CSDL.KS)"
 
 
 def test_search(index):
-    assert index.search("Quokka").count() == index.search("QUOKKA").count() >= 2
-    last = rows(index.search("quokka"))[-1]
-    assert last["institution"] == R.UNKNOWN_INSTITUTION and last["snippet"] == "晨间提示：Quokka 推迟发布会 # 北辰研究"
+    assert index.search("garnet").count() == index.search("GARNET").count() == 1
+    assert rows(index.search("值班"))[0]["institution"] == R.UNKNOWN_INSTITUTION and rows(index.search("值班"))[0]["snippet"] == "周一值班：赤松取消巡检 # 甲所"
     assert index.search("没有").count() == 0 and index.search(" ").count() == 0
-    assert {r["date"] for r in rows(index.search("乳业", mode="target"))} == {"2025-11-05"}
-    held = rows(index.search("持有评级"))
-    assert [r["date"] for r in held] == ["2025-11-05", "2025-11-04"] and all(r["matched_text"] == "持有评级" for r in held)
-    assert index.search("", mode="rating").count() == 6 and index.search("评级", mode="rating", institution="北辰研究").count() == 3
-    assert index.search("underweight", start="2025-11-05").count() == 1 and index.search("underweight", end="2025-11-04").count() == 0
+    assert {r["date"] for r in rows(index.search("赤松", mode="rating"))} == {"2027-03-01", "2027-03-02"}
+    assert [r["date"] for r in rows(index.search("中性评级"))] == ["2027-03-02"]
+    assert index.search("", mode="rating").count() == 3 and index.search("评级", mode="rating", institution="乙所").count() == 2
+    assert index.search("underweight", start="2027-03-02").count() == 1 and index.search("underweight", end="2027-03-01").count() == 0
+
+
+def test_indexed_search_equals_the_scan(spark, tmp_path):
+    rng = random.Random(7)
+    text = lambda: "\n".join("".join(rng.choice("ab é东🙂") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 9)))
+    notes = [(f"/n/{2025 + k % 3}/{2025 + k % 3}-01-{1 + k % 28:02d}-{k}.md", f"# 所{k % 4}\n{text()}", None) for k in range(60)]
+    plain = I.build(spark, spark.createDataFrame(notes, "file_path string, markdown string, updated_at timestamp"), "/n", str(tmp_path))
+    indexed = None
+    asked = ["ab", "a b", "é东", "🙂a", "aaa", "abab", "# 所", "没有", "b", "ba é"]
+    want = {q: rows(plain.search(q)) for q in asked}
+    indexed = plain.with_text_index()
+    assert {q: rows(indexed.search(q)) for q in asked} == want and sum(map(len, want.values())) > 40
+    assert rows(indexed.search("ab", start="2026-01-05", institution="所1")) == rows(plain.search("ab", start="2026-01-05", institution="所1"))
+    files = {r["file_path"] for r in rows(plain.lines.where("contains(norm_line, 'aaa')"))}
+    met = textindex.candidates(spark, f"{plain.path}/text-index", "aaa")
+    assert {r["file_path"] for r in rows(met)} >= files
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "In(gram" in plan or "EqualTo(gram" in plan
+
+
+def test_tables_without_rows_open(spark, tmp_path):
+    schema = "file_path string, markdown string, updated_at timestamp"
+    kinds = {"mention": "# 甲所\n只有一句话\n", "signal": "# 甲所\n赤松电缆 (CSDL.KS)\n买入评级\n", "heading": "没有机构\n", "empty": None}
+    for kind, text in kinds.items():
+        notes = [(f"/n/2027/2027-04-{k + 1:02d}.md", text, None) for k in range(3)] if text else []
+        index = I.build(spark, spark.createDataFrame(notes, schema), "/n", str(tmp_path / kind))
+        summary = I.open_index(spark, str(tmp_path / kind)).summary()
+        assert summary["report_count"] == len(notes) and summary["mention_count"] == (3 if kind == "signal" else 0)
+        assert index.profile("csdl")["mentions"].count() == summary["mention_count"] and index.radar()["risks"].count() == 0
+        assert index.search("赤松").count() == summary["mention_count"] and index.export("summary").startswith("{")
+
+
+def test_undated_notes_share_a_part(spark, tmp_path):
+    notes = [(f"/n/{''.join(random.Random(k).choices('qwxz', k=5))}-{k}.md", "# 甲所\n赤松电缆 (CSDL.KS)\n买入评级\n", None) for k in range(300)] + [("/n/2027/2027-04-01.md", "# 乙所\n", None)]
+    index = I.build(spark, spark.createDataFrame(notes, "file_path string, markdown string, updated_at timestamp"), "/n", str(tmp_path))
+    assert {r["part"] for r in rows(index.reports.select("part").distinct())} == {"undated", "2027"}
+    dates = [r["date"] for r in rows(index.reports)]
+    assert index.search("买入评级", start="w", end="x").count() == sum("w" <= d <= "x" for d in dates) > 10
+    year = next(d for d in dates if d[0] == "q")[:4]
+    assert index.list_reports(year=year).count() == sum(d[:4] == year for d in dates)
 
 
 def test_changes_matrix_profile(index):
-    profile = index.profile("4316.TW")
-    changes = rows(profile["rating_changes"])
-    assert [(c["institution"], c["change_type"]) for c in changes] == [("东篱证券", "下调"), ("南湖资本", "上调")]
-    power = rows(index.profile("qkka.us")["rating_changes"])
-    assert [(c["change_type"], c["previous_rating"], c["current_rating"]) for c in power] == [("恢复覆盖", "增持", "持有"), ("首次覆盖", None, "增持")]
-    assert rows(profile["summary"])[0]["sentiment_hint"] == "风险提示较多"
-    assert rows(profile["canonical_name"])[0]["canonical_name"] == "松果机器人"
-    view = index.institutions("松果")
-    assert [r["institution"] for r in rows(view["matrix"])] == ["东篱证券", "南湖资本"]
+    profile = index.profile("csdl.ks")
+    changes = [(c["date"], c["institution"], c["change_type"], c["previous_rating"], c["current_rating"]) for c in rows(profile["rating_changes"])]
+    assert sorted(changes) == [("2027-03-01", "甲所", "首予", None, "买入"), ("2027-03-02", "乙所", "下调", None, "减持"), ("2027-03-02", "甲所", "目标价变化", "买入", "中性")]
+    summary = rows(profile["summary"])[0]
+    assert (summary["first_mention"], summary["latest_mention"], summary["latest_rating"]) == ("2027-03-01", "2027-03-02", "减持")
+    assert rows(profile["canonical_name"])[0]["canonical_name"] == "赤松电缆"
+    view = index.institutions("赤松")
+    assert sorted(r["institution"] for r in rows(view["matrix"])) == ["乙所", "甲所"]
     assert rows(view["divergence"])[0]["n_ratings"] == 2
-    assert rows(index.institutions()["coverage"])[0] == {"name": "南湖资本", "count": 5}
+    assert rows(index.institutions()["coverage"])[0] == {"name": "甲所", "count": 2}
 
 
 def test_radar_and_summary(index):
     radar = index.radar()
-    assert {r["change_type"] for r in rows(radar["rating_changes"])} >= {"上调", "下调", "恢复覆盖"}
-    assert rows(radar["themes"])[0] == {"name": "储能", "count": 3}
-    assert all(r["date"] >= "2025-11-05" for r in rows(index.radar(start="2025-11-05")["rating_changes"]))
+    assert [(r["date"], r["change_type"]) for r in rows(radar["target_price_changes"])] == [("2027-03-02", "目标价变化")]
+    assert rows(radar["themes"]) == [{"name": "电网", "count": 2}, {"name": "铜", "count": 1}]
+    assert all(r["date"] >= "2027-03-02" for r in rows(index.radar(start="2027-03-02")["rating_changes"]))
     summary = index.summary()
-    assert summary["report_count"] == 3 and summary["target_count"] == 6 and summary["error_count"] == 0 and summary["indexed_at"] is not None
-    assert index.export("summary").startswith("{")
-    assert index.export("target", "4316.TW").splitlines()[0] == "reportId,date,institution,targetName,aliases,code,rating,targetPrice,currentPrice,action,lineNumber,excerpt"
+    assert summary["report_count"] == 3 and summary["target_count"] == 2 and summary["error_count"] == 0 and summary["indexed_at"] is not None
+    assert summary["latest_date"] == "2027-03-03" and summary["source_dir"].endswith("notes0")
+    told = json.loads(index.export("summary"))
+    assert told["latestDate"] == "2027-03-03" and told["reportCount"] == 3 and told["radar"]["targetPriceChanges"][0]["changeType"] == "目标价变化"
+    assert index.export("target", "csdl").splitlines()[0] == "reportId,date,institution,targetName,aliases,code,rating,targetPrice,currentPrice,action,lineNumber,excerpt"
     assert index.export("search", "没有") == ""
 
 
+def test_unknown_targets_answer_with_what_was_asked(index, tmp_path):
+    config = UserConfig.load(tmp_path / "config.json").add_alias("无此", ["无彼"])
+    profile = index.profile("无彼", config)
+    assert rows(profile["canonical_name"]) == [{"canonical_name": "无彼"}] and [r["alias"] for r in rows(profile["aliases"])] == ["无此", "无此", "无彼"]
+    assert profile["mentions"].count() == 0 and rows(profile["summary"])[0]["first_mention"] is None
+
+
 def test_watchlist_and_config(index, tmp_path):
     path = tmp_path / "config.json"
     path.write_text("{broken", encoding="utf-8")
-    config = UserConfig.load(path).add_watch("松果", ["4316.tw", " "]).add_watch("无此")
-    config.add_watch("松果", ["松果机器人"], "n").add_alias("澄光", ["Quokka"])
+    config = UserConfig.load(path).add_watch("赤松", ["csdl.ks", " "]).add_watch("无此")
+    config.add_watch("赤松", ["赤松电缆"], "n").add_alias("石榴", ["Garnet"])
     config = UserConfig.load(path)
-    assert config.watchlist[0]["aliases"] == ["松果", "4316.tw", "松果机器人"] and config.expand("quokka ") == ["澄光", "澄光", "Quokka"]
+    assert config.watchlist[0]["aliases"] == ["赤松", "csdl.ks", "赤松电缆"] and config.expand("garnet ") == ["石榴", "石榴", "Garnet"]
     view = index.watchlist(config)
     got = {r["name"]: (r["mention_count"], r["latest_date"]) for r in rows(view["watchlist"])}
-    assert got == {"松果": (2, "2025-11-05"), "无此": (0, None)}
-    assert view["latest_changes"].count() == 2
+    assert got == {"赤松": (3, "2027-03-02"), "无此": (0, None)}
+    assert view["latest_changes"].count() == 3
     assert config.remove_watch(config.watchlist[0]["id"]).watchlist[0]["name"] == "无此"
     assert split_aliases("a, b，c d") == ["a", "b", "c", "d"]
 
 
 def test_diff_and_errors(spark, index, tmp_path):
-    files = {"2025/2025-11-04.md": NOTES["2025/2025-11-04.md"], "2025/2025-11-05.md": "# 改\n", "2025/2025-11-06.md": "# 新\n", "2025/2025-11-07.md": None}
+    files = {"2027/2027-03-02.md": NOTES["2027/2027-03-02.md"], "2027/2027-03-03.md": "# 改\n", "2027/2027-03-04.md": "# 新\n", "2027/2027-03-05.md": None}
     made = spark.createDataFrame([(f"/r/{p}", t, None) for p, t in files.items()], "file_path string, markdown string, updated_at timestamp")
     after = I.build(spark, made, "/r", str(tmp_path))
-    assert [(r["change_type"], r["report_id"]) for r in rows(after.diff(index))] == [("added", "2025__2025-11-06"), ("modified", "2025__2025-11-05"), ("removed", "2025__2025-11-03")]
+    assert [(r["change_type"], r["report_id"]) for r in rows(after.diff(index))] == [("added", "2027__2027-03-04"), ("modified", "2027__2027-03-03"), ("removed", "2027__2027-03-01")]
     status = after.status()
-    assert status["report_count"] == 3 and status["error_count"] == 1 and rows(status["errors"])[0]["file_path"] == "/r/2025/2025-11-07.md"
+    assert status["report_count"] == 3 and status["error_count"] == 1 and rows(status["errors"])[0]["file_path"] == "/r/2027/2027-03-05.md"
 
 
 def _written(root, notes):
@@ -197,11 +191,11 @@ def _written(root, notes):
 
 def test_refresh_pulls_builds_and_compares(spark, tmp_path):
     root, out = tmp_path / "notes", str(tmp_path / "index")
-    _written(root, {k: v for k, v in NOTES.items() if "11-05" not in k})
+    _written(root, {k: v for k, v in NOTES.items() if LAST not in k})
     assert I.open_index(spark, out, str(root)).status()["report_count"] == 2  # built on first use
 
     def runner(args, cwd, timeout):
-        _written(root, {k: v for k, v in NOTES.items() if "11-05" in k})
+        _written(root, {k: v for k, v in NOTES.items() if LAST in k})
         return "Updating 1..2", ""
 
     done = I.refresh(spark, str(root), out, runner)
@@ -217,16 +211,16 @@ def test_refresh_pulls_builds_and_compares(spark, tmp_path):
 
 def test_streamed_notes_open_as_an_index(spark, index, tmp_path):
     root, out = tmp_path / "notes", str(tmp_path / "index")
-    _written(root, {k: v for k, v in NOTES.items() if "11-05" not in k})
+    _written(root, {k: v for k, v in NOTES.items() if LAST not in k})
     stream_notes(spark, str(root), out, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert I.open_index(spark, out).mentions.count() == 3
-    _written(root, {k: v for k, v in NOTES.items() if "11-05" in k})
+    _written(root, {k: v for k, v in NOTES.items() if LAST in k})
     stream_notes(spark, str(root), out, str(tmp_path / "checkpoint")).awaitTermination(120)
     streamed = I.open_index(spark, out)
     columns = ("date", "institution", "code", "rating", "target_price", "action")
     assert sorted(map(tuple, streamed.mentions.select(*columns).collect()), key=str) == sorted(map(tuple, index.mentions.select(*columns).collect()), key=str)
-    assert [r["change_type"] for r in rows(streamed.profile("qkka.us")["rating_changes"])] == ["恢复覆盖", "首次覆盖"]
-    assert streamed.search("quokka").count() == index.search("quokka").count() and streamed.status()["error_count"] == 0
+    assert sorted(r["change_type"] for r in rows(streamed.profile("csdl.ks")["rating_changes"])) == ["下调", "目标价变化", "首予"]
+    assert streamed.search("赤松").count() == index.search("赤松").count() and streamed.status()["error_count"] == 0
 
 
 def test_text_traps(spark):
@@ -239,7 +233,7 @@ def test_text_traps(spark):
     assert one(R.rating, "评级：说明。维持买入") == "买入"
     assert one(R.current_price, "现价 12.5 港元，区间 10-20") == "20"
     assert one(R.clean_name, "报告 - 我们对该公司") == "该"
-    assert one(R.clean_name, "松果是一家") == "松果"
+    assert one(R.clean_name, "赤松是一家") == "赤松"
     assert one(T.compact, " a \r\n\n　b ") == "a b"
     assert R.parse_rating_query("growth") == "增持" and R.parse_rating_query("", "rating") == "*" and R.parse_rating_query("x") is None
     from marlstone.functions import markup as M
@@ -267,7 +261,7 @@ def test_caps_of_the_answers(spark, tmp_path):
     assert {k: v.count() for k, v in radar.items()} == {"first_coverages": 24, "rating_changes": 24, "target_price_changes": 0, "catalysts": 24, "risks": 24, "themes": 24}
     assert radar["risks"].count() == 24 and index.radar(limit=500)["first_coverages"].count() == 60 and index.radar(limit=500)["rating_changes"].count() == 60
     assert index.radar(limit=500)["catalysts"].count() + index.radar(limit=500)["risks"].count() == 80 and index.themes().count() == 30
-    assert summary["latest_reports"].count() == 8 and summary["institutions"].count() == 18 and summary["risks"].count() == 6
+    assert summary["latest_reports"].count() == 8 and summary["institutions"].count() == 18 and summary["radar"]["risks"].count() == 6
     assert index.institutions()["target_coverage"].count() == 30
     assert I.PROFILE_SIGNALS == 40 and index.profile("hk")["signals"].count() == 40 and index.profile("hk")["mentions"].count() == 120
 
