@@ -92,6 +92,25 @@ def diverging_names(matrix: DataFrame, name: str = "target_name", limit: int = 3
     return rows.orderBy(F.desc("n_items"), "row_seq").limit(limit)
 
 
+def trailing_consensus(rows: DataFrame, day: Column, key: str = "target_key", institution: str = "institution", price: str = "target_price", days: int = 90) -> DataFrame:
+    """``rows`` with what was said of their key within the ``days`` before, their own day included.
+
+    A RANGE frame on the day, so gaps count as time and all rows of a day see each
+    other: how many views, their least, greatest and summed prices, and how many
+    institutions.  ``revisions`` is the number of views by the row's institution
+    in that time whose price differs from the view before.
+    """
+    number = F.unix_date(day)
+    by_key = Window.partitionBy(key).orderBy("_day").rangeBetween(-days, 0)
+    by_view = Window.partitionBy(key, institution).orderBy("_day").rangeBetween(-days, 0)
+    in_turn = Window.partitionBy(key, institution).orderBy("_day", price)
+    out = rows.withColumn("_day", number).withColumn("_other", (F.lag(price).over(in_turn) != F.col(price)).cast("bigint"))
+    return out.withColumns({
+        "views": F.count(price).over(by_key), "least": F.min(price).over(by_key), "greatest": F.max(price).over(by_key), "total": F.sum(price).over(by_key),
+        "voices": F.size(F.collect_set(institution).over(by_key)).cast("bigint"), "revisions": F.coalesce(F.sum("_other").over(by_view), F.lit(0)),
+    }).drop("_day", "_other")
+
+
 def diff_snapshots(before: DataFrame, after: DataFrame, key: str, payload: str, order: str | None = None) -> DataFrame:
     """(key, change_type, previous and next payload) of rows added, modified or removed.
 

@@ -3,7 +3,8 @@
 ``build`` reads notes once and writes reports, lines, blocks, mentions, signals
 and errors as Parquet into a new version folder, each table from the stored one
 before it and partitioned by ``part``, the year; a pointer row is appended last,
-so readers see whole versions only.  Questions with a year or with date bounds
+so readers see whole versions only.  ``refresh`` parses the years in which a note
+changed; a version's manifest names the folder that holds each year.  Questions with a year or with date bounds
 read only their years and the undated notes.  A version holds the schema of each
 table, so tables without rows read as such.  Every question returns DataFrames (or a dict of them)
 over those tables.
@@ -37,6 +38,9 @@ POINTER = "version string, indexed_at timestamp, source_dir string"
 PROFILE_MENTIONS, PROFILE_SIGNALS = 1000, 40
 RADAR_CHANGES, RADAR_FIRST, RADAR_SIGNALS, RADAR_LIMIT = 60, 60, 80, 24
 STATUS_ERRORS = 100
+#: Folders that a version may be spread over; beyond, a refresh builds anew.
+MOST_FOLDERS = 8
+MANIFEST = "part string, folder string"
 SUMMARY_REPORTS, SUMMARY_INSTITUTIONS, SUMMARY_RADAR = 8, 18, 6
 THEMES, TARGETS, DIVERGENCE, WATCH_CHANGES = 30, 30, 30, 5
 MENTION_CSV = {
@@ -76,10 +80,19 @@ def publish(spark: SparkSession, version: str, out: str, root: str) -> Index:
     return Index(spark, version)
 
 
-def build(spark: SparkSession, files: DataFrame, root: str, out: str) -> Index:
-    """Ingest ``files`` (file_path, markdown, updated_at) into ``out``; those without content become errors and the rest goes on."""
-    version = f"{out.rstrip('/')}/v-{datetime.now(UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+def _new_version(out: str) -> str:
+    return f"{out.rstrip('/')}/v-{datetime.now(UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+
+
+def build(spark: SparkSession, files: DataFrame, root: str, out: str, kept: dict[str, str] | None = None) -> Index:
+    """Ingest ``files`` (file_path, markdown, updated_at) into ``out``; those without content become errors and the rest goes on.
+
+    ``kept`` names the folders of years that stay as they are in other versions.
+    """
+    version = _new_version(out)
     store(files, root, version)
+    made = {r["part"]: version for r in Index(spark, version).reports.select("part").distinct().collect()}  # years
+    spark.createDataFrame(sorted((made | (kept or {})).items()), MANIFEST).coalesce(1).write.json(f"{version}/manifest")
     return publish(spark, version, out, root)
 
 
@@ -100,7 +113,7 @@ def open_index(spark: SparkSession, out: str, root: str | None = None) -> Index:
 
 
 def refresh(spark: SparkSession, root: str, out: str, runner: sync.Runner = sync.run_git) -> dict:
-    """Pull the notes, ingest them again and compare: the pull's outcome, the index, its status and what changed.
+    """Pull the notes, ingest what changed and compare: the pull's outcome, the index, its status and what changed.
 
     If the pull fails nothing is ingested and the index stays as it is.
     """
@@ -108,11 +121,29 @@ def refresh(spark: SparkSession, root: str, out: str, runner: sync.Runner = sync
     pulled = sync.refresh(root, runner)
     if not pulled.success:
         return {"sync": pulled, "index": before, "status": before.status(), "changes": None}
-    after = build_from_tree(spark, root, out)
+    after = update(before, root, out)
     changes = after.diff(before)
     return {"sync": pulled, "index": after, "status": after.status() | {"last_changes": changes.count()}, "changes": changes}
 
 
+def update(before: Index, root: str, out: str) -> Index:
+    """A version of the tree as it is now, equal to one built anew: only years with an added, changed or removed note are parsed."""
+    spark, folders = before.spark, before.folders
+    if not folders or len(set(folders.values())) >= MOST_FOLDERS:
+        return build_from_tree(spark, root, out)
+    part = search.part_of(reports.report_date(F.col("file_path"), reports.report_id(F.col("file_path"), root)))
+    seen = lambda notes, name: notes.where("markdown is not null").select("file_path", F.struct(F.xxhash64("markdown"), F.length("markdown"), "updated_at").alias(name))
+    files = read_markdown(spark, root)
+    met = seen(files, "now").join(seen(before.reports, "was"), "file_path", "full").where("not (now <=> was)")
+    changed = [r["part"] for r in met.select(part.alias("part")).distinct().collect()]  # years
+    troubled = [r["part"] for r in before.errors.select(part.alias("part")).union(files.where("markdown is null").select(part)).distinct().collect()]
+    again = sorted({*changed, *troubled})
+    if not again:
+        return publish(spark, before.path, out, root)
+    kept = {p: folder for p, folder in folders.items() if p not in again}
+    return build(spark, read_markdown(spark, root, part.isin(again)), root, out, kept)
+
+
 def _held(df: DataFrame) -> DataFrame:
     """A frame that ends in a limit, read once and kept as a local relation."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
@@ -138,9 +169,27 @@ class Index:
         rows = self.spark.read.schema("name string, schema string").json(f"{self.path}/schemas").collect()
         return {r["name"]: StructType.fromJson(json.loads(r["schema"])) for r in rows}
 
+    @cached_property
+    def folders(self) -> dict[str, str]:
+        """The version folder that holds each part; none where the version has no manifest and holds all itself."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return {}
+        return {r["part"]: r["folder"] for r in self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest").collect()}
+
     def _table(self, name: str) -> DataFrame:
         """A stored table, by its own schema: it may have no rows."""
-        return self.spark.read.schema(self._schemas[name]).parquet(f"{self.path}/{name}").drop("batch")
+        read = lambda folder: self.spark.read.schema(self._schemas[name]).parquet(f"{folder}/{name}").drop("batch")
+        out = read(self.path)
+        if name == "errors":
+            return out
+        others: dict[str, list[str]] = {}
+        for part, folder in self.folders.items():
+            if folder != self.path:
+                others.setdefault(folder, []).append(part)
+        for folder, parts in sorted(others.items()):
+            out = out.unionByName(read(folder).where(F.col("part").isin(parts)))
+        return out
 
     reports = cached_property(lambda self: self._table("reports"))
     lines = cached_property(lambda self: self._table("lines"))

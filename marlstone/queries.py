@@ -19,6 +19,7 @@ from .operators import analytics as A
 from .operators import reports as P
 from .operators import search as S
 from .plans import index as I
+from .streaming import windows as W
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -426,3 +427,33 @@ def watchlist_many(spark, sf_dir):
     watch = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("watch_id"), F.array(F.concat(F.col("c_custkey").cast("string"), F.lit(" "))).alias("norm_aliases")).distinct()
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.concat_ws(" ", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.lit(""))).alias("fields"))
     return A.match_watchlist(rows, F.col("fields"), watch, ("o_orderkey",)).groupBy("watch_id").agg(F.count("*").alias("mention_count"))
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS window_end, event_type, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2, 3")
+def windows_tumbling(spark, sf_dir):
+    return W.tumbling(_table(spark, sf_dir, "events"), "6 hours", by=("event_type",), measures={"users": F.count_distinct("user_id")})
+
+
+@query("""SELECT s AS window_start, s + INTERVAL 2 HOUR AS window_end, event_type, count(*) AS events
+FROM (SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS s FROM events, range(4) r(k)) GROUP BY 1, 2, 3""")
+def windows_sliding(spark, sf_dir):
+    return W.sliding(_table(spark, sf_dir, "events"), "2 hours", "30 minutes", by=("event_type",))
+
+
+@query("""WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 4 HOUR, true) AS new FROM events),
+s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM g)
+SELECT min(ts) AS window_start, max(ts) + INTERVAL 4 HOUR AS window_end, user_id, count(*) AS events FROM s GROUP BY user_id, n""")
+def windows_sessions(spark, sf_dir):
+    return W.sessions(_table(spark, sf_dir, "events"), "4 hours", by=("user_id",))
+
+
+@query("""WITH v AS (SELECT o_orderkey, o_custkey, o_orderpriority, CAST(o_orderdate AS DATE) AS day, CAST(floor(o_totalprice / 200000) AS BIGINT) AS price FROM orders),
+w AS (SELECT *, CAST(price <> lag(price) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY day, price) AS BIGINT) AS other FROM v)
+SELECT o_orderkey, count(price) OVER k AS views, min(price) OVER k AS least, max(price) OVER k AS greatest, CAST(sum(price) OVER k AS BIGINT) AS total,
+count(DISTINCT o_orderpriority) OVER k AS voices, CAST(coalesce(sum(other) OVER p, 0) AS BIGINT) AS revisions FROM w
+WINDOW k AS (PARTITION BY o_custkey ORDER BY day RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW),
+p AS (PARTITION BY o_custkey, o_orderpriority ORDER BY day RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW)""")
+def trailing_consensus(spark, sf_dir):
+    views = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"), F.floor(F.col("o_totalprice") / 200000).alias("price"))
+    out = A.trailing_consensus(views, F.col("day"), "o_custkey", "o_orderpriority", "price", 90)
+    return out.select("o_orderkey", "views", "least", "greatest", "total", "voices", "revisions")

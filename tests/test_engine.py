@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +210,43 @@ def test_refresh_pulls_builds_and_compares(spark, tmp_path):
     assert not again["sync"].success and again["changes"] is None and again["index"].path == done["index"].path
 
 
+def test_update_parses_only_changed_years_and_equals_a_build(spark, tmp_path):
+    root, out = tmp_path / "notes", str(tmp_path / "index")
+    note = lambda k: f"# 所{k % 3}\n赤松电缆 (CSDL.KS)\n目标价 {k}00元\n风险：{k}\n#铜\n"
+    _written(root, {f"{2024 + k % 4}/{2024 + k % 4}-05-{k + 1:02d}.md": note(k) for k in range(12)} | {"随笔.md": note(3)})
+    first = I.build_from_tree(spark, str(root), out)
+    assert I.update(first, str(root), out).path == first.path  # nothing to do
+
+    _written(root, {"2025/2025-05-02.md": note(70), "2029/2029-01-01.md": note(71)})
+    os.remove(root / "2026/2026-05-03.md")
+    second = I.update(first, str(root), out)
+    written = {p.name for p in (tmp_path / "index" / second.path.rsplit("/", 1)[1] / "reports").iterdir() if "=" in p.name}
+    assert written == {"part=2025", "part=2026", "part=2029"} and set(second.folders) == {"2024", "2025", "2026", "2027", "2029", "undated"}
+    whole = I.build_from_tree(spark, str(root), str(tmp_path / "whole"))
+    for name in I.TABLES:
+        assert sorted(map(str, getattr(second, name).drop("part").collect())) == sorted(map(str, getattr(whole, name).drop("part").collect())), name
+    assert [(r["change_type"], r["report_id"]) for r in rows(second.diff(first))] == [("added", "2029__2029-01-01"), ("modified", "2025__2025-05-02"), ("removed", "2026__2026-05-03")]
+    assert I.open_index(spark, out).path == second.path and rows(second.radar()["risks"]) == rows(whole.radar()["risks"])
+    _written(root, {"2024/2024-05-01.md": note(72)})
+    third = I.update(second, str(root), out)
+    assert len(set(third.folders.values())) == 3 and third.mentions.count() == whole.mentions.count()
+
+
+def test_a_file_that_cannot_be_read_is_an_error_and_links_are_left_out(spark, tmp_path):
+    from marlstone.sources import markdown
+
+    root = tmp_path / "notes"
+    _written(root, {"2027/2027-04-01.md": "# 甲所\n", "2027/2027-04-02.md": "# 乙所\n"})
+    os.symlink(root / "2027/2027-04-01.md", root / "2027/2027-04-03.md")
+    os.symlink(root / "2027", root / "again")
+    assert sorted(r["file_path"] for r in rows(markdown.read_markdown(spark, str(root)))) == [str(root / f"2027/2027-04-0{k}.md") for k in (1, 2)]
+    frames = pd.DataFrame({"file_path": [str(root / "2027/2027-04-01.md"), str(root / "2027/gone.md")], "updated_at": [pd.NaT, pd.NaT]})
+    (got,) = markdown._reader(str(root))(iter([frames]))
+    assert got["content"].tolist() == ["# 甲所\n".encode(), None] and got["error"].tolist() == [None, "FileNotFoundError: No such file or directory"]
+    files = spark.createDataFrame([(str(root / "2027/gone.md"), None, None, got["error"][1])], "file_path string, markdown string, updated_at timestamp, error string")
+    assert rows(markdown.read_errors(files)) == [{"file_path": str(root / "2027/gone.md"), "message": "FileNotFoundError: No such file or directory"}]
+
+
 def test_streamed_notes_open_as_an_index(spark, index, tmp_path):
     root, out = tmp_path / "notes", str(tmp_path / "index")
     _written(root, {k: v for k, v in NOTES.items() if LAST not in k})
