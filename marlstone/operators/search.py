@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import report as R
-from ..functions.text import compact, normalize_all, normalize_literal
+from ..functions.text import SPACE, compact, nfkc, normalize_literal, tidy
 from .reports import heading, with_nearby
 
 LIMIT = 500
@@ -55,17 +57,27 @@ def search_lines(lines: DataFrame, query: str | None, mode: str | None = None, l
     return hits.select("report_id", "date", "institution", F.col("line_no").alias("line_number"), "snippet", F.lit(query or "").alias("matched_text"))
 
 
+def _rough(text: str) -> str:
+    """A pattern that every composed line matches whose normal form holds ``text``, which is ASCII and in normal form."""
+    same = {" ": f"{SPACE}+", "i": "[iIİ]", '"': '["“”]', "'": "['‘’]"}
+    return "(?i)" + "".join(same.get(c) or re.escape(c) for c in text)
+
+
 def search_notes(notes: DataFrame, query: str | None, limit: int = LIMIT, institution: Column | None = None) -> DataFrame:
     """``search_lines`` over notes (report_id, date, file_path, markdown) that are not stored as lines.
 
     A hit takes its neighbours and its institution from the array of its note's
-    lines, so nothing is joined and each note is cut and brought to normal form
-    once.  ``institution`` overrides what headings say.
+    lines, so nothing is joined.  Whole notes are composed once and tested with a
+    pattern; only lines that match it are brought to normal form.  ``institution``
+    overrides what headings say.
     """
     text = normalize_literal(query or "")
-    held = notes.where(F.lit(bool(text))).select("report_id", "date", "file_path", *([institution.alias("said")] if institution is not None else []), F.split("markdown", r"\r?\n", -1).alias("ls"))
-    at = F.filter(F.transform(normalize_all(F.col("ls")), lambda x, i: F.when(F.contains(x, F.lit(text)), i + 1)), lambda i: i.isNotNull())
-    held = held.withColumn("at", at).where(F.size("at") > 0)
+    said = [institution.alias("said")] if institution is not None else []
+    held = notes.where(F.lit(bool(text))).select("report_id", "date", "file_path", *said, "markdown", nfkc("markdown").alias("composed"))
+    maybe = (lambda x: x.rlike(_rough(text))) if text.isascii() else lambda x: x.isNotNull()
+    held = held.where(maybe(F.col("composed")))
+    at = F.transform(F.split("composed", r"\r?\n", -1), lambda x, i: F.when(maybe(x) & F.contains(tidy(x), F.lit(text)), i + 1))
+    held = held.select("report_id", "date", "file_path", *["said"] * len(said), F.split("markdown", r"\r?\n", -1).alias("ls"), F.filter(at, lambda i: i.isNotNull()).alias("at")).where(F.size("at") > 0)
     hits = held.select("*", F.explode("at").alias("line_no")).drop("at")
     if institution is None:
         above = F.filter(F.transform(F.slice("ls", F.lit(1), F.col("line_no")), heading), lambda h: h.isNotNull())

@@ -139,3 +139,12 @@ def test_small_rules(spark, tmp_path):
     assert [r["t"] for r in spark.createDataFrame([("2030-1",), ("2030-02",)], "t string").where(S.between_dates(F.col("t"), "2030-0", "2030-1")).orderBy("t").collect()] == ["2030-02", "2030-1"]
     with pytest.raises(Exception, match="(?i)not exist|path"):
         I.build_from_tree(spark, str(tmp_path / "missing"), str(tmp_path / "out"))
+
+
+def test_unstored_notes_are_searched_as_stored_lines(spark):
+    texts = ["# 甲所\nThe  Wind\n\n“THE wind” blew\n", "the\u3000ＷＩＮＤ\r\n# 乙所\nİstanbul wind\nthe\nwind", "nothing", "", "# 丙所\n# 丁所\n'the wind'"]
+    notes = P.build_reports(spark.createDataFrame([(f"/n/2030/2030-01-0{k + 1}.md", t, None) for k, t in enumerate(texts)], "file_path string, markdown string, updated_at timestamp"), "/n")
+    for query in ("the wind", '"the', "i̇stanbul", "istanbul", "i", "所", "'the wind'", "wind\n", "", "没有"):
+        found = rows(S.search_notes(notes, query))
+        assert found == rows(S.search_lines(P.build_lines(notes), query)), query
+    assert len(rows(S.search_notes(notes, "the wind"))) == 4
