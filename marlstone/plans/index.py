@@ -237,7 +237,7 @@ class Index:
         changed = self.summaries().join(changed.select(F.col("v.file_path").alias("file_path"), "change_type", F.col("p.updated_at").alias("previous_updated_at")), "file_path").withColumn("next_updated_at", F.col("updated_at"))
         gone = before.reports.join(self.reports.select("report_id"), "report_id", "left_anti").select("file_path")
         gone = before.summaries().join(gone, "file_path", "left_semi").withColumns({"change_type": F.lit("removed"), "previous_updated_at": F.lit(None).cast("timestamp"), "next_updated_at": F.col("updated_at")})
-        return changed.unionByName(gone).orderBy("change_type", F.desc("date"), "report_id")
+        return changed.unionByName(gone).orderBy("change_type", F.desc("date"), A.by_name("report_id"), "report_id")
 
     # searches
 
