@@ -6,7 +6,8 @@ before it and partitioned by ``part``, the year; a pointer row is appended last,
 so readers see whole versions only.  ``refresh`` parses the years in which a note
 changed; a version's manifest names the folder that holds each year.  Questions with a year or with date bounds
 read only their years and the undated notes.  A version holds the schema of each
-table, so tables without rows read as such.  Every question returns DataFrames (or a dict of them)
+table, so tables without rows read as such.  Counts are kept with each year
+(``kept``), and caps are filled from the newest year on.  Every question returns DataFrames (or a dict of them)
 over those tables.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import cached_property
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import kept as K
 from . import textindex
 from ..functions import report as R
 from ..functions.text import normalize, normalize_literal
@@ -66,9 +69,14 @@ def store(files: DataFrame, root: str, version: str, batch: str = "") -> None:
 
     notes = saved("reports", reports.build_reports(files.where("markdown is not null"), root))
     lines = saved("lines", reports.build_lines(notes))
-    saved("blocks", reports.build_blocks(lines))
+    blocks = saved("blocks", reports.build_blocks(lines))
     mentions = saved("mentions", reports.extract_mentions(lines))
     saved("signals", reports.extract_signals(mentions, lines))
+    counts = K.counts(notes, blocks, mentions)
+    K.dealt(counts).write.partitionBy("part", "kind").mode(mode).parquet(f"{version}/counts{batch}")
+    sketches = K.sketches(spark.read.schema(counts.schema).parquet(f"{version}/counts{batch}"))
+    sketches.write.partitionBy("part").mode(mode).parquet(f"{version}/sketches{batch}")
+    schemas.extend([("counts", counts.schema.json()), ("sketches", sketches.schema.json())])
     errors = read_errors(files)
     errors.write.mode(mode).parquet(f"{version}/errors{batch}")
     schemas.append(("errors", errors.schema.json()))
@@ -129,7 +137,7 @@ def refresh(spark: SparkSession, root: str, out: str, runner: sync.Runner = sync
 def update(before: Index, root: str, out: str) -> Index:
     """A version of the tree as it is now, equal to one built anew: only years with an added, changed or removed note are parsed."""
     spark, folders = before.spark, before.folders
-    if not folders or len(set(folders.values())) >= MOST_FOLDERS:
+    if not folders or not before.keeps_counts or len(set(folders.values())) >= MOST_FOLDERS:
         return build_from_tree(spark, root, out)
     part = search.part_of(reports.report_date(F.col("file_path"), reports.report_id(F.col("file_path"), root)))
     seen = lambda notes, name: notes.where("markdown is not null").select("file_path", F.struct(F.xxhash64("markdown"), F.length("markdown"), "updated_at").alias(name))
@@ -197,6 +205,38 @@ class Index:
     mentions = cached_property(lambda self: self._table("mentions"))
     signals = cached_property(lambda self: self._table("signals"))
     errors = cached_property(lambda self: self._table("errors"))
+    keeps_counts = property(lambda self: "counts" in self._schemas)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """The counts kept with the version; of a version without them, counted now."""
+        return self._table("counts") if self.keeps_counts else K.counts(self.reports, self.blocks, self.mentions)
+
+    @cached_property
+    def sketches(self) -> DataFrame:
+        return self._table("sketches") if self.keeps_counts else K.sketches(self.counts)
+
+    def target_count(self, years: list[str] | None = None, exact: bool = True) -> int:
+        """How many targets are mentioned, in some years or in all; if not ``exact``, by one sketch for each year."""
+        return K.distinct_targets(self.counts, years) if exact else K.about_distinct_targets(self.sketches, years)
+
+    def newest(self, table: DataFrame, ask: Callable[[DataFrame], DataFrame], limit: int, start: str | None = None, end: str | None = None) -> DataFrame:
+        """``ask`` of the rows of a period, which yields at most ``limit`` rows with a ``date``, newest first.
+
+        Years are read from the newest on, four times as many at each step.  All rows
+        of a year that was not read are older than the oldest year read, so once
+        ``limit`` rows are not, none of them can enter.  Undated notes, whose ids may
+        come anywhere, are always read.
+        """
+        rows, n = table.where(search.in_period(start, end)), 1
+        years = sorted((p for p in self.folders if p != search.UNDATED and p >= (start or "")[:4] and (not end or p <= end[:4])), reverse=True)
+        while n < len(years):
+            some = ask(rows.where(F.col("part").isin(*years[:n], search.UNDATED)))
+            found = some.collect()  # at most ``limit``
+            if sum(r["date"] >= years[n - 1] for r in found) >= limit:
+                return self.spark.createDataFrame(found, some.schema)
+            n *= 4
+        return ask(rows)
 
     # reports
 
@@ -242,18 +282,24 @@ class Index:
     # searches
 
     def search(self, q: str | None = None, start: str | None = None, end: str | None = None, institution: str | None = None, mode: str | None = None) -> DataFrame:
-        inside = search.in_period(start, end)
         wanted = R.parse_rating_query(q, mode)
         if wanted:
-            mentions = self.mentions.where(inside)  # of an id's reports all have its date
-            if institution:
-                mentions = mentions.join(self._with_institution(self.reports.where(inside), institution).select("report_id"), "report_id", "left_semi")
-            return search.search_ratings(mentions, wanted)
-        lines = self.lines.where(inside)
-        text, some = normalize_literal(q or ""), lines
-        if len(text) >= textindex.GRAM and self._has_text_index:
-            some = lines.join(textindex.candidates(self.spark, self._text_index, text), ["part", "file_path", "line_no"], "left_semi")
-        return search.search_lines(self._with_institution(some, institution), q, mode, among=lines)
+            def rated(mentions: DataFrame) -> DataFrame:
+                if institution:  # of an id's reports all have its date
+                    notes = self._with_institution(self.reports.where(search.in_period(start, end)), institution)
+                    mentions = mentions.join(notes.select("report_id"), "report_id", "left_semi")
+                return search.search_ratings(mentions, wanted)
+
+            return self.newest(self.mentions, rated, search.LIMIT, start, end)
+        text = normalize_literal(q or "")
+        indexed = len(text) >= textindex.GRAM and self._has_text_index
+        near = textindex.candidates(self.spark, self._text_index, text) if indexed else None
+
+        def said(lines: DataFrame) -> DataFrame:
+            some = lines.join(near, ["part", "file_path", "line_no"], "left_semi") if indexed else lines
+            return search.search_lines(self._with_institution(some, institution), q, mode, among=lines)
+
+        return self.newest(self.lines, said, search.LIMIT, start, end)
 
     @property
     def _text_index(self) -> str:
@@ -274,9 +320,10 @@ class Index:
 
     def profile(self, query: str, config: UserConfig | None = None) -> dict[str, DataFrame]:
         names = config.expand(query) if config else [query]
-        found = self.mentions.where(search.mention_matches(F.col("norm_fields"), [normalize_literal(n) for n in names]))
+        named = search.mention_matches(F.col("norm_fields"), [normalize_literal(n) for n in names])
+        latest = lambda rows: rows.where(named).orderBy(F.desc("date"), *[F.desc(c) for c in A.SEQ]).limit(PROFILE_MENTIONS)
         # every part of the answer is made of these rows, which are few whatever the corpus
-        newest = _held(found.orderBy(F.desc("date"), *[F.desc(c) for c in A.SEQ]).limit(PROFILE_MENTIONS))
+        newest = _held(self.newest(self.mentions, latest, PROFILE_MENTIONS))
         owner = newest.select(F.col("file_path").alias("f"), F.col("line_number").alias("l"), F.col("match_no").alias("m"))
         here = (F.col("file_path") == F.col("f")) & (F.col("mention_line") == F.col("l")) & (F.col("match_no") == F.col("m"))
         signals = self.signals.join(owner, here, "left_semi").orderBy(F.desc("date"), F.desc("file_path"), F.desc("mention_line"), F.desc("match_no"), F.desc("line_number")).limit(PROFILE_SIGNALS)
@@ -303,15 +350,13 @@ class Index:
 
     def radar(self, start: str | None = None, end: str | None = None, limit: int = RADAR_LIMIT) -> dict[str, DataFrame]:
         """Dates are filtered before changes are looked for; the first cut comes before the split by type."""
-        inside = search.in_period(start, end)
-        mentions, signals = self.mentions.where(inside), self.signals.where(inside)
-        changes = _held(A.detect_changes(mentions).orderBy(*A.change_order()).limit(RADAR_CHANGES))
+        changes = _held(A.detect_changes(self.mentions.where(search.in_period(start, end))).orderBy(*A.change_order()).limit(RADAR_CHANGES))
         opened = F.contains(F.coalesce("action", F.lit("")), F.lit("首次")) | F.contains("excerpt", F.lit("首次覆盖")) | F.contains("excerpt", F.lit("首予"))
-        newest = [F.desc("date"), F.desc("line_number"), F.asc("file_path"), F.asc("match_no")]
-        first = mentions.where(opened).orderBy(*newest).limit(min(RADAR_FIRST, limit))
-        told = _held(signals.orderBy(F.desc("date"), F.desc("line_number"), "file_path", "mention_line", "match_no").limit(RADAR_SIGNALS))
+        later, most = [F.desc("date"), F.desc("line_number"), F.asc("file_path"), F.asc("match_no")], min(RADAR_FIRST, limit)
+        first = self.newest(self.mentions, lambda rows: rows.where(opened).orderBy(*later).limit(most), most, start, end)
         kept = lambda df, by: df.orderBy(*by).limit(limit)
         by_line = [F.desc("date"), F.desc("line_number"), F.asc("file_path"), F.asc("mention_line"), F.asc("match_no")]
+        told = _held(self.newest(self.signals, lambda rows: rows.orderBy(*by_line).limit(RADAR_SIGNALS), RADAR_SIGNALS, start, end))
         return {
             "first_coverages": first,
             "rating_changes": kept(changes, A.change_order()),
@@ -322,7 +367,7 @@ class Index:
         }
 
     def themes(self, limit: int = THEMES) -> DataFrame:
-        return A.count_by(self.blocks.select(F.explode("tags").alias("tag")), F.col("tag"), limit)
+        return K.top(self.counts, K.TAG, limit)
 
     def institutions(self, target: str | None = None, institution: str | None = None) -> dict[str, DataFrame]:
         mentions = self.mentions
@@ -330,11 +375,11 @@ class Index:
             mentions = mentions.where(search.mention_matches(F.col("norm_fields"), [normalize_literal(target)]))
         if institution:
             mentions = mentions.where(F.col("institution") == institution)
-        matrix = A.institution_matrix(mentions)
+        matrix, some = A.institution_matrix(mentions), target or institution
         return {
             "matrix": matrix.orderBy(*A.matrix_order()),
-            "coverage": A.count_by(mentions, F.col("institution")),
-            "target_coverage": A.count_by(mentions, F.col("target_name"), TARGETS),
+            "coverage": A.count_by(mentions, F.col("institution")) if some else K.top(self.counts, K.COVERAGE),
+            "target_coverage": A.count_by(mentions, F.col("target_name"), TARGETS) if some else K.top(self.counts, K.TARGET, TARGETS),
             "divergence": A.diverging_names(matrix, limit=DIVERGENCE),
         }
 
@@ -353,20 +398,20 @@ class Index:
     def status(self) -> dict:
         """Where and when the index was made, how much it holds, and the files that could not be read."""
         out, version = self.path.rsplit("/", 1)
-        held = self.reports.agg(F.count("*"), F.max(F.when(F.col("part") != search.UNDATED, F.col("date")))).first()
+        held = K.totals(self.counts)
         indexed = _pointer(self.spark, out).where(F.endswith("version", F.lit(f"/{version}"))).first()
         return {
             "path": self.path, "indexed_at": indexed["indexed_at"] if indexed else None,
-            "source_dir": indexed["source_dir"] if indexed else None, "report_count": held[0], "latest_date": held[1], "mention_count": self.mentions.count(),
+            "source_dir": indexed["source_dir"] if indexed else None, "report_count": held["reports"], "latest_date": held["latest"],
+            "mention_count": held["mentions"], "target_count": held["targets"],
             "error_count": self.errors.count(), "errors": self.errors.orderBy("file_path").limit(STATUS_ERRORS),
         }
 
     def summary(self) -> dict:
         return {
             **self.status(),
-            "target_count": self.mentions.select("target_key").distinct().count(),
-            "years": A.count_by(self.reports, F.col("year")),
-            "institutions": A.count_by(self.blocks, F.col("institution"), SUMMARY_INSTITUTIONS),
+            "years": K.top(self.counts, K.YEAR),
+            "institutions": K.top(self.counts, K.INSTITUTION, SUMMARY_INSTITUTIONS),
             "latest_reports": self.list_reports().limit(SUMMARY_REPORTS),
             "radar": self.radar(limit=SUMMARY_RADAR),
         }

@@ -16,6 +16,7 @@ from .functions import report as R
 from .functions.markup import highlight_terms, marker_count, report_link
 from .functions.text import tidy
 from .operators import analytics as A
+from .operators import nodes as N
 from .operators import reports as P
 from .operators import search as S
 from .plans import index as I
@@ -333,8 +334,8 @@ def extract_blocks(spark, sf_dir):
 
 
 def _index(spark: SparkSession, sf_dir: str) -> I.Index:
-    """An index of all rendered notes in the shared folder, built once for each session and source."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """An index of all rendered notes in the shared folder, built once for each session and state of the tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key not in _BUILT:
         _BUILT[key] = I.build(spark, _rendered(spark, sf_dir), "/notes", f"{_shared_dir(spark)}/index-{uuid.uuid4().hex}").path
     return I.Index(spark, _BUILT[key])
@@ -347,7 +348,17 @@ def _shared_dir(spark: SparkSession) -> str:
     return named or spark._jvm.System.getProperty("java.io.tmpdir")
 
 
-_BUILT: dict[tuple[str, str], str] = {}
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sizes and times of the tables that the notes are rendered from."""
+    def of(name: str) -> tuple[int, int]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        return store.getContentSummary(path).getLength(), store.getFileStatus(path).getModificationTime()
+
+    return tuple(map(of, ("orders", "customer", "nation")))
+
+
+_BUILT: dict[tuple, str] = {}
 _NOTES = f"""o AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, n_name AS institution, 'Order ' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS target_name,
 lpad(CAST(o_custkey AS VARCHAR), 6, '0') || '.HK' AS code, o_custkey, o_orderkey, {RATING} AS rating, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) || '港元' AS target_price,
 CASE WHEN o_orderkey % 5 = 0 THEN '维持' END AS action FROM {_RENDER}),
@@ -417,6 +428,47 @@ def index_text_search(spark, sf_dir):
     return _index(spark, sf_dir).with_text_index().search("12 (0001").select("date", "institution", "line_number")
 
 
+@query(f"WITH {_NOTES} SELECT institution AS name, count(*) AS count FROM m GROUP BY 1")
+def index_coverage(spark, sf_dir):
+    """Mentions of each institution, from the counts kept with the index."""
+    return _index(spark, sf_dir).institutions()["coverage"]
+
+
+@query(f"WITH {_NOTES} SELECT left(date, 4) AS name, count(DISTINCT date) AS count FROM m GROUP BY 1")
+def index_years(spark, sf_dir):
+    return _index(spark, sf_dir).summary()["years"]
+
+
+@query(f"WITH {_NOTES} SELECT date, institution, CAST(line_number AS INTEGER) AS line_number FROM m WHERE date >= '1995-02' ORDER BY date DESC, line_number LIMIT 500")
+def index_newest_hits(spark, sf_dir):
+    """A word of every target's line: the cap is filled from the newest years."""
+    return _index(spark, sf_dir).search("order ", start="1995-02").select("date", "institution", "line_number")
+
+
+@query(f"""WITH {_NOTES}, b AS (SELECT date, institution, min(line_number) - 1 AS head, count(*) AS targets FROM m GROUP BY 1, 2)
+SELECT date, CAST(line AS INTEGER) AS line_no, CAST(node AS BIGINT) AS node FROM (
+SELECT date, head AS line, row_number() OVER (PARTITION BY date ORDER BY head) * 2 - 1 AS node FROM b
+UNION ALL SELECT date, head + 1, row_number() OVER (PARTITION BY date ORDER BY head) * 2 FROM b)""")
+def markdown_nodes(spark, sf_dir):
+    """The Markdown block that shows each institution's heading and the line below it."""
+    lines = _index(spark, sf_dir).lines
+    shown = lines.where("line_no = block_start OR line_no = block_start + 1").select("file_path", "date", "line_no")
+    return N.line_nodes(shown, N.markdown_nodes(lines)).select("date", "line_no", F.col("node").cast("bigint").alias("node"))
+
+
+@query("""WITH n AS (SELECT o_custkey, o_orderkey, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS s FROM orders),
+j AS (SELECT l.o_orderkey AS asked, l.s + 20 AS line, n.o_orderkey AS node, n.s, n.s + n.o_orderkey % 40 AS e FROM n l JOIN n USING (o_custkey) WHERE n.s <= l.s + 20),
+r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY line > e, CASE WHEN line > e THEN -s ELSE s END, node) AS k FROM j)
+SELECT asked, CAST(line AS BIGINT) AS line, node FROM r WHERE k = 1""")
+def line_nodes(spark, sf_dir):
+    """Orders as overlapping intervals of days: the one that holds a day of their customer, else the last before it."""
+    day = F.date_diff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date")).cast("bigint")
+    held = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", day.alias("s"))
+    nodes = held.select("o_custkey", F.col("o_orderkey").alias("node"), "s", (F.col("s") + F.col("o_orderkey") % 40).alias("e"))
+    asked = held.select("o_custkey", F.col("o_orderkey").alias("asked"), (F.col("s") + 20).alias("line"))
+    return N.line_nodes(asked, nodes, "o_custkey", "line", "s", "e").drop("o_custkey")
+
+
 _PATTERNS_SQL = "a AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS watch_id, CAST(c_custkey AS VARCHAR) || ' ' AS alias FROM customer)"
 
 
