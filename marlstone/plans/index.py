@@ -230,7 +230,7 @@ class Index:
         """
         rows, n = table.where(search.in_period(start, end)), 1
         years = sorted((p for p in self.folders if p != search.UNDATED and p >= (start or "")[:4] and (not end or p <= end[:4])), reverse=True)
-        while n < len(years):
+        while 4 * n <= len(years):  # all steps together read a third of the years at most
             some = ask(rows.where(F.col("part").isin(*years[:n], search.UNDATED)))
             found = some.collect()  # at most ``limit``
             if sum(r["date"] >= years[n - 1] for r in found) >= limit:
