@@ -48,13 +48,24 @@ def stage(df: DataFrame, label: str, instead_of: Iterable[DataFrame] = ()) -> Da
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
-    for old in instead_of:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(old.staged_at)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    discard(*instead_of)
+    drop_finished(spark)
+    return out
+
+
+def drop_finished(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nobody holds; a local session has no executors' disks."""
     if not spark.sparkContext._jsc.sc().isLocal():
         gc.collect()
         spark._jvm.System.gc()
-    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged frames that nothing will read again."""
+    for old in staged:
+        spark = old.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old.staged_at)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def derived(df: DataFrame, staged: DataFrame) -> DataFrame:

@@ -183,3 +183,51 @@ def test_long_texts_teach_toxicity(spark):
     assert min(len(t) for _, t in rows) > toxicity.MAX_TRAIN_CHARS
     got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_digest(docs, labels).collect()}
     assert got == {i: 1 - i % 2 for i in range(80)}
+
+
+def test_every_labelled_row_teaches_toxicity(spark):
+    # more rows of either class than a former fit took; those that came late in its order hold a word of their own
+    rows = spark.range(8000).selectExpr("id AS doc_id", "int(id % 2) AS toxic", "crc32(cast(cast(id AS string) AS binary)) % 5 = 0 AS held", "xxhash64(id) AS place").collect()
+    texts = {}
+    for label in (0, 1):
+        for at, r in enumerate(sorted((r for r in rows if r["toxic"] == label and not r["held"]), key=lambda r: (r["place"], r["doc_id"]))):
+            texts[r["doc_id"]] = f"the note {r['doc_id'] % 7} is {('kind', 'vile')[label] if at < 2500 else ('gentle', 'brutish')[label]}"
+    assert len(texts) > 6000
+    docs = spark.createDataFrame([*((i, t, "en") for i, t in texts.items()), (-1, "brutish", "en"), (-2, "gentle", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_digest(docs, labels).collect()}
+    assert got[-1] == 1 and got[-2] == 0
+    assert np.mean([got[i] == i % 2 for i in texts]) > 0.999
+
+
+def _rows(n):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(60)]
+    return [(i, " ".join([*rng.choice(words, 12), ("fair", "foul")[i % 2]]), ("en", "fr", None)[i % 3]) for i in range(n)]
+
+
+def test_toxicity_over_a_table_is_the_plain_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 8)
+    rows = _rows(120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i, *_ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs.repartition(5), labels)
+    taught = [r for r in docs.selectExpr("*", "xxhash64(doc_id, text) AS place").orderBy("place", "doc_id").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    hashes = [next(wordhash.slices([r["text"]], wordhash.BY_LETTER, toxicity.PREFIX))[2] for r in taught]
+    flat = [toxicity._own_ids(h) for h in hashes]
+    plain = toxicity._weights(flat, np.array([r["doc_id"] % 2 for r in taught]), [r["lang"] for r in taught], ["en", "fr"], np.arange(len(taught)), 5)
+    assert np.allclose(model.embed, plain.embed, atol=1e-5) and np.allclose(model.out, plain.out, atol=1e-5) and np.array_equal(model.word_logp, plain.word_logp)
+    # several workers: the same weights however the table is dealt to tasks
+    monkeypatch.setattr(toxicity, "WORKER_WORDS", 500)
+    one, two = (toxicity.train(docs.repartition(n), labels) for n in (1, 7))
+    assert np.array_equal(one.embed, two.embed) and np.array_equal(one.out, two.out) and np.array_equal(one.thresholds, two.thresholds)
+    assert not np.array_equal(one.embed, model.embed)
+
+
+def test_long_texts_teach_toxicity_to_their_end(monkeypatch):
+    hashes = [next(wordhash.slices([t], wordhash.BY_LETTER, toxicity.PREFIX))[2] for _, t, _ in _rows(40)]
+    monkeypatch.setattr(toxicity, "STEPS", 6)
+    whole = toxicity.fit(hashes, np.arange(40) % 2, [None] * 40)
+    monkeypatch.setattr(toxicity, "MAX_TRAIN_CHARS", 5)
+    blocks = toxicity.fit(hashes, np.arange(40) % 2, [None] * 40)
+    assert np.allclose(whole.embed, blocks.embed, atol=1e-4) and np.allclose(whole.out, blocks.out, atol=1e-4)
