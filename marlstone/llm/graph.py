@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import derived, stage
@@ -27,8 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
     until nothing changes: every vertex hands its larger neighbours to its
     smallest one, then its smaller ones.  Minima are combined before they are
     shuffled and no vertex's neighbours are gathered; the edges of hubs are
-    joined where they lie, not shuffled to one task.  Each round is written to the
-    shared folder.
+    joined where they lie, not shuffled to one task.  With too few edges for a hub
+    a window finds the smallest neighbours instead: the same round in a third of
+    the shuffles, with a plan of which the driver keeps less.  Each round is
+    written to the shared folder.
     """
     now = stage(_ordered(edges).distinct(), "edges")
     state = _fingerprint(now)
@@ -50,8 +52,6 @@ def _ordered(edges: DataFrame) -> DataFrame:
 
 def _with_least(edges: DataFrame, least: DataFrame, hub_edges: int) -> DataFrame:
     """``edges`` (a, b) with ``m`` of ``least`` (u, m, degree) for their a."""
-    if not hub_edges:
-        return edges.join(least.select("u", "m"), F.col("a") == F.col("u"))
     # a vertex counts its edges, so there are at most edges / hub_edges hubs
     hubs = F.broadcast(least.where(F.col("degree") >= hub_edges).select("u", "m"))
     plain = edges.join(hubs, F.col("a") == F.col("u"), "left_anti").join(least.where(F.col("degree") < hub_edges).select("u", "m"), F.col("a") == F.col("u"))
@@ -60,8 +60,9 @@ def _with_least(edges: DataFrame, least: DataFrame, hub_edges: int) -> DataFrame
 
 def _round(now: DataFrame, count: int) -> DataFrame:
     """Every vertex hands its larger neighbours to its smallest one, then its smaller ones."""
-    # with fewer edges in all no vertex is a hub
-    hub_edges = max(HUB_EDGES, 2 * count // HUBS) if 2 * count >= HUB_EDGES else 0
+    if 2 * count < HUB_EDGES:  # no vertex is a hub
+        return _small_round(now)
+    hub_edges = max(HUB_EDGES, 2 * count // HUBS)
     both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("degree"))
     large = _with_least(both.where("b > a"), least, hub_edges).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -70,6 +71,16 @@ def _round(now: DataFrame, count: int) -> DataFrame:
     return small.union(least.select("u", "m")).distinct()
 
 
+def _small_round(now: DataFrame) -> DataFrame:
+    """A round over edges so few that all of a vertex may be in one task."""
+    of_vertex = Window.partitionBy("a")
+    both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    large = both.withColumn("m", F.least(F.min("b").over(of_vertex), "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    handed = large.withColumn("m", F.min("b").over(of_vertex))
+    ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+    return handed.select(ends.alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     h = F.xxhash64("a", "b")
     return tuple(edges.agg(F.count("*"), F.sum(F.pmod(h, F.lit(2**31 - 1))), F.bit_xor(h)).first())

@@ -345,6 +345,8 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, .
     postings = postings.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt", "n", "sid")
     lists = postings.mapInPandas(_shared_keys, "key long, sid long, n int, rest int, kind byte")
     lists = stage(lists, "inverted-lists")
+    shared.destroy()
+    del blocks, ranks
     reps = stage(members.where("n > 1").groupBy("sid", "sid2").agg(F.min("text_hash").alias("text_hash")), "set-texts")
 
     # Contract: each set against the centres that it shares most keys with.
