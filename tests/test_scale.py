@@ -3,6 +3,7 @@
 import pytest
 
 from marlstone.operators import reports as P
+from marlstone.plans import index as I
 
 SCHEMA = "file_path string, markdown string, updated_at timestamp"
 NOTES = [
@@ -30,3 +31,18 @@ def test_mentions_and_signals_join_nothing(lines):
     }
     told = {(r["date"][-2:], r["line_number"], r["target_name"], r["excerpt"]) for r in P.extract_signals(mentions, lines).collect()}
     assert told == {("01", 18, "雪松", "# 乙所 雪松 (0001.HK) 催化剂：招标"), ("02", 3, "榆木", "# 甲所 榆木 (0002.HK) 主要风险")}
+
+
+def test_a_part_of_the_summary_makes_no_other(spark, tmp_path, monkeypatch):
+    index = I.build(spark, spark.createDataFrame(NOTES, SCHEMA), "/n", str(tmp_path))
+    whole = index.summary()
+    assert whole["radar"]["risks"].count() == 1 and whole["report_count"] == 2 and len(whole) == 13
+    want = [r.asDict() for r in index.list_reports().limit(8).collect()]
+    for name in ("radar", "status", "list_reports"):
+        monkeypatch.setattr(I.Index, name, lambda *a, **k: 1 / 0)
+    summary = index.summary()
+    assert {r["name"]: r["count"] for r in summary["institutions"].collect()} == {"甲所": 2, "乙所": 1}
+    assert [r.asDict() for r in summary["latest_reports"].collect()] == want
+    monkeypatch.undo()
+    monkeypatch.setattr(I.A, "detect_changes", lambda *a, **k: 1 / 0)
+    assert index.radar()["risks"].count() == 1
