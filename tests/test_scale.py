@@ -1,9 +1,11 @@
 """What keeps the index buildable when its notes grow: no pairs, no text carried along, nothing made that was not asked for."""
 
+import pyarrow as pa
 import pytest
 
 from marlstone.operators import reports as P
 from marlstone.plans import index as I
+from marlstone.plans import textindex
 
 SCHEMA = "file_path string, markdown string, updated_at timestamp"
 NOTES = [
@@ -33,6 +35,14 @@ def test_mentions_and_signals_join_nothing(lines):
     assert told == {("01", 18, "雪松", "# 乙所 雪松 (0001.HK) 催化剂：招标"), ("02", 3, "榆木", "# 甲所 榆木 (0002.HK) 主要风险")}
 
 
+def test_postings_are_grouped_in_the_batch():
+    rows = pa.RecordBatch.from_pydict({"part": ["2031"] * 3, "file_path": ["a", "a", "b"], "line_no": pa.array([1, 2, 1], pa.int32()), "norm_line": ["ab🙂ab", "", "ab"]})
+    (out,) = textindex._postings(iter([rows]))
+    got = {(r["file_path"], r["gram"]): [(x >> 32, x & 0xFFFFFFFF) for x in r["at"]] for r in out.to_pylist()}
+    assert got == {("a", "ab"): [(1, 1), (1, 4)], ("a", "b🙂"): [(1, 2)], ("a", "🙂a"): [(1, 3)], ("b", "ab"): [(1, 1)]} and out.num_rows == 4
+    assert not list(textindex._postings(iter([rows.slice(1, 1)])))
+
+
 def test_a_part_of_the_summary_makes_no_other(spark, tmp_path, monkeypatch):
     index = I.build(spark, spark.createDataFrame(NOTES, SCHEMA), "/n", str(tmp_path))
     whole = index.summary()
