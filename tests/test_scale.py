@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.operators import reports as P
 from marlstone.plans import index as I
@@ -56,3 +57,12 @@ def test_a_part_of_the_summary_makes_no_other(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(I.A, "detect_changes", lambda *a, **k: 1 / 0)
     assert index.radar()["risks"].count() == 1
+
+
+def test_rows_groups_of_long_notes_stay_small(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    long = spark.range(60).select(F.concat(F.lit("/n/2031/2031-01-01-"), F.col("id").cast("string"), F.lit(".md")).alias("file_path"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60000)), lambda i: F.hex(F.xxhash64(i, "id"))), " ").alias("markdown"), F.lit(None).cast("timestamp").alias("updated_at")).coalesce(1)
+    index = I.build(spark, long, "/n", str(tmp_path))
+    sizes = [pq.ParquetFile(p).metadata.row_group(k).total_byte_size for p in map(str, (tmp_path / index.path.rsplit("/", 1)[1] / "reports").rglob("*.parquet")) for k in range(pq.ParquetFile(p).num_row_groups)]
+    assert sum(sizes) > 50e6 and max(sizes) < 45e6
